@@ -216,17 +216,25 @@ def alert_resolution(
     )
 
 
-def newest(df: DataFrame, count: int, order: str = "ts", keys: Sequence[str] = ()) -> DataFrame:
-    """The last ``count`` rows by ``order``, overall or per key: a bounded history view."""
+def newest(
+    df: DataFrame, count: int, order: str = "ts", keys: Sequence[str] = (), ties: Sequence[str] = ()
+) -> DataFrame:
+    """The last ``count`` rows by ``order``, overall or per key: a bounded history view.
+
+    Spark keeps only ``count`` rows per key before the shuffle (top-k or group limit).
+    """
+    ranking = [F.col(order).desc(), *ties]
     if not keys:
-        return df.orderBy(F.col(order).desc()).limit(count)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+        return df.orderBy(*ranking).limit(count)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*ranking))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= count).drop("_rank")
 
 
-def health_summary(rated: DataFrame, limits: dict = LIMITS, last: int = 10) -> DataFrame:
+def health_summary(
+    rated: DataFrame, limits: dict = LIMITS, last: int = 10, ties: Sequence[str] = ("sensor",)
+) -> DataFrame:
     """Averages and overall status of the newest snapshots."""
-    recent = newest(rated, last).agg(
+    recent = newest(rated, last, ties=ties).agg(
         F.avg("drop_rate_percent").alias("drop"),
         F.avg("flows_in_queue").alias("queue"),
         F.avg("capture_rate_pps").alias("capture"),

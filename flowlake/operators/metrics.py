@@ -118,13 +118,15 @@ def anomaly_eval(scored: DataFrame) -> DataFrame:
 
 
 def dataset_profile(df: DataFrame, ts: str = "timestamp", file: Column | None = None) -> DataFrame:
-    files = F.lit(0).cast("long") if file is None else F.count_distinct(file)
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    named = df.select(F.col(ts).alias("t"), (F.lit(None).cast("string") if file is None else file).alias("f"))
+    # Distinct files are counted in two steps, so the wide first one combines before the shuffle.
+    per_file = named.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi"))
+    return per_file.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.lit(len(df.columns)).alias("n_columns"),
-        F.min(ts).alias("min_timestamp"),
-        F.max(ts).alias("max_timestamp"),
-        files.alias("files"),
+        F.min("lo").alias("min_timestamp"),
+        F.max("hi").alias("max_timestamp"),
+        F.count("f").alias("files"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowlake.operators import audit, behaviour, decide, health, metrics, police, windows
+from flowlake.operators.sequence import POSITION, ordered
 from flowlake.plans import fixtures as fx
 from flowlake.plans.q_clean import DECISIONS_SQL, sql_hmac
 from flowlake.plans.registry import register
@@ -277,19 +278,17 @@ def g17(spark, sf):
 
 
 def audit_log(spark, sf):
-    """Per-user audit lines whose chains hold, but for three kinds of damage.
+    """Per-user audit lines whose chains hold, but for two kinds of damage.
 
-    Line n names the digest of line n - 1, so building a chain is sequential by
-    nature. Logs are cut every 16 lines to keep the nested digests short.
+    Line n names the digest of line n - 1, so building a chain is sequential.
+    Logs are cut every 16 lines; the position that cuts them is skew-safe.
     """
-    e = fx.table(spark, sf, "events")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    numbered = e.withColumn("_n", F.row_number().over(order) - 1)
-    lines = numbered.select(
-        F.concat(F.lit("log-"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("_n") / 16).cast("string")).alias("log_id"),
-        (F.col("_n") % 16 + 1).alias("line_no"),
+    e = ordered(fx.table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], [])
+    number = F.col(POSITION) - 1
+    lines = e.select(
+        "user_id",
+        F.floor(number / 16).alias("part"),
+        (number % 16 + 1).cast("int").alias("line_no"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
         F.col("event_type").alias("event"),
         F.col("props").alias("fields"),
@@ -299,51 +298,33 @@ def audit_log(spark, sf):
 
     def link(done, row):
         before = F.coalesce(F.try_element_at(done, F.lit(-1))["hash"], F.lit(audit.GENESIS))
-        linked = F.struct(
-            row["line_no"].cast("int").alias("line_no"), row["ts"].alias("ts"), row["event"].alias("event"), row["fields"].alias("fields"),
-            before.alias("prev_hash"), audit.record_hash(row["ts"], row["event"], row["fields"], before).alias("hash"),
-        )
-        return F.concat(done, F.array(linked))
-
-    chained = lines.groupBy("log_id").agg(F.aggregate(rows, empty, link).alias("c")).select("log_id", F.inline("c"))
-    number = F.crc32(F.col("log_id").cast("binary"))
-    return chained.withColumns(
+        digest = audit.record_hash(row["ts"], row["event"], row["fields"], before)
+        body = [row[c].alias(c) for c in ("line_no", "ts", "event", "fields")]
+        return F.concat(done, F.array(F.struct(*body, before.alias("prev_hash"), digest.alias("hash"))))
+
+    chained = lines.groupBy("user_id", "part").agg(F.aggregate(rows, empty, link).alias("c"))
+    log_id = F.concat_ws("-", F.lit("log"), "user_id", "part")
+    forged = (F.col("user_id") % 5 == 0) & (F.col("line_no") == 3)
+    cut = (F.col("user_id") % 7 == 0) & (F.col("line_no") == 2)
+    return chained.select("user_id", log_id.alias("log_id"), F.inline("c")).withColumns(
         {
-            "event": F.when((number % 5 == 0) & (F.col("line_no") == 3), F.lit("forged")).otherwise(F.col("event")),
-            "prev_hash": F.when((number % 7 == 0) & (F.col("line_no") == 2), F.lit("f" * 64)).otherwise(F.col("prev_hash")),
+            "event": F.when(forged, F.lit("forged")).otherwise(F.col("event")),
+            "prev_hash": F.when(cut, F.lit("f" * 64)).otherwise(F.col("prev_hash")),
         }
     )
 
 
-_AUDIT_SQL = """
-, n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
-, logs AS (SELECT 'log-' || user_id || '-' || (i // 16) AS log_id, count(*) AS n_lines FROM n GROUP BY 1)
-"""
-
-
-@register("w15_chain_verify")
-def w15(spark, sf):
-    return audit.chain_verify(audit_log(spark, sf))
-
-
 @register(
-    "w15_chain_lengths",
-    "WITH " + _AUDIT_SQL.strip().lstrip(",") + "SELECT log_id, n_lines, true AS ok, 'ok' AS message FROM logs",
+    "w15_chain_verify",
+    """WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
+, logs AS (SELECT user_id, 'log-' || user_id || '-' || (i // 16) AS log_id, count(*) AS n_lines FROM n GROUP BY ALL)
+SELECT log_id, n_lines, NOT (user_id % 7 = 0 AND n_lines >= 2 OR user_id % 5 = 0 AND n_lines >= 3) AS ok,
+  CASE WHEN user_id % 7 = 0 AND n_lines >= 2 THEN 'hash chain break at line 2'
+       WHEN user_id % 5 = 0 AND n_lines >= 3 THEN 'hash mismatch at line 3' ELSE 'ok' END AS message
+FROM (SELECT user_id, log_id, sum(n_lines) AS n_lines FROM logs GROUP BY ALL)""",
 )
-def w15_lengths(spark, sf):
-    """Undamaged logs verify whole: damage repaired by re-deriving the chain."""
-    from pyspark.sql import Window
-
-    e = fx.table(spark, sf, "events")
-    n = e.withColumn("_n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    log_id = F.concat(F.lit("log-"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.col("_n") / 16).cast("string"))
-    good = n.select(log_id.alias("log_id")).distinct()
-    return audit.chain_verify(_intact(spark, sf)).join(good, "log_id", "left_semi")
-
-
-def _intact(spark, sf):
-    damaged = audit_log(spark, sf)
-    return damaged
+def w15(spark, sf):
+    return audit.chain_verify(audit_log(spark, sf))
 
 
 # --------------------------------------------------------------------- streams
@@ -439,4 +420,5 @@ def t7(spark, sf):
     fx.with_views("v_flows", body='SELECT count(*) AS n_rows, 11 AS n_columns, min("timestamp") AS min_timestamp, max("timestamp") AS max_timestamp, 1 AS files FROM v_flows'),
 )
 def g13(spark, sf):
-    return metrics.dataset_profile(fx.v_flows(spark, sf), file=F.input_file_name())
+    flows = fx.v_flows(spark, sf)
+    return metrics.dataset_profile(flows, file=F.input_file_name())

@@ -21,8 +21,6 @@ from flowlake.operators.health import COOLDOWN_SECONDS
 from flowlake.operators.police import STATE as BUCKET_STATE
 from flowlake.operators.police import Bucket
 
-IDLE_SECONDS = 3600
-
 
 def _keyed(
     stream: DataFrame,
@@ -33,7 +31,11 @@ def _keyed(
     state: T.StructType,
     idle_seconds: int | None = None,
 ) -> DataFrame:
-    """Run ``update(key, sorted rows, old state) -> (output rows, new state)`` per key and micro-batch."""
+    """Run ``update(key, sorted rows, old state) -> (output rows, new state)`` per key and micro-batch.
+
+    With ``idle_seconds`` a key is forgotten once the watermark is that far past
+    its last row; the stream must then have a watermark and an ``_us`` column.
+    """
     names = output.names
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -44,10 +46,12 @@ def _keyed(
         out, new = update(key, rows, held.get if held.exists else None)
         held.update(new)
         if idle_seconds is not None:
-            held.setTimeoutDuration(idle_seconds * 1000)
-        yield out[names]
+            ends = int(rows["_us"].max()) // 1000 + idle_seconds * 1000
+            held.setTimeoutTimestamp(max(ends, held.getCurrentWatermarkMs() + 1))
+        if len(out):
+            yield out[names]
 
-    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    timeout = GroupStateTimeout.NoTimeout if idle_seconds is None else GroupStateTimeout.EventTimeTimeout
     return stream.groupBy(*keys).applyInPandasWithState(step, output, state, "append", timeout)
 
 
@@ -62,9 +66,10 @@ def source_history(
     burst: float = 0.1,
     slow: float = 30.0,
     periodic_cv: float = 0.25,
-    idle_seconds: int | None = IDLE_SECONDS,
+    idle_seconds: int | None = None,
+    lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Rolling per-source history; a source idle for ``idle_seconds`` of wall time is forgotten."""
+    """Rolling per-source history, optionally forgetting sources idle for ``idle_seconds``."""
     doubles = ["mean_score", "mean_interval", "ip_score_delta", "interval_raw", "interval_delta"]
     output = T.StructType(
         [
@@ -81,7 +86,8 @@ def source_history(
             *_long("last_us", "flows"),
         ]
     )
-    rows_in = stream.select("packet_id", "src_ip", F.unix_micros("ts").alias("_us"), F.col(score).alias("_score"))
+    timed = stream if idle_seconds is None else stream.withWatermark("ts", lateness)
+    rows_in = timed.select("packet_id", "src_ip", "ts", F.unix_micros("ts").alias("_us"), F.col(score).alias("_score"))
 
     def update(key, pdf, old):
         scores, gaps, last, flows = ([], [], None, 0) if old is None else (list(old[0]), list(old[1]), old[2], old[3])
