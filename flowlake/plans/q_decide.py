@@ -378,7 +378,10 @@ def _count_sql(patterns) -> str:
     return " + ".join(f"CAST(contains(low, '{p.lower()}') AS INTEGER)" for p in patterns)
 
 
-_BASE = F.col("id") % 100 / 100.0
+def _base():
+    return F.col("id") % 100 / 100.0
+
+
 SCORE_A_SQL = f"""
 , low_a AS (SELECT *, CAST(id % 100 AS DOUBLE) / 100.0 AS base, translate(payload, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM req)
 , tot_a AS (SELECT *, base + least(({_count_sql(inspect.PATTERNS_A)}) * CAST(0.35 AS DOUBLE), CAST(0.6 AS DOUBLE)) AS total,
@@ -389,7 +392,7 @@ SCORE_A_SQL = f"""
 
 @register("i9_signature_score_a", fx.with_views("v_payloads", body="") + REQUESTS_SQL + SCORE_A_SQL + " SELECT id, kind, round(score, 6) AS score FROM score_a")
 def i9(spark, sf):
-    score = inspect.signature_score_a(_BASE, F.col("payload"))
+    score = inspect.signature_score_a(_base(), F.col("payload"))
     return _requests(spark, sf).select("id", "kind", F.round(score, 6).alias("score"))
 
 
@@ -403,7 +406,7 @@ SELECT id, kind, round(least(greatest(CASE WHEN clean AND total < 1.0 THEN least
 
 @register("i10_signature_score_b", fx.with_views("v_payloads", body="") + REQUESTS_SQL + SCORE_B_SQL)
 def i10(spark, sf):
-    score = inspect.signature_score_b(_BASE, F.col("payload"))
+    score = inspect.signature_score_b(_base(), F.col("payload"))
     return _requests(spark, sf).select("id", "kind", F.round(score, 6).alias("score"))
 
 
@@ -415,7 +418,7 @@ VERDICT_SQL = """
 
 def _verdicts(spark, sf):
     inspected = inspect.InspectorRegistry().run(_requests(spark, sf))
-    scored = inspected.withColumn("score", inspect.signature_score_a(_BASE, F.col("payload")))
+    scored = inspected.withColumn("score", inspect.signature_score_a(_base(), F.col("payload")))
     return scored.withColumn("verdict", inspect.request_verdict(F.col("score"), F.col("findings")))
 
 
