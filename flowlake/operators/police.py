@@ -55,20 +55,42 @@ def rate_police(
 ) -> DataFrame:
     """Add ``passed``: whether the source's bucket held enough tokens for the packet.
 
-    The bucket is a fold over a source's packets in time order. An idle second
-    fills it whatever happened before, so each source is cut at its idle seconds
-    into independent stretches, the unit of parallel work. A stretch streams
-    through its task in Arrow batches with five numbers of state.
+    The bucket is a fold over a source's packets in time order, but it restarts
+    wherever it is certain to be full again, whatever happened before: after an
+    idle second, and at packets that come when even a bucket emptied at the
+    start and charged for every packet since would have refilled. Those points
+    are found in parallel with running sums and cut a source into independent
+    stretches. A stretch streams through its task in Arrow batches with five
+    numbers of state; only a source in constant overload is one long stretch.
     """
     names = list(keys)
+    first = packets.agg(F.min("ts")).first()[0]
+    start = F.unix_micros(F.lit(first).cast("timestamp")) * 1000
     base = packets.withColumn("_ns", F.unix_micros("ts") * 1000)
 
     def idle(w):
         before = F.lag("_ns").over(w)
         return {"_fresh": before.isNull() | (F.col("_ns") - before >= SECOND_NS)}
 
+    # Demand so far minus supply so far, in tokens. A new low beyond the margin means
+    # that the refill since the last low overfills the bucket. The margin covers the
+    # fraction of a token and rounding; a missed restart only makes a longer stretch.
+    balance = F.coalesce(F.col("_spent"), F.lit(0.0)) - F.col("_supply")
+    emptied = -F.col("_supply_0") - F.lit(float(capacity))
+    refilled = balance < F.least(F.col("_low"), emptied) - (2.0 + F.abs(balance) * 1e-9)
+    restart = F.col("_fresh") | F.coalesce(refilled, F.lit(False))
     cut = ordered(
-        base, names, ["_ns", tie], [Stage(idle, 1), Running({"_stretch": F.when(F.col("_fresh"), F.col(POSITION))})], max_group_rows
+        base.withColumn("_supply", (F.col("_ns") - start) / F.lit(1e9) * float(rate)),
+        names,
+        ["_ns", tie],
+        [
+            Stage(idle, 1),
+            Running({"_spent": F.col("packet_size").cast("double")}, "sum", exclusive=True),
+            Running({"_supply_0": F.col("_supply")}, "min"),
+            Running({"_low": balance}, "min", exclusive=True),
+            Running({"_stretch": F.when(restart, F.col(POSITION))}),
+        ],
+        max_group_rows,
     )
     cut = cut.withColumn("passed", F.lit(True)).select(*packets.columns, "_stretch", "_ns", POSITION, "passed")
 

@@ -38,9 +38,27 @@ class Stage:
 
 @dataclass(frozen=True)
 class Running:
-    """Running maximum from the start of the key, of expressions over earlier columns."""
+    """Running aggregates from the start of the key, over earlier columns of the row.
+
+    ``how`` is max, min or sum; ``exclusive`` leaves the current row out. Bounded
+    stages come before running ones: a copied row has no running value.
+    """
 
     columns: dict[str, Column] = field(default_factory=dict)
+    how: str = "max"
+    exclusive: bool = False
+
+    def aggregate(self, value: Column) -> Column:
+        return {"max": F.max, "min": F.min, "sum": F.sum}[self.how](value)
+
+    def merge(self, left: Column, right: Column) -> Column:
+        """Combine two partial results, either of which may be NULL."""
+        if self.how == "sum":
+            return F.coalesce(left + right, left, right)
+        return (F.greatest if self.how == "max" else F.least)(left, right)
+
+    def frame(self, spec: WindowSpec) -> WindowSpec:
+        return spec.rowsBetween(Window.unboundedPreceding, -1 if self.exclusive else 0)
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -92,13 +110,13 @@ def ordered(
     """Apply the stages in order; adds ``_position`` and every stage column."""
     if largest_group(df, keys) <= max_group_rows:
         spec = Window.partitionBy(*keys).orderBy(*order)
-        upto = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = df.withColumn(POSITION, F.row_number().over(spec).cast("long"))
         for stage in stages:
             if isinstance(stage, Stage):
                 out = out.withColumns(stage.columns(spec))
             else:
-                out = out.withColumns({n: F.max(c).over(upto) for n, c in stage.columns.items()})
+                frame = stage.frame(spec)
+                out = out.withColumns({n: stage.aggregate(c).over(frame) for n, c in stage.columns.items()})
         return out
 
     reach = sum(s.lookback for s in stages if isinstance(s, Stage))
@@ -111,25 +129,26 @@ def ordered(
     out = out.withColumn("_copy", F.col("_chunk") != home)
     chunked = [*keys, "_chunk"]
     spec = Window.partitionBy(*chunked).orderBy(POSITION)
-    upto = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for stage in stages:
         if isinstance(stage, Stage):
             out = out.withColumns(stage.columns(spec))
             continue
         for name, expr in stage.columns.items():
             value = F.when(~F.col("_copy"), expr)
-            out = out.withColumns({f"_own_{name}": value, f"_seen_{name}": F.max(value).over(upto)})
+            out = out.withColumn(f"_own_{name}", value)
+            out = out.withColumn(f"_seen_{name}", stage.aggregate(F.col(f"_own_{name}")).over(stage.frame(spec)))
+            # One row per chunk: what each chunk adds, and what the chunks before it add up to.
             earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
             ends = (
                 out.groupBy(*chunked)
-                .agg(F.max(f"_own_{name}").alias("_end"))
-                .withColumn("_carry", F.max("_end").over(earlier))
+                .agg(stage.aggregate(F.col(f"_own_{name}")).alias("_end"))
+                .withColumn("_carry", stage.aggregate(F.col("_end")).over(earlier))
                 .select(*[F.col(k).alias(f"_key_{k}") for k in chunked], "_carry")
             )
             matched = out.join(
                 ends, _same_key([F.col(k) for k in chunked], [F.col(f"_key_{k}") for k in chunked]), "left"
             )
-            out = matched.withColumn(name, F.greatest(F.col(f"_seen_{name}"), F.col("_carry"))).drop(
+            out = matched.withColumn(name, stage.merge(F.col(f"_seen_{name}"), F.col("_carry"))).drop(
                 f"_own_{name}", f"_seen_{name}", "_carry", *[f"_key_{k}" for k in chunked]
             )
     return out.filter(~F.col("_copy")).drop("_chunk", "_copy")

@@ -68,6 +68,16 @@ def exact_quantiles(
     return out
 
 
+def quantile_table(
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], in_memory_rows: int = IN_MEMORY_ROWS
+) -> dict[str, list[float]]:
+    """Exact percentiles of several columns: one pass for all of them while the table is small."""
+    if df.count() > in_memory_rows:
+        return {c: exact_quantiles(df, c, probabilities, in_memory_rows) for c in columns}
+    row = df.agg(*[F.percentile(F.col(c).cast("double"), list(probabilities)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: list(row[f"q{i}"]) for i, c in enumerate(columns)}
+
+
 def scale_stats(
     df: DataFrame, columns: Sequence[str], method: str = "standard", in_memory_rows: int = IN_MEMORY_ROWS
 ) -> dict[str, tuple[float, float]]:
@@ -78,10 +88,8 @@ def scale_stats(
         ).first()
         raw = {c: (row[f"m_{i}"], row[f"s_{i}"]) for i, c in enumerate(columns)}
     elif method == "robust":
-        raw = {}
-        for c in columns:
-            q1, median, q3 = exact_quantiles(df, c, [0.25, 0.5, 0.75], in_memory_rows)
-            raw[c] = (median, q3 - q1)
+        quartiles = quantile_table(df, columns, [0.25, 0.5, 0.75], in_memory_rows)
+        raw = {c: (q[1], q[2] - q[0]) for c, q in quartiles.items()}
     else:
         raise ValueError(f"unknown scaling method {method!r}")
     return {c: (float(m or 0.0), float(s) if s else 1.0) for c, (m, s) in raw.items()}
@@ -106,32 +114,39 @@ def iqr_outliers(
     the cleaned table stays a plain chain of filters on the input.
     """
     left, report = df, []
-    remaining = df.count()
+    size = F.count(F.lit(1)).alias("n")
+
+    def quartiles(name: str, rows: int) -> tuple[float, float, int]:
+        """Quartiles of the next column and the rows left by the last one, in one job if small."""
+        if rows > in_memory_rows:
+            q1, q3 = exact_quantiles(left, name, [0.25, 0.75], in_memory_rows)
+            return q1, q3, left.count()
+        row = left.agg(F.percentile(F.col(name).cast("double"), [0.25, 0.75]).alias("q"), size).first()
+        q1, q3 = row["q"] or (float("nan"), float("nan"))
+        return q1, q3, row["n"]
+
+    bound = df.count()
     for c in columns:
-        q1, q3 = exact_quantiles(left, c, [0.25, 0.75], in_memory_rows)
+        q1, q3, rows = quartiles(c, bound)
         low, high = q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1)
-        outside = (F.col(c) < low) | (F.col(c) > high)
-        count = left.filter(outside).count()
-        report.append(
-            {
-                "column_name": c,
-                "lower_bound": low,
-                "upper_bound": high,
-                "outliers": count,
-                "outlier_percent": count / remaining * 100 if remaining else 0.0,
-                "rows_before": remaining,
-            }
-        )
+        outside = F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False))
+        report.append({"column_name": c, "lower_bound": low, "upper_bound": high, "rows_before": rows})
+        bound = rows
         if threshold >= 3.0:
-            left = left.filter(~F.coalesce(outside, F.lit(False)))
-            remaining -= count
+            left = left.filter(~outside)
+        else:
+            report[-1]["outliers"] = left.filter(outside).count()
+    after = [r["rows_before"] for r in report[1:]] + ([left.count()] if report else [])
+    for entry, rows in zip(report, after):
+        entry.setdefault("outliers", entry["rows_before"] - rows)
+        entry["outlier_percent"] = entry["outliers"] / entry["rows_before"] * 100 if entry["rows_before"] else 0.0
     return left, report
 
 
 def outlier_report(spark, report: list[dict]) -> DataFrame:
     schema = (
-        "column_name string, lower_bound double, upper_bound double, outliers bigint, "
-        "outlier_percent double, rows_before bigint"
+        "column_name string, lower_bound double, upper_bound double, rows_before bigint, "
+        "outliers bigint, outlier_percent double"
     )
     return spark.createDataFrame([tuple(r.values()) for r in report], schema)
 

@@ -201,14 +201,22 @@ def s7(spark, sf):
 
 def sql_hmac(address: str) -> str:
     """The keyed hash of an IPv4 text in the oracle's SQL."""
+    return sql_hmac_digits(sql_ipv4_digits(address))
+
+
+def sql_ipv4_digits(address: str) -> str:
+    return " || ".join(
+        f"lpad(to_hex(TRY_CAST(split_part({address}, '.', {i}) AS INTEGER)), 2, '0')" for i in range(1, 5)
+    )
+
+
+def sql_hmac_digits(digits: str) -> str:
+    """The keyed hash of packed address bytes given as hex digits."""
     key = fx.SALT.encode().ljust(64, b"\0")
     inner = "".join(f"{b ^ 0x36:02X}" for b in key)
     outer = "".join(f"{b ^ 0x5C:02X}" for b in key)
-    octets = " || ".join(
-        f"lpad(to_hex(CAST(split_part({address}, '.', {i}) AS INTEGER)), 2, '0')" for i in range(1, 5)
-    )
     return (
-        f"'ip_' || substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || unhex({octets})))), 1, 32)"
+        f"'ip_' || substr(sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || unhex({digits})))), 1, 32)"
     )
 
 
@@ -229,9 +237,9 @@ FROM g2 a JOIN g1 ON a.w = g1.w LEFT JOIN g2 r ON r.w = a.w AND r.src_ip = a.dst
 
 
 def two_way_packets(spark, sf):
-    """Packets and, for every third one, a reply a second later."""
+    """Packets and, for the TCP ones, a reply a second later."""
     p = fx.v_packets(spark, sf)
-    back = p.filter("packet_id % 3 = 0").select(
+    back = p.filter("protocol = 'TCP'").select(
         (F.col("packet_id") + 1_000_000_000).alias("packet_id"),
         F.timestamp_micros(F.unix_micros("ts") + 1_000_000).alias("ts"),
         F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"),
@@ -244,7 +252,7 @@ def two_way_packets(spark, sf):
 TWO_WAY_VIEW = fx.with_views("v_scores", body="") + """, v_packets AS (
   SELECT packet_id, ts, src_ip, dst_ip, src_port, dst_port, protocol, packet_size FROM v_scores
   UNION ALL SELECT packet_id + 1000000000, ts + INTERVAL 1 SECOND, dst_ip, src_ip, dst_port, src_port, protocol,
-  packet_size * 2 FROM v_scores WHERE packet_id % 3 = 0)"""
+  packet_size * 2 FROM v_scores WHERE protocol = 'TCP')"""
 
 
 @register("g4_flow_rows", TWO_WAY_VIEW + FLOW_ROWS_SQL)
@@ -642,13 +650,21 @@ def a1(spark, sf):
     )
 
 
+_MIXED_DIGITS = f"""CASE src_port % 6 WHEN 0 THEN {sql_ipv4_digits('src_ip')}
+  WHEN 2 THEN '20010db8' || repeat('0', 20) || lpad(to_hex(dst_port), 4, '0')
+  WHEN 4 THEN repeat('0', 20) || 'ffff' || {sql_ipv4_digits('src_ip')} END"""
+
+
 @register(
     "a2_hash_ip_lenient",
-    fx.with_views("v_flows", body=f"SELECT address, CASE WHEN src_port % 6 = 0 THEN {sql_hmac('address')} WHEN src_port % 6 = 1 THEN address ELSE address END AS hashed FROM ({_MIXED} FROM v_flows) WHERE src_port % 6 IN (0, 1, 3, 5)"),
+    fx.with_views(
+        "v_flows",
+        body=f"""SELECT address, CASE WHEN digits IS NULL THEN address ELSE {sql_hmac_digits("digits")} END AS hashed
+FROM ({_MIXED} , {_MIXED_DIGITS} AS digits FROM v_flows)""",
+    ),
 )
 def a2(spark, sf):
-    mixed = _mixed_addresses(spark, sf).filter("src_port % 6 IN (0, 1, 3, 5)")
-    return mixed.select("address", ip.hash_ip_lenient(F.col("address"), fx.SALT).alias("hashed"))
+    return _mixed_addresses(spark, sf).select("address", ip.hash_ip_lenient(F.col("address"), fx.SALT).alias("hashed"))
 
 
 @register(
@@ -719,7 +735,7 @@ def u1(spark, sf):
 @register("u2_dedup_flows", fx.with_views("v_flows", body="SELECT DISTINCT * FROM v_flows"))
 def u2(spark, sf):
     flows = fx.v_flows(spark, sf)
-    return clean.dedup_flows(clean.combine_flows([flows, flows.filter("bytes_in % 3 = 0")]))
+    return clean.dedup_flows(clean.combine_flows([flows, flows.filter("protocol = 'TCP'")]))
 
 
 @register(
@@ -727,13 +743,13 @@ def u2(spark, sf):
     fx.with_views(
         "v_flows",
         body="""SELECT CAST(sum(n) AS BIGINT) AS initial_rows, count(*) AS final_rows, CAST(sum(n - 1) AS BIGINT) AS duplicates_removed FROM
-(SELECT count(*) AS n FROM (SELECT * FROM v_flows UNION ALL SELECT * FROM v_flows WHERE bytes_in % 3 = 0) t
+(SELECT count(*) AS n FROM (SELECT * FROM v_flows UNION ALL SELECT * FROM v_flows WHERE protocol = 'TCP') t
  GROUP BY ALL, "timestamp", src_ip, dst_ip, src_port, dst_port, protocol, bytes_in, bytes_out, packets_in, packets_out, duration)""".replace("GROUP BY ALL, ", "GROUP BY "),
     ),
 )
 def u2_report(spark, sf):
     flows = fx.v_flows(spark, sf)
-    return clean.dedup_report(clean.combine_flows([flows, flows.filter("bytes_in % 3 = 0")]))
+    return clean.dedup_report(clean.combine_flows([flows, flows.filter("protocol = 'TCP'")]))
 
 
 @register("u3_union_splits", with_intrusion("SELECT label, count(*) AS n FROM v_intrusion GROUP BY label"))

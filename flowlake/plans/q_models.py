@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions import encode
 from flowlake.ml import classifiers, iforest, training
-from flowlake.operators import behaviour, clean, decide, inspect, metrics, stats
+from flowlake.operators import behaviour, clean, decide, inspect, metrics, sampling, stats
 from flowlake.plans import fixtures as fx
 from flowlake.plans import scoring
 from flowlake.plans.q_clean import labelled_frames
@@ -353,17 +353,24 @@ def _text_features(spark, sf):
 _TEXT = ["n_chars", "n_bytes", "n_other", "n_digits", "n_lines"]
 
 
+def _split_text(spark, sf):
+    data = cut_lineage(_text_features(spark, sf), "text")
+    return sampling.train_test_split(data, ["doc_id"], strata=["is_attack"])
+
+
 @register("m13_iforest_tune_labelled")
 def m13(spark, sf):
-    data = cut_lineage(_text_features(spark, sf), "text")
-    return training.tune_labelled(data.filter("is_attack = 0 AND doc_id % 5 <> 0"), data.filter("is_attack = 1 OR doc_id % 5 = 0"), _TEXT)
+    """Train on normal rows; validate on the held-out normal rows and all attacks."""
+    data = _split_text(spark, sf)
+    train = (F.col("is_attack") == 0) & (F.col("split") == "train")
+    return training.tune_labelled(data.filter(train), data.filter(~train), _TEXT)
 
 
 @register("m12_intrusion_classifier")
 def m12(spark, sf):
-    data = cut_lineage(_text_features(spark, sf), "text")
-    model, scaler = classifiers.intrusion_classifier(data.filter("doc_id % 5 <> 0"), _TEXT)
-    predicted = classifiers.intrusion_predict(model, scaler, data.filter("doc_id % 5 = 0"))
+    data = _split_text(spark, sf)
+    model, scaler = classifiers.intrusion_classifier(data.filter("split = 'train'"), _TEXT)
+    predicted = classifiers.intrusion_predict(model, scaler, data.filter("split = 'test'"))
     return metrics.confusion_metrics(predicted, "is_attack", "pred")
 
 
