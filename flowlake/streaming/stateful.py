@@ -69,7 +69,11 @@ def source_history(
     idle_seconds: int | None = None,
     lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Rolling per-source history, optionally forgetting sources idle for ``idle_seconds``."""
+    """Rolling per-source history, optionally forgetting sources idle for ``idle_seconds``.
+
+    Forgetting goes by event time between a source's own rows, so it does not
+    depend on how rows fall into micro-batches; the timeout only frees state.
+    """
     doubles = ["mean_score", "mean_interval", "ip_score_delta", "interval_raw", "interval_delta"]
     output = T.StructType(
         [
@@ -93,6 +97,8 @@ def source_history(
         scores, gaps, last, flows = ([], [], None, 0) if old is None else (list(old[0]), list(old[1]), old[2], old[3])
         rows = []
         for pid, now, value in zip(pdf["packet_id"], pdf["_us"], pdf["_score"]):
+            if idle_seconds is not None and last is not None and now - last > idle_seconds * 1_000_000:
+                scores, gaps, last, flows = [], [], None, 0
             gap = 0 if last is None else int(now) - last
             last, flows = int(now), flows + 1
             gaps, scores = [*gaps, gap][-history:], [*scores, float(value)][-history:]
