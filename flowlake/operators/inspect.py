@@ -1,7 +1,8 @@
 """Payload inspectors as column expressions, and the registry that runs them.
 
-Payload columns may be strings or binary. Byte rules on a string see its UTF-8
-bytes; whole payloads are searched, never a prefix.
+Rules are about bytes. ``byte_text`` turns a payload (string or binary) into
+text with one character per byte, once per row; every inspector works on that
+view. Whole payloads are searched, never a prefix.
 """
 
 from __future__ import annotations
@@ -93,23 +94,18 @@ RISKY_CHARS_B = ["'", '"', ";", "<", ">", "../"]
 RESULT = "struct<alert:string,info:string,threat_level:string,score:int,details:string>"
 
 
-def _bytes(payload: Column) -> Column:
-    return payload.cast("binary")
+def byte_text(payload: Column) -> Column:
+    """Payload bytes as text, one character per byte (Latin-1)."""
+    return F.decode(payload.cast("binary"), "ISO-8859-1")
 
 
-def _has(payload: Column, text: str | bytes) -> Column:
-    raw = text.encode("utf-8") if isinstance(text, str) else text
-    return F.contains(_bytes(payload), F.lit(raw))
+def _has(text: Column, part: str | bytes) -> Column:
+    return text.contains(part if isinstance(part, str) else part.decode("latin-1"))
 
 
-def _ascii(payload: Column) -> Column:
-    """Payload as text with one character per byte: regexes over bytes behave as on bytes."""
-    return F.decode(_bytes(payload), "ISO-8859-1")
-
-
-def _ascii_lower(payload: Column) -> Column:
-    """Lower-case A-Z only, as a byte-wise lower does."""
-    return F.translate(_ascii(payload), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _result(alert=None, info=None, level=None, score=None, details=None) -> Column:
@@ -125,63 +121,74 @@ def _result(alert=None, info=None, level=None, score=None, details=None) -> Colu
     )
 
 
-def pii(payload: Column) -> Column:
-    text = _ascii(payload)
-    emails, phones = F.regexp_count(text, F.lit(EMAIL)), F.regexp_count(text, F.lit(PHONE))
-    parts = F.array_compact(
-        F.array(
-            F.when(emails > 0, F.concat(F.lit("Emails found: "), emails.cast("string"))),
-            F.when(phones > 0, F.concat(F.lit("Phones found: "), phones.cast("string"))),
+def pii(text: Column) -> Column:
+    # An address needs an @, a far cheaper test than the pattern.
+    emails = F.when(text.contains("@"), F.regexp_count(text, F.lit(EMAIL))).otherwise(0)
+    phones = F.regexp_count(text, F.lit(PHONE))
+
+    def report(n: Column) -> Column:
+        parts = F.array_compact(
+            F.array(
+                F.when(n["emails"] > 0, F.concat(F.lit("Emails found: "), n["emails"].cast("string"))),
+                F.when(n["phones"] > 0, F.concat(F.lit("Phones found: "), n["phones"].cast("string"))),
+            )
         )
-    )
-    return F.when((emails > 0) | (phones > 0), _result(alert="GDPR_PII_LEAK", details=F.array_join(parts, ", ")))
+        return F.when(F.size(parts) > 0, _result(alert="GDPR_PII_LEAK", details=F.array_join(parts, ", ")))
 
+    return _once(F.struct(emails.alias("emails"), phones.alias("phones")), report)
 
-def phi(payload: Column) -> Column:
-    score = sum((F.when(_has(payload, k), w).otherwise(0) for k, w in MEDICAL_KEYWORDS.items()), F.lit(0))
-    leaks = F.array_compact(F.array(*[F.when(_has(payload, k), k) for k in MEDICAL_KEYWORDS]))
+
+def phi(text: Column) -> Column:
+    score = sum((F.when(_has(text, k), w).otherwise(0) for k, w in MEDICAL_KEYWORDS.items()), F.lit(0))
+    leaks = F.array_compact(F.array(*[F.when(_has(text, k), k) for k in MEDICAL_KEYWORDS]))
     listed = F.concat(F.lit("Cleartext PHI found: ['"), F.array_join(leaks, "', '"), F.lit("']"))
     level = F.when(score > 15, "CRITICAL").otherwise("WARNING")
     return F.when(
-        _has(payload, MEDICAL_MARKER),
+        _has(text, MEDICAL_MARKER),
         F.when(score > 0, _result(alert="PHI_LEAK", level=level, score=score, details=listed)).otherwise(
             _result(info="DICOM stream detected (Anonymized/Metadata only)")
         ),
     )
 
 
-def shell_commands(payload: Column) -> Column:
-    hits = F.array_compact(F.array(*[F.when(_has(payload, c), c) for c in SHELL_FRAGMENTS]))
-    return F.when(F.size(hits) > 0, _result(alert="HONEYPOT_TRIGGER", details=F.array_join(hits, ", ")))
+def shell_commands(text: Column) -> Column:
+    hits = F.array_compact(F.array(*[F.when(_has(text, c), c) for c in SHELL_FRAGMENTS]))
+    return _once(
+        hits, lambda h: F.when(F.size(h) > 0, _result(alert="HONEYPOT_TRIGGER", details=F.array_join(h, ", ")))
+    )
 
 
-def decoy_paths(payload: Column) -> Column:
+def decoy_paths(text: Column) -> Column:
     out = F.lit(None).cast(RESULT)
     for path, trap in reversed(DECOYS):
         found = _result(alert="HONEYPOT_TRAP", level="CRITICAL", details=f"{trap}: {path}")
-        out = F.when(_has(payload, path), found).otherwise(out)
+        out = F.when(_has(text, path), found).otherwise(out)
     return out
 
 
-def pqc(payload: Column) -> Column:
-    names = F.array_compact(F.array(*[F.when(_has(payload, sig), name) for sig, name in PQC_SIGNATURES]))
-    listed = F.array_join(F.array_sort(F.array_distinct(names)), ", ")
-    return F.when(F.size(names) > 0, _result(alert="PQC_HANDSHAKE_DETECTED", level="INFO", details=listed))
+def pqc(text: Column) -> Column:
+    names = F.array_compact(F.array(*[F.when(_has(text, sig), name) for sig, name in PQC_SIGNATURES]))
+
+    def report(n: Column) -> Column:
+        listed = F.array_join(F.array_sort(F.array_distinct(n)), ", ")
+        return F.when(F.size(n) > 0, _result(alert="PQC_HANDSHAKE_DETECTED", level="INFO", details=listed))
+
+    return _once(names, report)
 
 
-def non_printable(payload: Column) -> Column:
+def non_printable(text: Column) -> Column:
     """Bytes outside the printable range 32..126."""
-    return F.octet_length(_bytes(payload)) - F.length(F.regexp_replace(_ascii(payload), r"[^\x20-\x7e]", ""))
+    return F.length(text) - F.length(F.regexp_replace(text, r"[^\x20-\x7e]+", ""))
 
 
-def high_entropy(payload: Column, minimum: int = 128, share: float = 0.4) -> Column:
-    size = F.octet_length(_bytes(payload))
-    hot = F.when(size > minimum, non_printable(payload) / size > share)
+def high_entropy(text: Column, minimum: int = 128, share: float = 0.4) -> Column:
+    size = F.length(text)
+    hot = F.when(size > minimum, non_printable(text) / size > share)
     return F.when(hot, _result(alert="HIGH_ENTROPY_TRAFFIC", details="Potential encrypted exfiltration detected"))
 
 
-def drill_marker(payload: Column) -> Column:
-    return F.when(_has(payload, DRILL_MARKER), _result(info="Red Team Drill Detected (Defense is active)"))
+def drill_marker(text: Column) -> Column:
+    return F.when(_has(text, DRILL_MARKER), _result(info="Red Team Drill Detected (Defense is active)"))
 
 
 Inspector = Callable[[Column], Column]
@@ -198,7 +205,7 @@ BUILT_IN: dict[str, Inspector] = {
 
 
 class InspectorRegistry:
-    """Named inspectors, each a function from a payload column to a nullable result struct.
+    """Named inspectors, each a function from the byte text to a nullable result struct.
 
     A user inspector that needs Python can return a pandas UDF column of type
     ``RESULT``. ``skip_failing`` drops inspectors whose expression cannot be
@@ -214,11 +221,11 @@ class InspectorRegistry:
     def names(self) -> list[str]:
         return list(self._inspectors)
 
-    def results(self, payload: Column, skip_failing: bool = True) -> Column:
+    def results(self, text: Column, skip_failing: bool = True) -> Column:
         entries = []
         for name, build in self._inspectors.items():
             try:
-                found = build(payload)
+                found = build(text)
             except Exception:
                 if not skip_failing:
                     raise
@@ -229,7 +236,8 @@ class InspectorRegistry:
 
     def run(self, df: DataFrame, payload: str = "payload", skip_failing: bool = True) -> DataFrame:
         """Add ``findings``: the non-empty results of all inspectors."""
-        return df.withColumn("findings", self.results(F.col(payload), skip_failing))
+        with_text = df.withColumn("_text", byte_text(F.col(payload)))
+        return with_text.withColumn("findings", self.results(F.col("_text"), skip_failing)).drop("_text")
 
 
 def findings(inspected: DataFrame, *keys: str) -> DataFrame:
@@ -241,44 +249,54 @@ def inspector_hits(inspected: DataFrame) -> DataFrame:
     return findings(inspected).groupBy("inspector").agg(F.count(F.lit(1)).alias("hits"))
 
 
-def _starts(payload: Column, starts: list[str]) -> Column:
-    text = _ascii(payload)
+def _starts(text: Column, starts: list[str]) -> Column:
     out = F.lit(False)
     for s in starts:
         out = out | text.startswith(s)
     return out
 
 
+def _views(payload: Column) -> Column:
+    """Byte text and its lower-case form. Only ASCII patterns are looked up in the latter."""
+    text = byte_text(payload)
+    return F.struct(text.alias("text"), F.lower(text).alias("low"))
+
+
+def _threats(low: Column, patterns: list[str]) -> Column:
+    return sum((low.contains(p.lower()).cast("int") for p in patterns), F.lit(0))
+
+
 def signature_score_a(base: Column, payload: Column) -> Column:
     """Base score plus a capped boost for known threats; plain requests are held near zero.
 
     The plain-request test looks for the patterns as written in the lower-cased
     payload, so patterns with capitals never match there.
     """
-    low = _ascii_lower(payload)
-    clean = _starts(payload, SAFE_STARTS_A)
-    count = F.lit(0)
-    for p in PATTERNS_A:
-        clean = clean & ~low.contains(p)
-        count = count + low.contains(p.lower()).cast("int")
-    total = base + F.least(count * F.lit(0.35), F.lit(0.6))
-    held = F.when(clean & (total < 0.8), F.least(total, F.lit(0.05))).otherwise(total)
-    bounded = F.greatest(F.lit(0.0), F.least(held, F.lit(1.0)))
-    return F.when(F.coalesce(F.octet_length(_bytes(payload)), F.lit(0)) == 0, 0.0).otherwise(bounded)
+
+    def score(v: Column) -> Column:
+        clean = _starts(v["text"], SAFE_STARTS_A)
+        for p in PATTERNS_A:
+            clean = clean & ~v["low"].contains(p)
+        total = base + F.least(_threats(v["low"], PATTERNS_A) * F.lit(0.35), F.lit(0.6))
+        held = _once(total, lambda t: F.when(clean & (t < 0.8), F.least(t, F.lit(0.05))).otherwise(t))
+        bounded = F.greatest(F.lit(0.0), F.least(held, F.lit(1.0)))
+        return F.when(F.coalesce(F.length(v["text"]), F.lit(0)) == 0, 0.0).otherwise(bounded)
+
+    return _once(_views(payload), score)
 
 
 def signature_score_b(base: Column, payload: Column) -> Column:
     """Variant with a larger, uncapped boost and a stricter notion of a plain request."""
-    text, low = _ascii(payload), _ascii_lower(payload)
-    clean = _starts(payload, SAFE_STARTS_B)
-    for c in RISKY_CHARS_B:
-        clean = clean & ~text.contains(c)
-    count = F.lit(0)
-    for p in PATTERNS_B:
-        count = count + low.contains(p.lower()).cast("int")
-    total = base + count * F.lit(0.5)
-    held = F.when(clean & (total < 1.0), F.least(total, F.lit(0.1))).otherwise(total)
-    return F.least(F.greatest(held, F.lit(0.0)), F.lit(1.0))
+
+    def score(v: Column) -> Column:
+        clean = _starts(v["text"], SAFE_STARTS_B)
+        for c in RISKY_CHARS_B:
+            clean = clean & ~v["text"].contains(c)
+        total = base + _threats(v["low"], PATTERNS_B) * F.lit(0.5)
+        held = _once(total, lambda t: F.when(clean & (t < 1.0), F.least(t, F.lit(0.1))).otherwise(t))
+        return F.least(F.greatest(held, F.lit(0.0)), F.lit(1.0))
+
+    return _once(_views(payload), score)
 
 
 def request_verdict(score: Column, results: Column, threshold: float = 0.5) -> Column:

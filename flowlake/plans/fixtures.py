@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.session import configure
+from flowlake.session import configure, spread
 
 AS_OF_TEXT = "2024-01-15 00:00:00"
 SALT = "flowlake-demo-salt"
@@ -123,7 +123,7 @@ def v_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         F.col("page_id").alias("id"), F.lit("page").alias("kind"), F.col("html").alias("payload")
     )
-    return documents.unionByName(pages)
+    return spread(documents.unionByName(pages))
 
 
 def _hours_later(start: Column, hours: Column) -> Column:

@@ -213,6 +213,10 @@ def _payloads(spark, sf):
     return fx.v_payloads(spark, sf)
 
 
+def _text():
+    return inspect.byte_text(F.col("payload"))
+
+
 @register(
     "i1_pii_inspector",
     fx.with_views(
@@ -223,7 +227,7 @@ FROM (SELECT *, {EMAIL_SQL} AS e, {PHONE_SQL} AS p FROM v_payloads) WHERE e > 0
     ),
 )
 def i1(spark, sf):
-    found = _payloads(spark, sf).select("id", "kind", inspect.pii(F.col("payload")).alias("r"))
+    found = _payloads(spark, sf).select("id", "kind", inspect.pii(_text()).alias("r"))
     return found.filter("r IS NOT NULL").select("id", "kind", "r.alert", "r.details")
 
 
@@ -253,7 +257,7 @@ FROM (SELECT id, kind, {_PHI_SCORE} AS s FROM v_payloads WHERE id % 3 = 0 OR con
     ),
 )
 def i2(spark, sf):
-    found = _medical(spark, sf).select("id", "kind", inspect.phi(F.col("payload")).alias("r"))
+    found = _medical(spark, sf).select("id", "kind", inspect.phi(_text()).alias("r"))
     return found.filter("r IS NOT NULL").select("id", "kind", "r.alert", "r.threat_level", "r.score")
 
 
@@ -267,7 +271,7 @@ FROM v_payloads WHERE contains(payload, 'sh') OR contains(payload, 'wget') OR co
     ),
 )
 def i3(spark, sf):
-    found = _payloads(spark, sf).select("id", "kind", inspect.shell_commands(F.col("payload")).alias("r"))
+    found = _payloads(spark, sf).select("id", "kind", inspect.shell_commands(_text()).alias("r"))
     return found.filter("r IS NOT NULL").select("id", "kind", F.col("r.details").alias("commands"))
 
 
@@ -291,7 +295,7 @@ _DECOY_CASE = "CASE " + " ".join(f"WHEN contains(payload, '{p}') THEN '{t}: {p}'
 
 @register("i4_decoy_path_trap", fx.with_views("v_payloads", body="") + REQUESTS_SQL + f" SELECT id, kind, {_DECOY_CASE} AS details FROM req WHERE {_DECOY_CASE} IS NOT NULL")
 def i4(spark, sf):
-    found = _requests(spark, sf).select("id", "kind", inspect.decoy_paths(F.col("payload")).alias("r"))
+    found = _requests(spark, sf).select("id", "kind", inspect.decoy_paths(_text()).alias("r"))
     return found.filter("r IS NOT NULL").select("id", "kind", "r.details")
 
 
@@ -319,7 +323,7 @@ _PQC_LIST = "[" + ", ".join(
     ),
 )
 def i5(spark, sf):
-    found = _handshakes(spark, sf).select("id", "kind", inspect.pqc(F.col("payload")).alias("r"))
+    found = _handshakes(spark, sf).select("id", "kind", inspect.pqc(_text()).alias("r"))
     return found.filter("r IS NOT NULL").select("id", "kind", F.col("r.details").alias("algorithms"))
 
 
@@ -332,10 +336,10 @@ def i5(spark, sf):
     ),
 )
 def i6(spark, sf):
-    payload = F.col("payload")
-    return _payloads(spark, sf).select(
-        "id", "kind", F.octet_length(payload).alias("n_bytes"), inspect.non_printable(payload).alias("non_printable"),
-        inspect.high_entropy(payload).isNotNull().alias("high_entropy"),
+    text = F.col("text")
+    return _payloads(spark, sf).withColumn("text", _text()).select(
+        "id", "kind", F.length(text).alias("n_bytes"), inspect.non_printable(text).alias("non_printable"),
+        inspect.high_entropy(text).isNotNull().alias("high_entropy"),
     )
 
 
@@ -345,7 +349,7 @@ def i6(spark, sf):
 )
 def i7(spark, sf):
     marked = F.concat(F.col("payload"), F.when(F.col("id") % 9 == 0, "<b>RedTeam-XSS-Probe</b>").otherwise(""))
-    found = _payloads(spark, sf).withColumn("payload", marked).filter(inspect.drill_marker(F.col("payload")).isNotNull())
+    found = _payloads(spark, sf).withColumn("payload", marked).filter(inspect.drill_marker(_text()).isNotNull())
     return found.select("id", "kind")
 
 
@@ -657,6 +661,6 @@ def x1(spark, sf):
 
     registry.register("broken", broken)
     registry.register(
-        "long_payload", lambda p: F.when(F.octet_length(p) > 1000, inspect._result(info="long", details="over 1000 bytes"))
+        "long_payload", lambda t: F.when(F.length(t) > 1000, inspect._result(info="long", details="over 1000 bytes"))
     )
     return inspect.findings(registry.run(_payloads(spark, sf)), "id", "kind").select("id", "kind", "inspector")

@@ -295,8 +295,8 @@ def m5(spark, sf):
 @register("m6_isolation_forest")
 def m6(spark, sf):
     data = _scaled(spark, sf)
-    forest = iforest.fit(data, _LOGGED, trees=100, contamination=0.05)
-    return metrics.anomaly_eval(forest.predict(data))
+    _, judged = iforest.fit_predict(data, _LOGGED, trees=100, contamination=0.05)
+    return metrics.anomaly_eval(judged)
 
 
 @register("m7_hyperparameter_grid")
@@ -344,7 +344,7 @@ def _text_features(spark, sf):
         F.col("y").alias("is_attack"),
         F.col("score").alias("n_chars"),
         F.octet_length(text).cast("double").alias("n_bytes"),
-        inspect.non_printable(text).cast("double").alias("n_other"),
+        inspect.non_printable(inspect.byte_text(text)).cast("double").alias("n_other"),
         F.regexp_count(text, F.lit("[0-9]")).cast("double").alias("n_digits"),
         F.regexp_count(text, F.lit("\n")).cast("double").alias("n_lines"),
     )

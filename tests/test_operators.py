@@ -114,7 +114,7 @@ def test_inspectors_on_hand_payloads(spark):
 def test_byte_signatures_in_binary_payloads(spark):
     sig = inspect.PQC_SIGNATURES[2][0]
     df = spark.createDataFrame([(bytearray(b"\xff\xfe" + sig + b"\x00"),), (bytearray(sig[:-1]),)], "p binary")
-    assert [r[0]["details"] if r[0] else None for r in df.select(inspect.pqc(F.col("p"))).collect()] == ["Kyber1024", None]
+    assert [r[0]["details"] if r[0] else None for r in df.select(inspect.pqc(inspect.byte_text(F.col("p")))).collect()] == ["Kyber1024", None]
 
 
 def test_signature_scores(spark):
