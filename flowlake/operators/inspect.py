@@ -230,9 +230,10 @@ class InspectorRegistry:
                 if not skip_failing:
                     raise
                 continue
-            entry = F.struct(F.lit(name).alias("inspector"), found.cast(RESULT).alias("result"))
-            entries.append(F.when(found.isNotNull(), entry))
-        return F.array_compact(F.array(*entries))
+            entries.append(F.struct(F.lit(name).alias("inspector"), found.cast(RESULT).alias("result")))
+        if not entries:
+            return F.array().cast(f"array<struct<inspector:string,result:{RESULT}>>")
+        return F.filter(F.array(*entries), lambda e: e["result"].isNotNull())
 
     def run(self, df: DataFrame, payload: str = "payload", skip_failing: bool = True) -> DataFrame:
         """Add ``findings``: the non-empty results of all inspectors."""
@@ -241,8 +242,13 @@ class InspectorRegistry:
 
 
 def findings(inspected: DataFrame, *keys: str) -> DataFrame:
-    """One row per payload and inspector that found something."""
-    return inspected.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.inspector", "f.result.*")
+    """One row per payload and inspector that found something.
+
+    The outer explode keeps the optimizer from deriving a non-empty filter,
+    which would run all inspectors a second time below the generator.
+    """
+    rows = inspected.select(*keys, F.explode_outer("findings").alias("f")).filter("f IS NOT NULL")
+    return rows.select(*keys, "f.inspector", "f.result.*")
 
 
 def inspector_hits(inspected: DataFrame) -> DataFrame:
