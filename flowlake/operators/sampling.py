@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.operators.blocklist import maybe_broadcast
+from flowlake.session import cut_lineage
 
 # Hash slices: 16 ** HEX_DIGITS per stratum.
 HEX_DIGITS = 4
@@ -44,6 +45,7 @@ def lowest(df: DataFrame, wanted: Column, hash_col: str, strata: Sequence[str] =
     )
     # One row per stratum that is cut; strata without a row are taken whole.
     if strata:
+        plan = cut_lineage(plan, "strata")
         on = F.lit(True)
         for s in strata:
             on = on & F.col(s).eqNullSafe(F.col(f"_of_{s}"))

@@ -101,33 +101,36 @@ def protocol_counts(packets: DataFrame, seconds: int = 5) -> DataFrame:
 def flow_rows(packets: DataFrame, salt: str | bytes, seconds: int = 5) -> DataFrame:
     """The 18-column window rows: one per flow, with its reverse flow as the "dst" side.
 
-    Both directions of a conversation meet by grouping on an order-free key, so
-    no self-join is needed. The window totals are joined back on the window, a
-    table that grows with time and not with traffic.
+    A row is stamped with the end of its window. Both directions of a
+    conversation meet by grouping on an order-free key, so no self-join is
+    needed. Conversations and window totals read the same per-flow counts and
+    columns, so Spark runs that shuffle once and reuses it. The totals are
+    joined back on the window, a table that grows with time, not with traffic.
     """
     flows = _flow_groups(packets, seconds)
     totals = _roll_up(flows, seconds)
     here = F.struct(F.col("src").alias("ip"), F.col("src_port").alias("port"))
     there = F.struct(F.col("dst").alias("ip"), F.col("dst_port").alias("port"))
+    # Flows without addresses are dropped after grouping: a filter here would be
+    # pushed below the shared shuffle and make it two.
+    known = F.col("src").isNotNull() & F.col("dst").isNotNull()
     pairs = (
-        flows.filter("src IS NOT NULL AND dst IS NOT NULL")
-        .withColumns({"low": F.least(here, there), "high": F.greatest(here, there), "forward": here <= there})
+        flows.withColumns({"low": F.least(here, there), "high": F.greatest(here, there), "forward": here <= there})
         .groupBy("w", "low", "high", "protocol")
         .agg(
             *[
-                F.max(F.when(F.col("forward") == way, F.struct("packet_count", "byte_count", "last_seen"))).alias(name)
+                F.sum(F.when(known & (F.col("forward") == way), F.col(count))).alias(f"{name}_{count}")
                 for way, name in ((True, "out"), (False, "back"))
+                for count in ("packet_count", "byte_count")
             ]
         )
     )
 
     def direction(source: str, target: str, own: str, reverse: str) -> Column:
-        return F.when(
-            F.col(own).isNotNull(),
-            F.struct(
-                F.col(source).alias("src"), F.col(target).alias("dst"), F.col(own).alias("own"), F.col(reverse).alias("rev")
-            ),
-        )
+        fields = [F.col(source).alias("src"), F.col(target).alias("dst")]
+        for side, name in ((own, "own"), (reverse, "reverse")):
+            fields += [F.col(f"{side}_packet_count").alias(f"{name}_packets"), F.col(f"{side}_byte_count").alias(f"{name}_bytes")]
+        return F.when(F.col(f"{own}_packet_count").isNotNull(), F.struct(*fields))
 
     both = F.array_compact(F.array(direction("low", "high", "out", "back"), direction("high", "low", "back", "out")))
     zero = F.lit(0)
@@ -136,7 +139,7 @@ def flow_rows(packets: DataFrame, salt: str | bytes, seconds: int = 5) -> DataFr
         .withColumn("window_start", F.col("w.start"))
         .join(totals, "window_start")
         .select(
-            F.col("f.own.last_seen").alias("timestamp"),
+            F.col("window_end").alias("timestamp"),
             "window_start",
             "window_end",
             "duration_seconds",
@@ -150,10 +153,10 @@ def flow_rows(packets: DataFrame, salt: str | bytes, seconds: int = 5) -> DataFr
             "protocol",
             F.col("f.src.port").alias("src_port"),
             F.col("f.dst.port").alias("dst_port"),
-            F.col("f.own.packet_count").alias("src_flow_packets"),
-            F.col("f.own.byte_count").alias("src_flow_bytes"),
-            F.coalesce("f.rev.packet_count", zero).alias("dst_flow_packets"),
-            F.coalesce("f.rev.byte_count", zero).alias("dst_flow_bytes"),
+            F.col("f.own_packets").alias("src_flow_packets"),
+            F.col("f.own_bytes").alias("src_flow_bytes"),
+            F.coalesce("f.reverse_packets", zero).alias("dst_flow_packets"),
+            F.coalesce("f.reverse_bytes", zero).alias("dst_flow_bytes"),
         )
     )
 

@@ -222,10 +222,10 @@ def sql_hmac_digits(digits: str) -> str:
 
 FLOW_ROWS_SQL = f"""
 , p AS (SELECT *, time_bucket(INTERVAL 5 MINUTE, ts) AS w FROM v_packets)
-, g2 AS (SELECT w, src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS n, CAST(sum(packet_size) AS BIGINT) AS b,
-                min(ts) AS first_seen, max(ts) AS last_seen FROM p GROUP BY ALL)
+, g2 AS (SELECT w, src_ip, dst_ip, src_port, dst_port, protocol, count(*) AS n, CAST(sum(packet_size) AS BIGINT) AS b
+    FROM p GROUP BY ALL)
 , g1 AS (SELECT w, CAST(sum(n) AS BIGINT) AS n, CAST(sum(b) AS BIGINT) AS b, count(*) AS flows FROM g2 GROUP BY w)
-SELECT a.last_seen AS "timestamp", a.w AS window_start, a.w + INTERVAL 5 MINUTE AS window_end,
+SELECT a.w + INTERVAL 5 MINUTE AS "timestamp", a.w AS window_start, a.w + INTERVAL 5 MINUTE AS window_end,
   CAST(300 AS DOUBLE) AS duration_seconds, g1.n AS packet_count, g1.b AS byte_count, g1.flows AS unique_flows,
   round(g1.n / 300.0, 2) AS rate_pps, round(g1.b * 8 / 300.0, 2) AS rate_bps,
   {sql_hmac('a.src_ip')} AS src_ip_anon, {sql_hmac('a.dst_ip')} AS dst_ip_anon, a.protocol,
