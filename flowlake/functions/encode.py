@@ -27,6 +27,16 @@ def lookup(key: Column, table: dict, default) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), key), F.lit(default))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, exact ties to even, without separators."""
+    return F.regexp_replace(F.format_number(value, digits), ",", "")
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Number rounded by its exact binary value, exact ties to even."""
+    return fixed(value, digits).cast("double")
+
+
 def protocol_name(number: Column) -> Column:
     return lookup(number.cast("int"), {6: "TCP", 17: "UDP", 1: "ICMP"}, "OTHER")
 

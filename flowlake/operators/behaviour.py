@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -173,3 +173,40 @@ def _port_scan_hot(packets: DataFrame, ts: str, tie: str, max_group_rows: int) -
     flagged = packets.join(numbered, F.col(tie) == F.col("_first_id"), "left").drop("_first_id")
     out = ordered(flagged, ["src_ip"], [ts, tie], [Running({"ports_seen": F.col("_number")})], max_group_rows)
     return out.drop("_number", POSITION)
+
+
+def _scan_alerts(packets: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("IP probed "), F.col("ports_seen").cast("string"), F.lit(" unique ports"))
+    return port_scan(packets).filter("is_scan").select(
+        "packet_id", "src_ip", F.lit("PORT_SCAN_DETECTION").alias("alert"), text.alias("details")
+    )
+
+
+def _beacon_alerts(packets: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("gap variance "), encode.fixed(F.col("gap_variance"), 2))
+    return beacons(packets).filter("is_beacon").select(
+        "packet_id", "src_ip", F.lit("BEACON").alias("alert"), text.alias("details")
+    )
+
+
+PacketInspector = Callable[[DataFrame], DataFrame]
+
+PACKET_INSPECTORS: dict[str, PacketInspector] = {"port_scan": _scan_alerts, "beacons": _beacon_alerts}
+
+
+def packet_findings(packets: DataFrame, inspectors: dict[str, PacketInspector] | None = None) -> DataFrame:
+    """Alerts of all packet inspectors: packet_id, src_ip, alert and details, by inspector.
+
+    An inspector is a function from the packet table to its alert rows, so user
+    inspectors are distributed like the built-in ones.
+    """
+    parts = [
+        run(packets).select(F.lit(name).alias("inspector"), "packet_id", "src_ip", "alert", "details")
+        for name, run in (PACKET_INSPECTORS if inspectors is None else inspectors).items()
+    ]
+    if not parts:
+        raise ValueError("no inspectors")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

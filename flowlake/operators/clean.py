@@ -11,7 +11,10 @@ from flowlake.functions import encode, ip
 from flowlake.schemas import DOUBLE_COLUMNS, LONG_COLUMNS, NUMERIC_COLUMNS
 
 # Texts that stand for a missing value in flow files.
-NULL_TEXTS = ["", "null", "None", "NULL", "NaN", "nan", "NA", "N/A", "n/a", "<NA>", "#N/A", "-nan", "-NaN"]
+NULL_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 
 ESSENTIAL = ["src_ip", "dst_ip", "bytes_in", "bytes_out"]
 

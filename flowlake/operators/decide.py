@@ -98,7 +98,7 @@ def top_deviations(values: dict[str, Column], stats: dict[str, tuple[float, floa
     best = F.slice(F.array_sort(F.array(*entries)), 1, top)
     texts = F.transform(
         best,
-        lambda e: F.concat(e["name"], F.lit(" ("), F.when(e["z"] >= 0, "+").otherwise(""), F.format_string("%.1fσ)", e["z"])),
+        lambda e: F.concat(e["name"], F.lit(" ("), F.when(e["z"] >= 0, "+").otherwise(""), encode.fixed(e["z"], 1), F.lit("σ)")),
     )
     return F.array_join(texts, ", ")
 
@@ -116,7 +116,7 @@ def enforcement(
     matched = blocklist.blocklist_match(open_flows, entries, as_of)
     anomaly = F.col("prediction") == -1
     high = F.col("risk_level").isin("high", "critical")
-    number = F.format_string("%.3f", F.col(score))
+    number = encode.fixed(F.col(score), 3)
     why = F.coalesce(F.col(explanation), F.lit("unknown_anomaly"))
     reason = (
         F.when(F.col("blocked_side") == "src", F.concat(F.lit("Source IP "), F.col("src_ip"), F.lit(" is blacklisted")))

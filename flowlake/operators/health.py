@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlake.functions.encode import fixed, rounded
 from flowlake.operators.sequence import MAX_GROUP_ROWS, POSITION, Running, Stage, ordered
 
 # Default limits of the alert rules and of their clearing.
@@ -48,24 +49,23 @@ def _rules(limits: dict) -> list[tuple[str, Column, Column, Column]]:
     """Alert type, firing condition, severity and message of the six rules."""
     drop, queue = F.col("drop_rate_percent"), F.col("flows_in_queue")
     cpu, memory, disk = F.col("cpu_usage_percent"), F.col("memory_usage_mb"), F.col("disk_usage_percent")
-    text = F.format_string
     return [
         (
             "high_drop_rate",
             drop > limits["drop"],
             F.when(drop > limits["drop"] * 2, "critical").otherwise("warning"),
-            text(f"Drop rate %.1f%% exceeds threshold {limits['drop']}%%", drop),
+            F.concat(F.lit("Drop rate "), fixed(drop, 1), F.lit(f"% exceeds threshold {limits['drop']}%")),
         ),
         (
             "queue_overflow",
             queue > limits["queue"],
             F.lit("warning"),
-            text(f"Flow queue size %d exceeds threshold {limits['queue']}", queue),
+            F.concat(F.lit("Flow queue size "), queue.cast("string"), F.lit(f" exceeds threshold {limits['queue']}")),
         ),
         ("interface_unavailable", ~F.col("interface_available"), F.lit("critical"), F.lit("Capture interface is not available")),
-        ("high_cpu", cpu > limits["cpu"], F.lit("warning"), text("CPU usage %.1f%% is very high", cpu)),
-        ("high_memory", memory > limits["memory"], F.lit("warning"), text("Memory usage %.0fMB is high", memory)),
-        ("high_disk_usage", disk > limits["disk"], F.lit("critical"), text("Disk usage %.1f%% is critically high", disk)),
+        ("high_cpu", cpu > limits["cpu"], F.lit("warning"), F.concat(F.lit("CPU usage "), fixed(cpu, 1), F.lit("% is very high"))),
+        ("high_memory", memory > limits["memory"], F.lit("warning"), F.concat(F.lit("Memory usage "), fixed(memory, 0), F.lit("MB is high"))),
+        ("high_disk_usage", disk > limits["disk"], F.lit("critical"), F.concat(F.lit("Disk usage "), fixed(disk, 1), F.lit("% is critically high"))),
     ]
 
 
@@ -231,14 +231,24 @@ def newest(
 
 
 def health_summary(
-    rated: DataFrame, limits: dict = LIMITS, last: int = 10, ties: Sequence[str] = ("sensor",)
+    rated: DataFrame,
+    limits: dict = LIMITS,
+    last: int = 10,
+    ties: Sequence[str] = ("sensor",),
+    alerts: DataFrame | None = None,
+    alert_memory: int = 100,
 ) -> DataFrame:
-    """Averages and overall status of the newest snapshots."""
+    """Averages and overall status of the newest snapshots, and the newest machine gauges.
+
+    With resolved ``alerts`` also how many of the last ``alert_memory`` are open and listed.
+    """
+    gauges = ["interface_available", "memory_usage_mb", "cpu_usage_percent", "disk_usage_percent"]
+    moment = F.struct(F.col("ts"), *[F.col(t) for t in ties])
     recent = newest(rated, last, ties=ties).agg(
         F.avg("drop_rate_percent").alias("drop"),
         F.avg("flows_in_queue").alias("queue"),
         F.avg("capture_rate_pps").alias("capture"),
-        F.max_by("interface_available", "ts").alias("interface_available"),
+        *[F.max_by(g, moment).alias(g) for g in gauges],
         F.count(F.lit(1)).alias("snapshots"),
     )
     status = (
@@ -247,10 +257,15 @@ def health_summary(
         .when(F.col("drop") > limits["drop"] * 0.5, "warning")
         .otherwise("healthy")
     )
-    return recent.select(
+    out = recent.select(
         status.alias("status"),
-        F.round("drop", 2).alias("avg_drop_rate_percent"),
-        F.round("queue", 1).alias("avg_queue_size"),
-        F.round("capture", 2).alias("avg_capture_rate_pps"),
-        "interface_available",
+        rounded(F.col("drop"), 2).alias("avg_drop_rate_percent"),
+        rounded(F.col("queue"), 1).alias("avg_queue_size"),
+        rounded(F.col("capture"), 2).alias("avg_capture_rate_pps"),
+        *gauges,
     )
+    if alerts is None:
+        return out
+    kept = newest(alerts, alert_memory, ties=[*ties, "alert_type"])
+    open_alerts, listed = kept.agg(F.count_if(~F.col("resolved")), F.count(F.lit(1))).first()
+    return out.withColumns({"active_alerts": F.lit(open_alerts), "total_alerts": F.lit(listed)})

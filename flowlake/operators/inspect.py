@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -204,11 +205,38 @@ BUILT_IN: dict[str, Inspector] = {
 }
 
 
+def python_inspector(check: Callable[[bytes], dict | None]) -> Inspector:
+    """Inspector from a Python function of the payload bytes, for rules columns cannot express.
+
+    The function returns a mapping with any of alert, info, threat_level, score
+    and details, or None. A failure on one payload counts as no finding.
+    """
+    fields = ["alert", "info", "threat_level", "score", "details"]
+
+    @F.pandas_udf(RESULT.replace("score:int", "score:double"))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            try:
+                found = check(text.encode("latin-1")) if text is not None else None
+            except Exception:
+                found = None
+            rows.append([(found or {}).get(f) for f in fields])
+        out = pd.DataFrame(rows, columns=fields)
+        return out.assign(score=pd.to_numeric(out["score"], errors="coerce"))
+
+    def build(text: Column) -> Column:
+        found = run(text)
+        some = F.coalesce(*[found[f].cast("string") for f in fields]).isNotNull()
+        return F.when(some, found.cast(RESULT))
+
+    return build
+
+
 class InspectorRegistry:
     """Named inspectors, each a function from the byte text to a nullable result struct.
 
-    A user inspector that needs Python can return a pandas UDF column of type
-    ``RESULT``. ``skip_failing`` drops inspectors whose expression cannot be
+    ``python_inspector`` wraps rules that need Python. ``skip_failing`` drops inspectors whose expression cannot be
     built, so that one of them does not stop the others.
     """
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions import ip
+from flowlake.functions.encode import rounded
 
 FLOW_KEY = ["src_ip", "dst_ip", "src_port", "dst_port", "protocol"]
 
@@ -53,8 +54,8 @@ def _roll_up(flows: DataFrame, seconds: int) -> DataFrame:
         "packet_count",
         "byte_count",
         "unique_flows",
-        F.round(F.col("packet_count") / F.lit(float(seconds)), 2).alias("rate_pps"),
-        F.round(F.col("byte_count") * 8 / F.lit(float(seconds)), 2).alias("rate_bps"),
+        rounded(F.col("packet_count") / F.lit(float(seconds)), 2).alias("rate_pps"),
+        rounded(F.col("byte_count") * 8 / F.lit(float(seconds)), 2).alias("rate_bps"),
     )
 
 

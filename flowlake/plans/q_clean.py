@@ -35,6 +35,15 @@ def s1(spark, sf):
     return src.scan_flow_csv(spark, _dirty_csv(spark, sf), FLOW_COLUMNS)
 
 
+@register("s1_skip_malformed_files", fx.with_views("v_dirty_flows", body=_TYPED_DIRTY))
+def s1_skip(spark, sf):
+    """Clean files next to a file with a broken number, which is left out."""
+    path = _dirty_csv(spark, sf)
+    broken = fx.v_dirty_flows(spark, sf).withColumn("bytes_out", F.when(F.col("protocol") == "TCP", "many").otherwise(F.col("bytes_out")))
+    broken.repartition(1).write.mode("append").option("header", True).csv(path)
+    return src.scan_flow_csv(spark, path, FLOW_COLUMNS, malformed="skip_file")
+
+
 @register("s2_stream_flow_csv", fx.with_views("v_dirty_flows", body=_TYPED_DIRTY))
 def s2(spark, sf):
     return run.drain(src.stream_flow_csv(spark, _dirty_csv(spark, sf)), "stream-csv")

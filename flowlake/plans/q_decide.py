@@ -614,7 +614,7 @@ _Z_LIST = ", ".join(f"{{'r': -abs(CAST({z} AS DOUBLE)), 'i': {i}, 'n': '{n}', 'z
     fx.with_views(
         "v_packets",
         body=f"""SELECT packet_id, array_to_string(list_transform(list_slice(list_sort([{_Z_LIST}]), 1, 3),
-  lambda e: e.n || ' (' || CASE WHEN e.z >= 0 THEN '+' ELSE '' END || printf('%.1f', round(e.z, 1)) || 'σ)'), ', ') AS explanation FROM v_packets""",
+  lambda e: e.n || ' (' || CASE WHEN e.z >= 0 THEN '+' ELSE '' END || printf('%.1f', e.z) || 'σ)'), ', ') AS explanation FROM v_packets""",
     ),
 )
 def o3(spark, sf):
@@ -648,6 +648,22 @@ def o5_stratified(spark, sf):
     return out.select("event_id", "split")
 
 
+@register(
+    "x1_python_inspector",
+    fx.with_views("v_payloads", body="SELECT id, kind, strlen(payload) AS score FROM v_payloads WHERE strlen(payload) % 2 = 0 AND NOT contains(payload, '@')"),
+)
+def x1_python(spark, sf):
+    """A Python rule that fails on some payloads: those count as clean."""
+
+    def even_length(payload: bytes):
+        if b"@" in payload:
+            raise ValueError("cannot judge")
+        return {"info": "even", "score": len(payload)} if len(payload) % 2 == 0 else None
+
+    registry = inspect.InspectorRegistry({"even_length": inspect.python_inspector(even_length)})
+    return inspect.findings(registry.run(_payloads(spark, sf)), "id", "kind").select("id", "kind", "score")
+
+
 @register(
     "x1_inspector_registry",
     fx.with_views("v_payloads", body="SELECT id, kind, 'long_payload' AS inspector FROM v_payloads WHERE strlen(payload) > 1000"),

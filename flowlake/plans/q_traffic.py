@@ -177,6 +177,16 @@ def w9(spark, sf):
     return behaviour.port_scan(fx.v_packets(spark, sf)).select("packet_id", "src_ip", "ports_seen", "is_scan")
 
 
+@register(
+    "x1_packet_findings",
+    fx.with_views("v_packets", body="") + _SCAN_SQL.replace("SELECT packet_id, src_ip, ports_seen, ports_seen > 5 AS is_scan FROM c", "") + """
+SELECT packet_id, 'port_scan' AS inspector, 'IP probed ' || ports_seen || ' unique ports' AS details FROM c WHERE ports_seen > 5""",
+)
+def x1_packets(spark, sf):
+    """Both packet inspectors; flows of the test packets are too short for a beacon."""
+    return behaviour.packet_findings(fx.v_packets(spark, sf)).select("packet_id", "inspector", "details")
+
+
 # ---------------------------------------------------------------------- health
 
 RATED_SQL = """
@@ -264,14 +274,18 @@ def w14(spark, sf):
 
 @register(
     "g17_health_summary",
-    fx.with_views("v_health", body="") + RATED_SQL + """
+    fx.with_views("v_health", body="") + ALERTS_SQL + """
 , r AS (SELECT * FROM rated ORDER BY ts DESC, sensor LIMIT 8)
 SELECT CASE WHEN avg(drop_rate_percent) > 20 THEN 'critical' WHEN avg(drop_rate_percent) > 10 THEN 'warning' ELSE 'healthy' END AS status,
-  round(avg(flows_in_queue), 1) AS avg_queue_size FROM r""",
+  round(avg(flows_in_queue), 1) AS avg_queue_size, arg_max(cpu_usage_percent, (ts, sensor)) AS cpu_usage_percent,
+  arg_max(memory_usage_mb, (ts, sensor)) AS memory_usage_mb, (SELECT least(count(*), 100) FROM alerts) AS total_alerts FROM r""",
 )
 def g17(spark, sf):
-    """Eight sensors report at each time, so the newest eight snapshots are the last round."""
-    return health.health_summary(_rated(spark, sf), LIMITS, last=8).select("status", "avg_queue_size")
+    """The newest eight snapshots over all sensors, and the alerts on record."""
+    rated = _rated(spark, sf)
+    alerts = health.alert_resolution(health.threshold_alerts(rated, LIMITS), rated, LIMITS)
+    out = health.health_summary(rated, LIMITS, last=8, alerts=alerts)
+    return out.select("status", "avg_queue_size", "cpu_usage_percent", "memory_usage_mb", "total_alerts")
 
 
 # ------------------------------------------------------------------- audit log

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from flowlake.functions.encode import rounded
 from flowlake.operators.clean import require_columns
 from flowlake.schemas import WINDOW_COLUMNS
 
@@ -20,7 +21,7 @@ def window_csv_rows(rows: DataFrame) -> DataFrame:
         if name in ("timestamp", "window_start", "window_end"):
             return F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'").alias(name)
         if name in ("rate_pps", "rate_bps"):
-            return F.round(name, 2).alias(name)
+            return rounded(F.col(name), 2).alias(name)
         return F.col(name)
 
     return rows.select(*[shape(c) for c in WINDOW_COLUMNS])
