@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlake.functions.encode import fixed, rounded
+from flowlake.operators.fold import fold_ordered
 from flowlake.operators.sequence import MAX_GROUP_ROWS, POSITION, Running, Stage, ordered
 
 # Default limits of the alert rules and of their clearing.
@@ -106,18 +106,13 @@ def alert_cooldown(
     cut = ordered(distinct, names, ["ts"], stages, max_group_rows)
     cut = cut.withColumn("_us", F.unix_micros("ts")).select(*names, "_stretch", "_us")
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
-        for pdf in batches:
-            kept = []
-            for now in pdf["_us"]:
-                fire = last is None or now - last >= micros
-                if fire:
-                    last = now
-                kept.append(fire)
-            yield pdf[kept]
+    def keep(kept: list[int], now: int) -> bool:
+        if kept and now - kept[0] < micros:
+            return False
+        kept[:] = [now]
+        return True
 
-    kept = _sorted_groups(cut, [*names, "_stretch"], "_us", keep)
+    kept = fold_ordered(cut, [*names, "_stretch"], ["_us"], ["_us"], list, keep, "_kept").filter("_kept")
     times = kept.select(*[F.col(n).alias(f"_k_{n}") for n in names], F.timestamp_micros("_us").alias("_kept_ts"))
     match = F.col("ts") == F.col("_kept_ts")
     for n in names:
@@ -127,58 +122,6 @@ def alert_cooldown(
     return single.join(times, match, "left_semi").select(*names, "ts", "_a.severity", "_a.message")
 
 
-def _sorted_groups(df: DataFrame, keys: Sequence[str], order: str, fold) -> DataFrame:
-    """Run ``fold`` over each group in ``order``, batch by batch, never a whole group at once.
-
-    The sort happens in Spark, where it can spill: rows are hashed on the keys
-    and sorted within partitions, and each task walks its groups in turn.
-    """
-    columns = df.columns
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from fold_runs(batches, list(keys), fold)
-
-    return (
-        df.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(walk, df.select(*columns).schema)
-    )
-
-
-def fold_runs(batches: Iterator[pd.DataFrame], keys: list[str], fold) -> Iterator[pd.DataFrame]:
-    """Feed consecutive runs of equal keys to ``fold``, which sees each run as an iterator of slices.
-
-    ``fold`` must take its slices in order and yield one result per slice.
-    """
-    current = None
-    send = None
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        change = (pdf[keys].ne(pdf[keys].shift()) & ~(pdf[keys].isna() & pdf[keys].shift().isna())).any(axis=1)
-        bounds = [0, *[i for i in range(1, len(pdf)) if change.iat[i]], len(pdf)]
-        for lo, hi in zip(bounds, bounds[1:]):
-            piece = pdf.iloc[lo:hi]
-            key = tuple(None if pd.isna(v) else v for v in piece[keys].iloc[0])
-            if current is None or key != current:
-                current, send = key, _Runner(fold)
-            yield send(piece)
-
-
-class _Runner:
-    """Drives one fold generator a slice at a time."""
-
-    def __init__(self, fold):
-        self._slices: list[pd.DataFrame] = []
-        self._results = fold(self._pull())
-
-    def _pull(self):
-        while True:
-            yield self._slices.pop()
-
-    def __call__(self, piece: pd.DataFrame) -> pd.DataFrame:
-        self._slices.append(piece)
-        return next(self._results)
-
-
 def alert_resolution(
     alerts: DataFrame, rated: DataFrame, limits: dict = LIMITS, keys: Sequence[str] = ("sensor",)
 ) -> DataFrame:

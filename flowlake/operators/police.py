@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowlake.operators.health import _sorted_groups
+from flowlake.operators.fold import fold_ordered
 from flowlake.operators.sequence import MAX_GROUP_ROWS, POSITION, Running, Stage, ordered
 
 SECOND_NS = 1_000_000_000
@@ -92,15 +91,13 @@ def rate_police(
         ],
         max_group_rows,
     )
-    cut = cut.withColumn("passed", F.lit(True)).select(*packets.columns, "_stretch", "_ns", POSITION, "passed")
+    rows = cut.select(*packets.columns, "_stretch", "_ns", POSITION)
 
-    def fold(slices: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket = Bucket(rate, capacity, capacity)
-        for pdf in slices:
-            passed = [bucket.admit(int(n), int(s)) for n, s in zip(pdf["_ns"], pdf["packet_size"])]
-            yield pdf.assign(passed=passed)
+    def fresh_bucket() -> Bucket:
+        return Bucket(rate, capacity, capacity)
 
-    return _sorted_groups(cut, [*names, "_stretch"], POSITION, fold).drop("_stretch", "_ns", POSITION)
+    out = fold_ordered(rows, [*names, "_stretch"], [POSITION], ["_ns", "packet_size"], fresh_bucket, Bucket.admit, "passed")
+    return out.drop("_stretch", "_ns", POSITION)
 
 
 STATE = T.StructType([T.StructField(n, T.LongType()) for n in ("tokens", "remainder", "last")])
