@@ -99,3 +99,9 @@ def test_alert_cooldown(spark, sf_dir, tmp_path):
     got = run.drain(stateful.alert_cooldown(health.threshold_alerts(stream, limits), cooldown=86400.0), "t")
     want = health.alert_cooldown(health.threshold_alerts(rated, limits), cooldown=86400.0)
     assert _rows(got, "sensor", "alert_type", "ts", "severity") == _rows(want, "sensor", "alert_type", "ts", "severity")
+
+
+def test_empty_stream_yields_an_empty_table(spark, parts, tmp_path):
+    stream = spark.readStream.schema(parts[1].schema).parquet(str(tmp_path))
+    out = run.drain_batches(stream, lambda batch: batch.select("packet_id"), "t")
+    assert out.columns == ["packet_id"] and out.count() == 0
