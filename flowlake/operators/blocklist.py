@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlake.functions import ip
 from flowlake.schemas import BLOCKLIST_COLUMNS
+from flowlake.session import cut_lineage
 
 # Allowed risk levels.
 RISK_LEVELS = ["low", "medium", "high", "critical"]
@@ -39,7 +40,8 @@ def blocklist_match(flows: DataFrame, entries: DataFrame, as_of: Column, src: st
 
     Adds blocked_ip, blocked_side, block_risk and block_source (NULL when clear).
     """
-    live = maybe_broadcast(in_force(entries, as_of))
+    # Counted once and joined twice: aggregated once and kept as a table.
+    live = maybe_broadcast(cut_lineage(in_force(entries, as_of), "in-force"))
 
     def side(name: str) -> DataFrame:
         return live.select(

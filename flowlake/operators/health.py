@@ -123,7 +123,11 @@ def alert_cooldown(
 
 
 def alert_resolution(
-    alerts: DataFrame, rated: DataFrame, limits: dict = LIMITS, keys: Sequence[str] = ("sensor",)
+    alerts: DataFrame,
+    rated: DataFrame,
+    limits: dict = LIMITS,
+    keys: Sequence[str] = ("sensor",),
+    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """When each alert cleared: the first later snapshot of its sensor inside the clearing bound.
 
@@ -148,7 +152,7 @@ def alert_resolution(
     # Time runs backwards through ``ordered``; a snapshot at the alert's own time comes after it.
     line = line.withColumn("_back", -F.unix_micros("ts")).withColumn("_kind", F.col("_clear").isNull().cast("int"))
     merged = ordered(
-        line, names, ["_back", "_kind"], [Running({"_next": -F.unix_micros("_clear")})], MAX_GROUP_ROWS
+        line, names, ["_back", "_kind"], [Running({"_next": -F.unix_micros("_clear")})], max_group_rows
     )
     resolved = F.timestamp_micros(-F.col("_next"))
     return (

@@ -172,3 +172,18 @@ def test_chain_verify_finds_the_first_break(spark):
             "broken": (False, "hash chain break at line 21"),
             "forged": (False, "hash mismatch at line 31"),
         }
+
+
+def test_health_chunked_equals_plain(spark, sf_dir):
+    from flowlake.plans import fixtures as fx
+
+    limits = {**health.LIMITS, "drop": 20.0, "queue": 2}
+    snapshots = fx.v_health(spark, sf_dir).cache()
+    columns = ["sensor", "ts", "capture_rate_pps", "processing_rate_pps", "drop_rate_percent"]
+    rated = health.health_rates(snapshots)
+    assert _rows(rated, *columns) == _rows(health.health_rates(snapshots, max_group_rows=20), *columns)
+    alerts = health.threshold_alerts(rated, limits)
+    plain = health.alert_resolution(alerts, rated, limits)
+    chunked = health.alert_resolution(alerts, rated, limits, max_group_rows=15)
+    order = lambda df: sorted(map(repr, df.collect()))
+    assert order(plain) == order(chunked)
