@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 ROWS_AT_ONCE = 256
 WHITE = r"[\x20\x09-\x0D]+"
@@ -41,7 +42,12 @@ def text_key(text: Column) -> Column:
     return F.concat_ws("-", F.hex(F.xxhash64(full)), F.hex(F.xxhash64(F.lit(1), full)))
 
 
-def map_batches(df: DataFrame, use: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
+def plus(df: DataFrame, **added: DataType) -> StructType:
+    """Schema of ``df`` with further columns."""
+    return StructType([*df.schema.fields, *[StructField(name, kind) for name, kind in added.items()]])
+
+
+def map_batches(df: DataFrame, use: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """mapInArrow in slices of a few hundred rows, so that long texts never pile up."""
 
     def run(batches):

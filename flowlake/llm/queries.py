@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, line_rules, secrets, shards, url_filter
-from flowlake.llm.common import table
+from flowlake.llm import decontaminate, langid, line_rules, lm, near_dup, pieces, secrets, shards, toxicity, url_filter
+from flowlake.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,44 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_scan")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@query("op1_near_dup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dup.classes(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return found.select("doc_id", "class_id", "copy_of")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    weights = toxicity.fit(docs, labels.where(id_remainder("doc_id", 5) != 0))
+    scored = toxicity.score(docs, weights)
+    return scored.select(
+        "doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
+    found = langid.fit_predict(docs, id_remainder("doc_id", 4) != 2)
+    return found.select("doc_id", (id_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_language_model")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    learning = docs.where(id_remainder("doc_id", 7) != 2)
+    model = lm.fit(learning, id_remainder("doc_id", 7) == 5)
+    scored = lm.score(docs, model)
+    return scored.select(
+        "doc_id", (id_remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model["total"]).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte",
+    )
+
+
+@query("op10_pieces")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces_of(spark, table(spark, sf_dir, "documents", ["doc_id", "text"]))
