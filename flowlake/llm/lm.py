@@ -10,7 +10,7 @@ before; for spelling, the last one to four bytes. Predictions are mixed in the l
 weights that a gate selects (how often the two longest contexts were seen) and that learn online,
 bit block by bit block; the mix is refined by an adaptive table of what really followed. The bits'
 costs add up to the text's log probability and bits per byte. A spelled token that was counted in
-training also has its own share of the spelled mass, half of it in proportion to its count.
+training also has its own share of the spelled mass (absolute discounting).
 
 Learning is one pass for token counts, one for the tables and one for gates, all over every
 learning document; gates learn from documents that the tables did not count, so they see how far
@@ -38,13 +38,14 @@ from flowlake.session import cut_lineage
 HEAD = 1 << 15
 SLOT_BITS = 20
 SPELL_BITS = 18
-BLOCK = 1 << 14  # slots per shuffled row
+BLOCK = 1 << 15  # counts per shuffled row
 CHUNK = 1 << 15  # bits predicted at once
 DISTINCT_AT_ONCE = 300_000
-OWN_SHARE = 0.5
 END = b""
 MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 STEPS = 33  # refinement buckets
+LEARNED_AT_ONCE = 1 << 9  # symbols of one online step
+HEAD_LEAST = 8  # times that a token with a code of its own was seen
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -126,82 +127,73 @@ def spelling(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
 
 
 class Tables:
-    """Counts of zeros and ones by table and slot."""
+    """Counts of zeros and ones: one row per table, slot by slot a pair (zeros, ones)."""
 
     def __init__(self, orders: int, width: int):
-        self.width, self.counts = width, np.zeros((orders, 2, 1 << width), dtype=np.int32)
+        self.width, self.counts = width, np.zeros((orders, 2 << width), dtype=np.int32)
 
     def add(self, contexts, of, nodes, bits) -> None:
-        one = bits == 1
-        for order, at in enumerate(slots(contexts, of, nodes, self.width)):
-            for value, part in ((0, at[~one]), (1, at[one])):
-                np.add.at(self.counts[order, value], part, 1)
+        for row, at in zip(self.counts, slots(contexts, of, nodes, self.width), strict=True):
+            np.add.at(row, (at << np.uint32(1) | bits).astype(np.int64), np.int32(1))
 
     def rows(self, kind: str):
         """Blocks of counts as rows (kind, order, block, counts); blocks without a count are left out."""
-        for order in range(len(self.counts)):
-            for block in range(0, 1 << self.width, BLOCK):
-                part = np.ascontiguousarray(self.counts[order, :, block : block + BLOCK])
-                if part.any():
-                    yield (kind, order, block, part.tobytes())
+        for order, row in enumerate(self.counts):
+            for block in range(0, len(row), BLOCK):
+                if row[block : block + BLOCK].any():
+                    yield (kind, order, block, row[block : block + BLOCK].tobytes())
 
 
 class Predictor:
     """Mixed predictions from tables; gate weights and refinement learn online."""
 
     def __init__(self, counts: np.ndarray, width: int):
-        zeros, ones = counts[:, 0].astype(np.float32), counts[:, 1].astype(np.float32)
-        seen = zeros + ones
+        zeros, ones = counts[:, 0::2].astype(np.float32), counts[:, 1::2].astype(np.float32)
         self.width, self.orders = width, len(counts)
-        self.stretched = np.log((ones + 0.05) / (zeros + 0.05), dtype=np.float32)
-        self.trust = (np.digitize(seen, [0.5, 2.5, 15.5])).astype(np.uint8)
-        self.weights = np.full((16, self.orders), 1.0 / self.orders + 0.1, dtype=np.float32)
-        self.squares = np.full((16, self.orders), 1e-2)
-        self.refined = np.zeros((2, 16, STEPS))
-
-    def inputs(self, contexts, of, nodes):
+        self.stretched = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
+        self.trust = np.digitize(zeros + ones, [0.5, 2.5, 15.5]).astype(np.uint8)
+        self.weights = np.full((self.orders, 16), 1.0 / self.orders, dtype=np.float32)
+        self.curve = np.full((self.orders, 16), 0.5)
+        self.refined = np.zeros((2, 16 * STEPS))
+        self.refined_p = np.zeros(16 * STEPS, dtype=np.float32)
+
+    def mixed(self, contexts, of, nodes):
+        """(stretched inputs, gate, mix, refinement bucket) of every bit."""
         at = slots(contexts, of, nodes, self.width)
-        stretched = np.stack([self.stretched[k][a] for k, a in enumerate(at)])
-        gate = self.trust[-1][at[-1]] * np.uint8(4) + self.trust[-2][at[-2]]
-        return stretched, gate
-
-    def mixed(self, stretched, gate) -> np.ndarray:
-        total = stretched[0] * self.weights[gate, 0]
-        for k in range(1, self.orders):
-            total += stretched[k] * self.weights[gate, k]
-        return np.clip(total, -11.0, 11.0)
-
-    def refinement(self, gate, total) -> np.ndarray:
-        return gate.astype(np.int64) * STEPS + np.rint((total + 11.0) * ((STEPS - 1) / 22.0)).astype(np.int64)
+        inputs = [np.take(row, a) for row, a in zip(self.stretched, at, strict=True)]
+        gate = np.take(self.trust[-1], at[-1]) * np.uint8(4) + np.take(self.trust[-2], at[-2])
+        total = inputs[0] * np.take(self.weights[0], gate)
+        for row, x in zip(self.weights[1:], inputs[1:], strict=True):
+            total += x * np.take(row, gate)
+        np.clip(total, -11.0, 11.0, out=total)
+        bucket = gate.astype(np.int32) * np.int32(STEPS) + np.rint((total + np.float32(11.0)) * np.float32((STEPS - 1) / 22.0)).astype(np.int32)
+        return inputs, gate, total, bucket
 
     def learn(self, contexts, of, nodes, bits) -> None:
         """One online step of gates and refinement on a block of bits."""
-        stretched, gate = self.inputs(contexts, of, nodes)
-        total = self.mixed(stretched, gate)
-        place = self.refinement(gate, total)
+        inputs, gate, total, bucket = self.mixed(contexts, of, nodes)
         for value in (0, 1):
-            self.refined[value] += np.bincount(place[bits == value], minlength=16 * STEPS).reshape(16, STEPS)
-        error = bits - 1.0 / (1.0 + np.exp(-total))
-        for k in range(self.orders):
-            step = np.bincount(gate, error * stretched[k], minlength=16) / np.maximum(np.bincount(gate, minlength=16), 1)
-            self.squares[:, k] += step * step
-            self.weights[:, k] += (0.05 * step / np.sqrt(self.squares[:, k])).astype(np.float32)
-
-    def costs(self, contexts, of, nodes, bits, symbols: int) -> np.ndarray:
-        """log10 probability of each of ``symbols`` symbols."""
-        stretched, gate = self.inputs(contexts, of, nodes)
-        total = self.mixed(stretched, gate)
-        place = self.refinement(gate, total)
-        p = 0.5 / (1.0 + np.exp(-total)) + 0.5 * self.refined_p[place]
-        p = np.where(bits == 1, p, 1.0 - p)
-        return np.bincount(of, np.log10(p), minlength=symbols)
+            self.refined[value] += np.bincount(bucket[bits == value], minlength=16 * STEPS)
+        p = 1.0 / (1.0 + np.exp(-total))
+        many = np.maximum(np.bincount(gate, minlength=16), 32)
+        for k, x in enumerate(inputs):
+            slope = np.bincount(gate, (bits - p) * x, minlength=16) / many
+            self.curve[k] += 0.05 * (np.bincount(gate, p * (1 - p) * x * x, minlength=16) / many - self.curve[k])
+            self.weights[k] += (0.1 * slope / (self.orders * np.maximum(self.curve[k], 0.02))).astype(np.float32)
+
+    def costs(self, contexts, of, nodes, bits, starts: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol; ``starts`` are the symbols' first bits."""
+        _, _, total, bucket = self.mixed(contexts, of, nodes)
+        p = np.float32(0.5) / (np.float32(1.0) + np.exp(-total)) + np.float32(0.5) * np.take(self.refined_p, bucket)
+        p = np.where(bits == 1, p, np.float32(1.0) - p)
+        return np.log10(np.multiply.reduceat(p.astype(np.float64), starts))
 
     def settle(self, weights: np.ndarray | None, refined: np.ndarray) -> None:
         if weights is not None:
             self.weights = weights.astype(np.float32)
-        centre = np.linspace(-11.0, 11.0, STEPS)
+        centre = np.tile(np.linspace(-11.0, 11.0, STEPS), 16)
         prior = 1.0 / (1.0 + np.exp(-centre))
-        self.refined_p = ((refined[1] + 4.0 * prior) / (refined.sum(axis=0) + 4.0)).reshape(-1)
+        self.refined_p = ((refined[1] + 4.0 * prior) / (refined.sum(axis=0) + 4.0)).astype(np.float32)
 
 
 class Codec:
@@ -217,20 +209,19 @@ class Codec:
         get, escape = self.ids.get, self.escape
         return np.array([get(t, escape) for t in tokens], dtype=np.int64)
 
-    def blocks(self, ids: np.ndarray):
+    def blocks(self, ids: np.ndarray, step: int = CHUNK // 8):
         """(part, contexts, of, nodes, bits) of token ids, a bounded number of bits at a time."""
         contexts = token_contexts(ids, self.ids[END])
-        step = CHUNK // 8
         for a in range(0, len(ids), step):
             part = slice(a, min(a + step, len(ids)))
             of, nodes, bits = bits_of(self.code, ids[part])
             yield part, [c[part] for c in contexts], of, nodes, bits
 
-    def spelled_blocks(self, tokens: list[bytes]):
+    def spelled_blocks(self, tokens: list[bytes], step: int = CHUNK // 8):
         """(tokens of the block, their starts, contexts, of, nodes, bits), a bounded number of bits at a time."""
         at = 0
         while at < len(tokens):
-            end, room = at, CHUNK // 8
+            end, room = at, step
             while end < len(tokens) and (end == at or room >= len(tokens[end]) + 1):
                 room -= len(tokens[end]) + 1
                 end += 1
@@ -270,10 +261,9 @@ def summed(counted: DataFrame, orders: int, width: int) -> np.ndarray:
     from collections.abc import Iterator
 
     add.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
-    out = np.zeros((orders, 2, 1 << width), dtype=np.int32)
-    block = min(BLOCK, 1 << width)
+    out = np.zeros((orders, 2 << width), dtype=np.int32)
     for order, at, data in counted.groupBy("kind", "part", "block").applyInArrow(add, "part int, block int, counts binary").collect():
-        out[order, :, at : at + block] = np.frombuffer(data, dtype=np.int32).reshape(2, -1)
+        out[order, at : at + BLOCK] = np.frombuffer(data, dtype=np.int32)
     return out
 
 
@@ -308,14 +298,14 @@ def learn_gates(parts: DataFrame, feed, counts: np.ndarray, width: int) -> Predi
         for block in feed(batches):
             own.learn(*block)
             seen += len(block[-1])
-        rows = [("w", g, k, float(own.weights[g, k]) * seen) for g in range(16) for k in range(own.orders)]
-        rows += [("r", v * 16 + g, s, float(own.refined[v, g, s])) for v in (0, 1) for g in range(16) for s in range(STEPS)]
+        rows = [("w", g, k, float(own.weights[k, g]) * seen) for g in range(16) for k in range(own.orders)]
+        rows += [("r", v, i, float(own.refined[v, i])) for v in (0, 1) for i in range(16 * STEPS)]
         yield arrow_rows([*rows, ("n", 0, 0, float(seen))], ["what", "a", "b", "x"], [pa.string(), pa.int32(), pa.int32(), pa.float64()])
 
     found = {(r[0], r[1], r[2]): r[3] for r in parts.mapInArrow(run, "what string, a int, b int, x double").groupBy("what", "a", "b").agg(F.sum("x")).collect()}
     seen = found.get(("n", 0, 0), 0.0)
-    refined = np.array([found.get(("r", i, s), 0.0) for i in range(32) for s in range(STEPS)]).reshape(2, 16, STEPS)
-    weights = np.array([found.get(("w", g, k), 0.0) for g in range(16) for k in range(predictor.orders)]).reshape(16, -1) / seen if seen else None
+    refined = np.array([[found.get(("r", v, i), 0.0) for i in range(16 * STEPS)] for v in (0, 1)])
+    weights = np.array([[found.get(("w", g, k), 0.0) for g in range(16)] for k in range(predictor.orders)]) / seen if seen else None
     predictor.settle(weights, refined)
     return predictor
 
@@ -325,11 +315,16 @@ def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
     spark = docs.sparkSession
     counts = cut_lineage(count_tokens(docs), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(head_size).collect()
-    head = {bytes(r[0]): r[1] for r in top} or {END: 1}
-    head.setdefault(END, 1)
-    tail = max(1, total - sum(head.values()))
-    codec = Codec(list(head), [*head.values(), tail])
+    top = counts.where(F.col("n") >= HEAD_LEAST).orderBy(F.desc("n"), "token").limit(head_size).collect()
+    head = {bytes(r[0]): r[1] for r in top}
+    if END not in head:
+        head[END] = next((r[0] for r in counts.where(F.col("token") == END).select("n").collect()), 0)
+    # tokens without a code: how many, how many different, and the discount that singletons and pairs suggest
+    rare = counts.where((F.col("n") < HEAD_LEAST) & (F.col("token") != END))
+    once, twice = rare.agg(F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("n") == 2).cast("long")), F.lit(0))).first()
+    tail, tail_kinds = max(1, total - sum(head.values())), distinct - sum(n > 0 for n in head.values())
+    discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
+    codec = Codec(list(head), [*[max(1, n) for n in head.values()], tail])
     coder = broadcast_value(spark, codec)
 
     def count_codes(batches):
@@ -348,7 +343,7 @@ def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
             texts = batch.column("text").to_pylist()
             for a in range(0, len(texts), 256):
                 _, ids = joined_ids(coder.value, texts[a : a + 256])
-                for _, *block in coder.value.blocks(ids):
+                for _, *block in coder.value.blocks(ids, LEARNED_AT_ONCE):
                     yield block
 
     def tail_tokens(batch) -> list[bytes]:
@@ -364,7 +359,7 @@ def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
 
     def gate_spelling(batches):
         for batch in batches:
-            for _, _, *block in coder.value.spelled_blocks(tail_tokens(batch)):
+            for _, _, *block in coder.value.spelled_blocks(tail_tokens(batch), LEARNED_AT_ONCE):
                 yield block
 
     taught = F.coalesce(gate_if, F.lit(False))
@@ -373,75 +368,87 @@ def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
     held = F.pmod(F.crc32("token"), F.lit(8)) == 0
     spell = summed(counts.where(~held).select("token").mapInArrow(count_spelling, COUNT_ROWS), 4, SPELL_BITS)
     spell_predictor = learn_gates(counts.where(held).select("token"), gate_spelling, spell, SPELL_BITS)
-    return {
-        "counts": counts, "total": total, "distinct": distinct, "tail": tail, "codec": codec, "head": head,
-        "code": code_predictor, "spell": spell_predictor,
-    }
+    own = {"tail": tail, "discount": discount, "spelled": max(1e-6, min(1.0, discount * tail_kinds / tail))}
+    return {"counts": counts, "total": total, "distinct": distinct, "codec": codec, "head": head, "own": own, "code": code_predictor, "spell": spell_predictor}
+
+
+def spelled_costs(codec: Codec, spell: Predictor, own: dict, tokens: list[bytes], counted: np.ndarray) -> np.ndarray:
+    """log10 probability of tokens among those without a code, ``counted`` times seen in training."""
+    out = np.empty(len(tokens))
+    for part, starts, contexts, of, nodes, bits in codec.spelled_blocks(tokens):
+        each = spell.costs(contexts, of, nodes, bits, np.arange(len(contexts[0])) * 8)
+        out[part] = np.add.reduceat(each, starts)
+    out += np.log10(own["spelled"])
+    share = np.maximum(counted - own["discount"], 0.0) / own["tail"]
+    return np.where(counted > 0, np.log10(share + 10.0 ** np.maximum(out, -300.0)), out)
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score, bits_per_byte) of every row of ``docs``.
 
-    Codes and spellings are scored where the text is; only rare tokens, once per text, are joined
-    with their training counts.
+    Codes are scored where the text is; tokens without a code, once per text, are joined with
+    their training counts, and spelled there, every different one about once.
     """
     spark = docs.sparkSession
-    total, distinct, tail = model["total"], model["distinct"], model["tail"]
+    total, distinct = model["total"], model["distinct"]
     below = float(np.log10(total + distinct + 1))
     known = np.array([np.log10(n + 1) - below for n in model["head"].values()] + [0.0])
-    shared = broadcast_value(spark, (model["codec"], model["code"], model["spell"], known, below))
-    keyed = docs.select(
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    seen: dict[bytes, float] = {}
-    names = ["k1", "k2", "token", "times", "spelled", "n_tokens", "n_known", "base", "model", "n_bytes"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    shared = broadcast_value(spark, (model["codec"], model["code"], model["spell"], known, model["own"], np.array([n > 0 for n in model["head"].values()] + [False])))
+    body = F.coalesce("text", F.lit(""))
+    keys = [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")]
+    keyed = docs.select(*keys, body.alias("text"))
+    names = ["k1", "k2", "token", "times", "n_tokens", "n_known", "base", "model", "n_bytes"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
 
     def use(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codec, code, spell, known, below = shared.value
+        codec, code, _, known, _, seen = shared.value
         texts = batch.column("text").to_pylist()
         tokens, ids = joined_ids(codec, texts)
-        costs = np.concatenate([code.costs(contexts, of, nodes, bits, part.stop - part.start) for part, contexts, of, nodes, bits in codec.blocks(ids)])
-        bases = known[ids]
-        ends = np.cumsum([len(t) for t in tokens])
-        if len(seen) > DISTINCT_AT_ONCE:
-            seen.clear()
-        rare = [Counter([t for t in row if t not in codec.ids]) for row in tokens]
-        new = list({t for row in rare for t in row if t not in seen})
-        for part, starts, contexts, of, nodes, bits in codec.spelled_blocks(new):
-            each = spell.costs(contexts, of, nodes, bits, len(contexts[0]))
-            seen.update(zip(new[part], np.add.reduceat(each, starts).tolist(), strict=True))
+        costs = np.empty(len(ids))
+        for part, contexts, of, nodes, bits in codec.blocks(ids):
+            sizes = codec.code[1][ids[part]]
+            costs[part] = code.costs(contexts, of, nodes, bits, np.cumsum(sizes) - sizes)
+        bases, seen_ids, escape = known[ids], seen[ids], codec.escape
         rows, begin = [], 0
-        for k1, k2, text, own, end in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), texts, rare, ends.tolist(), strict=True):
-            coded = end - begin - sum(own.values())
-            # a token no text can hold, different for every text, stands for the rest of the text
+        for k1, k2, text, own in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), texts, tokens, strict=True):
+            end = begin + len(own)
+            rare = Counter([own[i] for i in np.flatnonzero(ids[begin:end] == escape).tolist()])
+            # a token that no text holds, another one for every text, stands for the rest of the text
             mark = b" " + k1.to_bytes(8, "big", signed=True)
-            rows.append((k1, k2, mark, 1, 0.0, end - begin, coded, float(bases[begin:end].sum()), float(costs[begin:end].sum()), len(text.encode("utf-8", "replace"))))
-            rows += [(k1, k2, t, n, seen[t], 0, 0, 0.0, 0.0, 0) for t, n in own.items()]
+            rows.append((k1, k2, mark, 1, len(own), int(seen_ids[begin:end].sum()), float(bases[begin:end].sum()), float(costs[begin:end].sum()), len(text.encode("utf-8", "replace"))))
+            rows += [(k1, k2, t, n, 0, 0, 0.0, 0.0, 0) for t, n in rare.items()]
             begin = end
         return arrow_rows(rows, names, types)
 
-    flat = map_batches(keyed, use, "k1 bigint, k2 bigint, token binary, times bigint, spelled double, n_tokens bigint, n_known bigint, base double, model double, n_bytes bigint")
-    counts = model["counts"].withColumnRenamed("n", "c")
-    rare = flat.join(counts, "token", "left")
-    is_text = F.col("n_tokens") > 0
-    c = F.coalesce("c", F.lit(0))
-    own = F.when(c > 0, F.log10(OWN_SHARE * c / F.lit(float(tail)) + (1 - OWN_SHARE) * F.pow(F.lit(10.0), F.col("spelled")))).otherwise(
-        F.col("spelled") + float(np.log10(1 - OWN_SHARE))
-    )
-    sums = rare.groupBy("k1", "k2").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(~is_text & (c > 0), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(is_text, 0.0).otherwise(F.col("times") * (F.log10(c + 1.0) - below))).alias("base_score"),
-        F.sum(F.col("model") + F.when(is_text, 0.0).otherwise(F.col("times") * own)).alias("score"),
-        F.sum("n_bytes").alias("n_bytes"),
-        F.sum(is_text.cast("int")).alias("copies"),
-    )
+    flat = map_batches(keyed, use, "k1 bigint, k2 bigint, token binary, times bigint, n_tokens bigint, n_known bigint, base double, model double, n_bytes bigint")
+    joined = flat.join(model["counts"].withColumnRenamed("n", "c"), "token", "left").select(*names, F.coalesce("c", F.lit(0)).alias("c"))
+
+    def spelled(batches):
+        codec, _, spell, _, own, _ = shared.value
+        for batch in batches:
+            rare = np.array(batch.column("n_tokens")) == 0
+            at = np.flatnonzero(rare)
+            base, cost = np.array(batch.column("base")), np.array(batch.column("model"))
+            found = np.array(batch.column("n_known"))
+            if len(at):
+                coded = batch.column("token").take(pa.array(at)).dictionary_encode()
+                which, times, c = np.array(coded.indices), np.array(batch.column("times"))[at], np.array(batch.column("c"))[at]
+                counted = np.zeros(len(coded.dictionary))
+                counted[which] = c
+                each = spelled_costs(codec, spell, own, coded.dictionary.to_pylist(), counted)
+                base[at], cost[at], found[at] = times * (np.log10(c + 1.0) - below), times * each[which], times * (c > 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1"), batch.column("k2"), batch.column("n_tokens"), pa.array(found), pa.array(base), pa.array(cost), batch.column("n_bytes"), pa.array((~rare).astype(np.int64))],
+                ["k1", "k2", "n_tokens", "n_known", "base", "model", "n_bytes", "copies"],
+            )
+
+    costed = joined.mapInArrow(spelled, "k1 bigint, k2 bigint, n_tokens bigint, n_known bigint, base double, model double, n_bytes bigint, copies bigint")
+    sums = costed.groupBy("k1", "k2").agg(*[F.sum(c).alias(c) for c in costed.columns[2:]])
     each = sums.select(
         "k1", "k2",
         *[F.expr(f"{c} div copies").alias(c) for c in ("n_tokens", "n_known")],
-        *[(F.col(c) / F.col("copies")).alias(c) for c in ("base_score", "score")],
-        F.when(F.col("n_bytes") > 0, -F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
+        (F.col("base") / F.col("copies")).alias("base_score"),
+        (F.col("model") / F.col("copies")).alias("score"),
+        F.when(F.col("n_bytes") > 0, -F.col("model") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"),
     )
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2"))
-    return rows.join(each, ["k1", "k2"]).drop("k1", "k2")
+    return docs.select("doc_id", *keys).join(each, ["k1", "k2"]).drop("k1", "k2")

@@ -190,12 +190,11 @@ def links(docs: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> D
             leaders = rest.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= leaders_each)
             leaders = leaders.select("sketch", F.col("key").alias("a"))
         led = rest.join(leaders, "sketch").where("a != key")
-        pairs = led.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        led = led.select("sketch", "key", F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
+        pairs = led.select("a", "b").distinct()
         fresh = cut_lineage(verified(pairs, bodies, threshold), "near-links")
         found = fresh if found is None else found.unionByName(fresh)
-        done = led.join(
-            fresh, (F.least("a", "key") == fresh["a"]) & (F.greatest(led["a"], "key") == fresh["b"]), "left_semi"
-        ).select("sketch", "key")
+        done = led.join(fresh, ["a", "b"], "left_semi").select("sketch", "key")
         gone = done.unionByName(leaders.withColumnRenamed("a", "key")).distinct()
         left = rest.join(gone, ["sketch", "key"], "left_anti")
         several = left.groupBy("sketch").agg(F.count("*").alias("_n")).where("_n > 1").select("sketch")
