@@ -7,6 +7,7 @@ returns their columns (the last one adds its result). Nothing is sampled or cut.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowlake.llm import decontaminate, langid, near_dup, pieces, secrets
 from flowlake.llm.common import id_remainder, table
@@ -32,8 +33,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret in the texts by a mark."""
-    return secrets.redact(docs)
+    """Replaces every secret in the texts by a mark; ``n_chars`` follows the text."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), "n_chars")).select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ k-mer), labelled with how often they occurred before, so repetitions count. Unde
 ``SKETCHES`` hash functions the ``ELL`` least k-mers are taken and put back into text order; their
 sequence is one sketch. Two texts share a sketch when they agree on those k-mers and on their
 order, which follows edit similarity rather than mere overlap: with similarity 0.8 at least one of
-16 sketches of 5 agrees with probability above 0.998.
+24 sketches of 5 agrees with probability above 0.9999.
 
 Equal word sequences are one text from the start. Texts of one sketch are not paired with each
 other: the best connected one (the sum of its sketches' group sizes) leads, the others are compared with
@@ -35,7 +35,7 @@ from flowlake.session import cut_lineage
 
 K = 5
 ELL = 5
-SKETCHES = 16
+SKETCHES = 24
 THRESHOLD = 0.8
 ONE = np.uint64(0x9E3779B97F4A7C15)
 TWO = np.uint64(0xBF58476D1CE4E5B9)

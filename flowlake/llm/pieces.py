@@ -61,7 +61,9 @@ def hash_of(text: str) -> int:
 
 def vocabulary(pieces: list[str], scores: list[float], byte_ids: list[int], special: set[int]) -> Vocabulary:
     """Vocabulary of pieces; ids in ``special`` or ``byte_ids`` are no ordinary pieces."""
-    ordinary = [i for i in range(len(pieces)) if i not in special and i not in set(byte_ids) and pieces[i]]
+    other = special | set(byte_ids)
+    ordinary = [i for i in range(len(pieces)) if i not in other and pieces[i]]
+    usual = set(ordinary)
     for i in ordinary:
         if MARK in pieces[i].lstrip(MARK) or "\n" in pieces[i]:
             raise ValueError(f"piece {pieces[i]!r} crosses a word")
@@ -69,12 +71,12 @@ def vocabulary(pieces: list[str], scores: list[float], byte_ids: list[int], spec
     values = np.array(scores, dtype=np.float64)
     sane = values[ordinary][values[ordinary] > -1e8]
     values[values <= -1e8] = sane.min() if len(sane) else 0.0
-    values[[i for i in range(len(pieces)) if i not in set(ordinary)]] = 0.0
+    values[[i for i in range(len(pieces)) if i not in usual]] = 0.0
     keys = np.array([hash_of(pieces[i]) for i in ordinary], dtype=np.uint64)
     order = np.argsort(keys)
     if len(np.unique(keys)) != len(keys):
         raise ValueError("two pieces share a hash or a text")
-    texts = [p.replace(MARK, " ").encode() if i in set(ordinary) else b"" for i, p in enumerate(pieces)]
+    texts = [p.replace(MARK, " ").encode() if i in usual else b"" for i, p in enumerate(pieces)]
     for b, i in enumerate(byte_ids):
         texts[i] = bytes([b])
     return Vocabulary(pieces, values, np.array(byte_ids), texts, keys[order], np.array(ordinary)[order], max(len(pieces[i]) for i in ordinary))

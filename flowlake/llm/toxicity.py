@@ -51,7 +51,7 @@ def features(codes: np.ndarray) -> np.ndarray:
 class Ftrl:
     """Per-coordinate follow-the-regularised-leader; slot ``2 ** BITS`` is the bias."""
 
-    def __init__(self, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0):
+    def __init__(self, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(2**BITS + 1), np.zeros(2**BITS + 1)
 
@@ -72,7 +72,7 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, epochs: int = 2) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_labelled: int = MAX_LABELLED, epochs: int = 6) -> np.ndarray:
     """Weights of all slots and, last, the bias."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
