@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,9 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(f" +[^ \n{MARK}]*|\n|{MARK}|[^ \n{MARK}]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+TOP_BITS = 20
 CELLS = 1 << 17  # code points of one matrix
-CACHED = 200_000  # distinct words kept by a task
+CACHED = 400_000  # distinct words kept by a task
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,7 @@ class Vocabulary:
     keys: np.ndarray  # sorted hashes of the ordinary pieces
     key_ids: np.ndarray  # their piece ids
     longest: int
+    likely: np.ndarray  # by the top bits of a hash: whether any key has them
 
     @property
     def byte_score(self) -> float:
@@ -79,7 +80,10 @@ def vocabulary(pieces: list[str], scores: list[float], byte_ids: list[int], spec
     texts = [p.replace(MARK, " ").encode() if i in usual else b"" for i, p in enumerate(pieces)]
     for b, i in enumerate(byte_ids):
         texts[i] = bytes([b])
-    return Vocabulary(pieces, values, np.array(byte_ids), texts, keys[order], np.array(ordinary)[order], max(len(pieces[i]) for i in ordinary))
+    likely = np.zeros(1 << TOP_BITS, dtype=bool)
+    likely[(keys >> np.uint64(64 - TOP_BITS)).astype(np.int64)] = True
+    longest = max(len(pieces[i]) for i in ordinary)
+    return Vocabulary(pieces, values, np.array(byte_ids), texts, keys[order], np.array(ordinary)[order], longest, likely)
 
 
 def load(model: str = MODEL) -> Vocabulary:
@@ -108,8 +112,11 @@ class Lattice:
             for size in range(1, min(vocab.longest, self.length) + 1):
                 power = power * BASE
                 hashes = prefix[:, size:] - prefix[:, : self.length + 1 - size] * power
-                at = np.minimum(np.searchsorted(vocab.keys, hashes), len(vocab.keys) - 1)
-                self.ids.append(np.where(vocab.keys[at] == hashes, vocab.key_ids[at], -1))
+                self.ids.append(np.full(hashes.shape, -1, dtype=np.int32))
+                maybe = np.nonzero(vocab.likely[(hashes >> np.uint64(64 - TOP_BITS)).astype(np.int64)])
+                wanted = hashes[maybe]
+                at = np.minimum(np.searchsorted(vocab.keys, wanted), len(vocab.keys) - 1)
+                self.ids[-1][maybe] = np.where(vocab.keys[at] == wanted, vocab.key_ids[at], -1)
         self.codes = codes
 
 
@@ -125,12 +132,13 @@ def by_length(words: list[str], cells: int = CELLS):
             yield part, [words[i] for i in part]
 
 
-def viterbi(vocab: Vocabulary, lattice: Lattice) -> np.ndarray:
-    """back[:, e]: length of the last piece of the best segmentation of the first e characters."""
+def viterbi(vocab: Vocabulary, lattice: Lattice) -> tuple[np.ndarray, np.ndarray]:
+    """Length and id of the last piece of the best segmentation of the first e characters, for every e."""
     width, length = lattice.width, lattice.length
     best = np.full((width, length + 1), -np.inf)
     best[:, 0] = 0.0
     back = np.ones((width, length + 1), dtype=np.int16)
+    last, rows = np.full((width, length + 1), -1, dtype=np.int32), np.arange(width)
     padded = np.append(vocab.scores, -np.inf)
     scores = [padded[ids] for ids in lattice.ids]
     n_bytes = 1 + (lattice.codes >= 0x80).astype(int) + (lattice.codes >= 0x800) + (lattice.codes >= 0x10000)
@@ -140,27 +148,45 @@ def viterbi(vocab: Vocabulary, lattice: Lattice) -> np.ndarray:
         ways = np.stack([best[:, end - s] + scores[s - 1][:, end - s] for s in range(1, steps + 1)])
         pick = np.argmax(ways, axis=0)
         back[:, end] = pick + 1
-        best[:, end] = ways[pick, np.arange(width)]
-    return back
-
-
-def encode_words(vocab: Vocabulary, words: list[str]) -> list[list[int]]:
-    """Piece ids of each word (spaces written as marks)."""
-    out: list[list[int]] = [[] for _ in words]
+        best[:, end] = ways[pick, rows]
+        last[:, end] = np.stack([lattice.ids[s - 1][:, end - s] for s in range(1, steps + 1)])[pick, rows]
+    return back, last
+
+
+def read_back(back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words in a row, number of ids of each word), all words stepping back together."""
+    width, length = back.shape[0], back.shape[1] - 1
+    ids = np.full((width, length), -1, dtype=np.int32)
+    rows, end, column = np.arange(width), np.full(width, length), length
+    while len(rows):
+        column -= 1
+        ids[rows, column] = last[rows, end]
+        end = end - back[rows, end]
+        rows, end = rows[end > 0], end[end > 0]
+    used = ids >= 0
+    return ids[used], used.sum(axis=1)
+
+
+def encode_words(vocab: Vocabulary, words: list[str]) -> list[bytes]:
+    """Piece ids of each word (spaces written as marks), as the bytes of 32-bit numbers."""
+    out = [b""] * len(words)
     for places, group in by_length(words):
-        lattice = Lattice(vocab, group)
-        back, length = viterbi(vocab, lattice).tolist(), lattice.length
-        for row, place in enumerate(places):
-            ids, end, steps = [], length, back[row]
+        back, last = viterbi(vocab, Lattice(vocab, group))
+        spelled = (last[:, 1:] < 0).any(axis=1)
+        ids, sizes = read_back(back[~spelled], last[~spelled])
+        data, ends = ids.tobytes(), (np.cumsum(sizes) * 4).tolist()
+        whole = [p for p, slow in zip(places, spelled.tolist(), strict=True) if not slow]
+        for place, begin, end in zip(whole, [0, *ends], ends, strict=False):
+            out[place] = data[begin:end]
+        for k in np.flatnonzero(spelled).tolist():  # some prefix ends in a character without a piece
+            found, end = [], len(group[k])
             while end > 0:
-                size = steps[end]
-                piece = int(lattice.ids[size - 1][row, end - size])
-                if piece >= 0:
-                    ids.append(piece)
+                if last[k, end] >= 0:
+                    found.append(int(last[k, end]))
                 else:
-                    ids.extend(vocab.byte_ids[b].item() for b in reversed(group[row][end - 1].encode("utf-8", "surrogatepass")))
-                end -= size
-            out[place] = ids[::-1]
+                    found.extend(vocab.byte_ids[b].item() for b in reversed(group[k][end - 1].encode("utf-8", "surrogatepass")))
+                end -= int(back[k, end])
+            out[places[k]] = np.array(found[::-1], dtype=np.int32).tobytes()
     return out
 
 
@@ -169,10 +195,10 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.mark = [int(vocab.byte_ids[b]) for b in MARK.encode()]
-        self.known: dict[str, list[int]] = {}
+        self.mark = vocab.byte_ids[list(MARK.encode())].astype(np.int32).tobytes()
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         cut = [None if t is None else WORD.findall(" " + t) if t else [] for t in texts]
         if len(self.known) > CACHED:
             self.known = {}
@@ -180,11 +206,12 @@ class Encoder:
         new = list({w for words in cut if words for w in words if w not in known})
         for word, ids in zip(new, encode_words(self.vocab, [w.replace(" ", MARK) for w in new]), strict=True):
             known[word] = self.mark if word == MARK else ids
-        return [None if words is None else list(chain.from_iterable([known[w] for w in words])) for words in cut]
+        return [None if words is None else np.frombuffer(b"".join([known[w] for w in words]), dtype=np.int32) for words in cut]
 
 
 def decode(vocab: Vocabulary, ids: list[int]) -> str:
-    text = b"".join([vocab.texts[i] for i in ids]).decode("utf-8", "replace")
+    texts = vocab.texts
+    text = b"".join([texts[i] for i in ids]).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -201,7 +228,7 @@ def encode_column(df: DataFrame, text: str = "text", model: str = MODEL, check:
         ids = encoder.encode(texts)
         arrays = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
         if check:
-            arrays.append(pa.array([None if i is None else decode(shared.value, i) == t for i, t in zip(ids, texts, strict=True)]))
+            arrays.append(pa.array([None if i is None else decode(shared.value, i.tolist()) == t for i, t in zip(ids, texts, strict=True)]))
         return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *added])
 
     kinds = {"piece_ids": ArrayType(IntegerType()), "round_trip": BooleanType()}
