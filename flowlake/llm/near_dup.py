@@ -8,9 +8,12 @@ order, which follows edit similarity rather than mere overlap: with similarity 0
 24 sketches of 5 agrees with probability above 0.9999.
 
 Equal word sequences are one text from the start. Texts of one sketch are not paired with each
-other: the best connected one (the sum of its sketches' group sizes) leads, the others are compared with
-it, and those that fail are led anew, by twice as many leaders each round, until none is left.
-So a group of g copies costs g comparisons. A comparison aligns the k-mers of both texts within
+other: the best connected one (the sum of its sketches' group sizes) leads, and the others are
+compared with it. Where members of a sketch are then still in several classes, the best connected
+of each of ``PARTS`` hashed parts leads once more, against members of other classes. So a group of
+g copies costs g comparisons, and a link between two classes is lost only if none of their common
+leaders shows it (README has the measured share).
+A comparison aligns the k-mers of both texts within
 the band of diagonals that the threshold allows (longest chain of common labelled k-mers, increasing
 in both texts) and divides the aligned k-mers by all. Links of at least ``threshold`` are joined
 into classes by rounds of star contraction, each written to the shared folder.
@@ -27,7 +30,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.llm.common import map_batches, text_key, texts_in
@@ -37,6 +40,7 @@ K = 5
 ELL = 5
 SKETCHES = 24
 THRESHOLD = 0.8
+PARTS = 8
 ONE = np.uint64(0x9E3779B97F4A7C15)
 TWO = np.uint64(0xBF58476D1CE4E5B9)
 THREE = np.uint64(0x94D049BB133111EB)
@@ -177,32 +181,35 @@ def verified(pairs: DataFrame, bodies: DataFrame, threshold: float) -> DataFrame
     return map_batches(joined, use, "a binary, b binary")
 
 
-def links(docs: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) links between different texts; ``groups`` has (sketch, key, row, degree) of shared sketches."""
-    spark = docs.sparkSession
+def led_pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Distinct (a, b) pairs of a leader and another member of its sketch; never two of one class."""
+    led = members.join(leaders, "sketch").where("root != leader_root")
+    return led.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
+
+
+def leaders_of(members: DataFrame, parts: int) -> DataFrame:
+    """Of each sketch the best connected member; with ``parts``, that of each of so many hashed parts."""
+    best = members.groupBy("sketch", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("_part")).agg(F.max(F.struct("degree", "key", "root")).alias("m"))
+    return best.select("sketch", F.col("m.key").alias("leader"), F.col("m.root").alias("leader_root"))
+
+
+def linked_classes(docs: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS) -> DataFrame:
+    """(key, root) of linked texts; ``groups`` has (sketch, key, row, degree) of shared sketches.
+
+    First one leader is compared with all of its sketch. Then, in sketches whose members are in
+    several classes, each of ``parts`` leaders is compared with the members of other classes.
+    """
     bodies = cut_lineage(bodies_of(docs, groups.select("row.*").distinct()), "near-bodies")
-    rest, found, leaders_each = groups.select("sketch", "key", "degree"), None, 1
-    while True:
-        if leaders_each == 1:
-            leaders = rest.groupBy("sketch").agg(F.max(F.struct("degree", "key"))["key"].alias("a"))
-        else:
-            best = Window.partitionBy("sketch").orderBy(F.desc("degree"), F.desc("key"))
-            leaders = rest.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= leaders_each)
-            leaders = leaders.select("sketch", F.col("key").alias("a"))
-        led = rest.join(leaders, "sketch").where("a != key")
-        led = led.select("sketch", "key", F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-        pairs = led.select("a", "b").distinct()
-        fresh = cut_lineage(verified(pairs, bodies, threshold), "near-links")
-        found = fresh if found is None else found.unionByName(fresh)
-        done = led.join(fresh, ["a", "b"], "left_semi").select("sketch", "key")
-        gone = done.unionByName(leaders.withColumnRenamed("a", "key")).distinct()
-        left = rest.join(gone, ["sketch", "key"], "left_anti")
-        several = left.groupBy("sketch").agg(F.count("*").alias("_n")).where("_n > 1").select("sketch")
-        rest = cut_lineage(left.join(several, "sketch", "left_semi"), "near-rest")
-        if rest.isEmpty():
-            break
-        leaders_each *= 2
-    return found.distinct() if found is not None else spark.createDataFrame([], "a binary, b binary")
+    alone = groups.select("sketch", "key", "degree", F.col("key").alias("root"))
+    found = cut_lineage(verified(led_pairs(alone, leaders_of(alone, 1)), bodies, threshold), "near-links")
+    roots = cut_lineage(components(found), "near-roots")
+    members = groups.select("sketch", "key", "degree").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    several = members.groupBy("sketch").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("sketch")
+    open_ = cut_lineage(members.join(several, "sketch", "left_semi"), "near-open")
+    more = cut_lineage(verified(led_pairs(open_, leaders_of(open_, parts)), bodies, threshold), "near-links")
+    if more.isEmpty():
+        return roots
+    return components(found.unionByName(more))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,7 +246,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = each.join(sizes, "sketch")
     degree = shared.groupBy("key").agg(F.sum("size").alias("degree"))
     groups = cut_lineage(shared.join(degree, "key").select("sketch", "key", "row", "degree"), "near-groups")
-    roots = components(links(docs, groups, threshold))
+    roots = linked_classes(docs, groups, threshold)
     named = texts.select("key", "row").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("row").alias("class_row"))
     members = named.join(least, "root").select("key", F.col("row.doc_id").alias("copy_of"), F.col("class_row.doc_id").alias("class_id"), "class_row")
