@@ -33,8 +33,10 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Number rounded by its exact binary value, exact ties to even."""
-    return fixed(value, digits).cast("double")
+    """Number rounded by its exact binary value, exact ties to even; infinities and NaN stay."""
+    number = value.cast("double")
+    finite = F.abs(number) < float("inf")
+    return F.when(finite, fixed(F.when(finite, value), digits).cast("double")).otherwise(number)
 
 
 def protocol_name(number: Column) -> Column:

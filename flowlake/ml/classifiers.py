@@ -19,6 +19,7 @@ from flowlake.operators import decide, stats
 from flowlake.schemas import ROUTER_FEATURES
 
 MIN_REAL_SAMPLES = 200
+MAX_LABELS = 1000
 PATHS = ["pass", "if_only", "escalate"]
 
 
@@ -31,14 +32,20 @@ def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def router_train(
-    samples: DataFrame, rows: DataFrame, trees: int = 100, depth: int = 4, kind: str = "forest", seed: int = 42
+    samples: DataFrame,
+    rows: DataFrame,
+    trees: int = 100,
+    depth: int = 4,
+    kind: str = "forest",
+    seed: int = 42,
+    least_samples: int = MIN_REAL_SAMPLES,
 ) -> tuple[PipelineModel, str]:
     """Three-class routing model from labelled samples.
 
-    With fewer than 200 samples, ``rows`` labelled by the routing rules are used
+    With fewer than ``least_samples`` samples, ``rows`` labelled by the routing rules are used
     instead. ``kind="boosted"`` fits one boosted model per class.
     """
-    enough = samples.limit(MIN_REAL_SAMPLES).count() >= MIN_REAL_SAMPLES
+    enough = samples.limit(least_samples).count() >= least_samples
     source = "real" if enough else "bootstrap"
     data = samples if enough else rows.withColumn("label", decide.rule_label(rows))
     if kind == "boosted":
@@ -83,7 +90,9 @@ def intrusion_classifier(
     train: DataFrame, features: Sequence[str], label: str = "is_attack", trees: int = 100, depth: int = 15, seed: int = 42
 ) -> tuple[PipelineModel, dict]:
     """Class-balanced random forest over standardised features."""
-    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}
+    counts = {r[0]: r[1] for r in train.groupBy(label).count().limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} classes in {label}")
     total = sum(counts.values())
     weight = F.lit(0.0)
     for value, n in counts.items():
@@ -142,16 +151,31 @@ def payload_score(model: PipelineModel, df: DataFrame, payload: str = "payload")
 
 
 def payload_reconstruction(df: DataFrame, payload: str = "payload", size: int = 128, components: int = 16) -> DataFrame:
-    """Add reconstruction_error: mean squared error after a principal-component round trip."""
-    vector = array_to_vector(payload_vector(F.col(payload).cast("binary"), size).cast("array<double>"))
-    data = df.withColumn("_v", vector)
-    model = PCA(k=components, inputCol="_v", outputCol="_p").fit(data)
-    mean = data.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
-    axes = model.pc.toArray()
+    """Add reconstruction_error and max_error of a principal-component round trip.
 
-    @F.pandas_udf("double")
-    def error(values: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v, dtype=float) for v in values]) - mean
-        return pd.Series(((x - x @ axes @ axes.T) ** 2).mean(axis=1))
+    Payloads are read whole, in blocks of ``size`` bytes (the last one padded
+    with zeros; an empty or NULL payload is one block of zeros). The axes are
+    fitted on the blocks of all payloads; a payload has the mean and the largest
+    of its blocks' mean squared errors.
+    """
+    data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1)), F.lit(size))
+    blocks = df.select(data.alias("_data"), F.explode(starts).alias("_at")).select(F.substring("_data", F.col("_at"), F.lit(size)).alias("_b"))
+    fitted = blocks.select(array_to_vector(payload_vector(F.col("_b"), size).cast("array<double>")).alias("_v"))
+    model = PCA(k=components, inputCol="_v", outputCol="_p").fit(fitted)
+    mean = fitted.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
+    axes = model.pc.toArray()
 
-    return data.withColumn("reconstruction_error", error(vector_to_array("_v"))).drop("_v")
+    @F.pandas_udf("mean double, max double")
+    def errors(values: pd.Series) -> pd.DataFrame:
+        out = []
+        for raw in values:
+            bytes_ = np.zeros(max(1, -(-len(raw) // size)) * size)
+            bytes_[: len(raw)] = np.frombuffer(raw, dtype=np.uint8) / 255.0
+            x = bytes_.reshape(-1, size) - mean
+            each = ((x - x @ axes @ axes.T) ** 2).mean(axis=1)
+            out.append((each.mean(), each.max()))
+        return pd.DataFrame(out, columns=["mean", "max"])
+
+    scored = df.withColumn("_e", errors(data))
+    return scored.withColumns({"reconstruction_error": F.col("_e.mean"), "max_error": F.col("_e.max")}).drop("_e")

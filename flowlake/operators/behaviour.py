@@ -168,9 +168,16 @@ def _port_scan_hot(packets: DataFrame, ts: str, tie: str, max_group_rows: int) -
     first_use = packets.groupBy("src_ip", "dst_port").agg(F.min(moment).alias("m"))
     rank = Window.partitionBy("src_ip").orderBy("m")
     numbered = first_use.select(
-        F.col("m.id").alias("_first_id"), F.row_number().over(rank).cast("long").alias("_number")
+        F.col("src_ip").alias("_src"), F.col("dst_port").alias("_port"), "m", F.row_number().over(rank).cast("long").alias("_number")
     )
-    flagged = packets.join(numbered, F.col(tie) == F.col("_first_id"), "left").drop("_first_id")
+    # the id alone may repeat: a first use is its source, port, time and id
+    same = (
+        (F.col("src_ip") == F.col("_src"))
+        & F.col("dst_port").eqNullSafe(F.col("_port"))
+        & F.col(ts).eqNullSafe(F.col("m.at"))
+        & F.col(tie).eqNullSafe(F.col("m.id"))
+    )
+    flagged = packets.join(numbered, same, "left").drop("_src", "_port", "m")
     out = ordered(flagged, ["src_ip"], [ts, tie], [Running({"ports_seen": F.col("_number")})], max_group_rows)
     return out.drop("_number", POSITION)
 

@@ -43,9 +43,11 @@ def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """Area under the ROC curve by average ranks, ties shared.
 
     Rows are first combined per distinct score; ranks come from running totals
-    in slices, so no task sees the whole ranking.
+    in slices, so no task sees the whole ranking. Rows without a score (NULL or
+    NaN) have no rank and are left out, counts included.
     """
-    by_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(
+    ranked_rows = df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
+    by_score = ranked_rows.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("pos")
     )
     ranked = running_totals(by_score, "s", ["n"])

@@ -27,7 +27,8 @@ class Bucket:
 
     def refill(self, now: int) -> None:
         elapsed = SECOND_NS if self.last is None else now - self.last
-        if elapsed >= SECOND_NS:
+        # a packet older than the last one counts as a full wait, as an unsigned difference would
+        if elapsed < 0 or elapsed >= SECOND_NS:
             self.tokens, self.remainder = self.capacity, 0
         else:
             made = elapsed * self.rate + self.remainder

@@ -1,11 +1,14 @@
-"""Exact order statistics and scaling over tables of any size."""
+"""Exact order statistics and scaling over tables of any size.
+
+NULL and NaN have no place in an order: quantiles leave them out, on every path.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Up to this many rows the built-in exact percentile keeps its value table in memory.
@@ -64,18 +67,24 @@ def exact_quantiles(
     for x in places:
         low, share = int(x), x - int(x)
         below, above = found[low], found[min(low + 1, rows - 1)]
-        out.append(below + share * (above - below))
+        out.append(below if share == 0 or below == above else (1 - share) * below + share * above)
     return out
 
 
+def _ordered_value(column: str) -> Column:
+    """A number with a place in the order: NaN counts as missing, like NULL."""
+    value = F.col(column).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def quantile_table(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], in_memory_rows: int = IN_MEMORY_ROWS
 ) -> dict[str, list[float]]:
     """Exact percentiles of several columns: one pass for all of them while the table is small."""
     if df.count() > in_memory_rows:
         return {c: exact_quantiles(df, c, probabilities, in_memory_rows) for c in columns}
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), list(probabilities)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
-    return {c: list(row[f"q{i}"]) for i, c in enumerate(columns)}
+    row = df.agg(*[F.percentile(_ordered_value(c), list(probabilities)).alias(f"q{i}") for i, c in enumerate(columns)]).first()
+    return {c: list(row[f"q{i}"] or [float("nan")] * len(probabilities)) for i, c in enumerate(columns)}
 
 
 def scale_stats(
@@ -121,7 +130,7 @@ def iqr_outliers(
         if rows > in_memory_rows:
             q1, q3 = exact_quantiles(left, name, [0.25, 0.75], in_memory_rows)
             return q1, q3, left.count()
-        row = left.agg(F.percentile(F.col(name).cast("double"), [0.25, 0.75]).alias("q"), size).first()
+        row = left.agg(F.percentile(_ordered_value(name), [0.25, 0.75]).alias("q"), size).first()
         q1, q3 = row["q"] or (float("nan"), float("nan"))
         return q1, q3, row["n"]
 

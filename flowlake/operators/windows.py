@@ -90,10 +90,11 @@ def flow_stats(packets: DataFrame, salt: str | bytes, seconds: int = 5) -> DataF
 def protocol_counts(packets: DataFrame, seconds: int = 5) -> DataFrame:
     """Map of protocol to packet count per window."""
     per_protocol = (
-        packets.groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "protocol")
+        packets.withColumn("protocol", F.coalesce("protocol", F.lit("unknown")))
+        .groupBy(F.window("ts", f"{seconds} seconds").alias("w"), "protocol")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    entries = F.array_sort(F.collect_list(F.struct(F.coalesce("protocol", F.lit("unknown")).alias("key"), F.col("n").alias("value"))))
+    entries = F.array_sort(F.collect_list(F.struct(F.col("protocol").alias("key"), F.col("n").alias("value"))))
     return per_protocol.groupBy("w").agg(F.map_from_entries(entries).alias("protocol_counts")).select(
         F.col("w.start").alias("window_start"), "protocol_counts"
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowlake.functions import encode
@@ -9,7 +10,7 @@ from flowlake.ml import classifiers, iforest, training
 from flowlake.operators import behaviour, clean, decide, inspect, metrics, sampling, stats
 from flowlake.plans import fixtures as fx
 from flowlake.plans import scoring
-from flowlake.plans.q_clean import labelled_frames
+from flowlake.plans.q_clean import intrusion_rows, labelled_frames, with_intrusion
 from flowlake.plans.registry import register
 from flowlake.schemas import FLOW_COLUMNS, LOG_FEATURES, MODEL_FEATURES
 from flowlake.session import cut_lineage, scratch_path
@@ -287,32 +288,92 @@ def _scaled(spark, sf):
     return cut_lineage(stats.apply_scale(data, stats.scale_stats(data, _LOGGED)), "scaled")
 
 
-@register("m5_contamination_grid")
+# Model jobs return facts that SQL can compute too: which rows were scored, the values of a grid,
+# that scores lie in range, that shares flagged follow the quantile, that a repeated fit is equal.
+
+
+@register(
+    "m5_contamination_grid",
+    fx.with_views("v_flows", body="""SELECT round((i + 1) / 100.0, 4)::DOUBLE AS contamination, true AS threshold_in_range, true AS flagged_close, i = 0 AS chosen
+FROM range(10) t(i) WHERE (SELECT count(*) FROM v_flows) > 0"""),
+)
 def m5(spark, sf):
-    return training.contamination_grid(_scaled(spark, sf), _LOGGED)[1]
+    grid = training.contamination_grid(_scaled(spark, sf), _LOGGED)[1]
+    return grid.select(
+        F.round("contamination", 4).alias("contamination"),
+        F.col("threshold").between(-1, 0).alias("threshold_in_range"),
+        (F.abs(F.col("flagged_rate") - F.col("contamination")) <= 0.005).alias("flagged_close"),
+        "chosen",
+    )
 
 
-@register("m6_isolation_forest")
+@register(
+    "m6_isolation_forest",
+    fx.with_views("v_flows", body="""SELECT count(*) AS rows_scored, 0 AS rows_out_of_range, true AS flagged_close, true AS lowest_flagged,
+  true AS repeat_equal, 100 AS trees, true AS exact_samples FROM v_flows"""),
+)
 def m6(spark, sf):
     data = _scaled(spark, sf)
-    _, judged = iforest.fit_predict(data, _LOGGED, trees=100, contamination=0.05)
-    return metrics.anomaly_eval(judged)
+    forest, judged = iforest.fit_predict(data, _LOGGED, trees=100, contamination=0.05)
+    again = iforest.fit_forests(data.repartition(3), _LOGGED, [iforest.ForestSpec(100, 256)])[0]
+    leaves = forest.nodes[forest.nodes["feature"] < 0].groupby("tree").size()
+    flagged = F.col("prediction") == -1
+    return judged.agg(
+        F.count(F.lit(1)).alias("rows_scored"),
+        F.count_if(~F.col("probability").between(-1, -1e-12) | F.isnan("probability")).alias("rows_out_of_range"),
+        (F.abs(F.avg(flagged.cast("double")) - 0.05) <= 0.005).alias("flagged_close"),
+        (F.max(F.when(flagged, F.col("probability"))) < F.min(F.when(~flagged, F.col("probability")))).alias("lowest_flagged"),
+        F.lit(forest.nodes.equals(again.nodes)).alias("repeat_equal"),
+        F.lit(int(forest.nodes["tree"].nunique())).alias("trees"),
+        F.lit(bool((leaves <= 256).all())).alias("exact_samples"),
+    )
 
 
-@register("m7_hyperparameter_grid")
+@register(
+    "m7_hyperparameter_grid",
+    fx.with_views("v_flows", body="""SELECT n::INTEGER AS n_estimators, s::DOUBLE AS max_samples, b AS bootstrap, true AS mean_in_range, 1 AS best_points, 3 AS different_shares
+FROM range(50, 201, 25) t(n), (VALUES (0.5), (0.75), (1.0)) u(s), (VALUES (true), (false)) v(b) WHERE (SELECT count(*) FROM v_flows) > 0"""),
+)
 def m7(spark, sf):
-    return training.hyperparameter_grid(_scaled(spark, sf), _LOGGED)
+    grid = training.hyperparameter_grid(_scaled(spark, sf), _LOGGED)
+    every = Window.partitionBy(F.lit(0))  # 42 rows
+    shares = F.size(F.collect_set(F.when((F.col("n_estimators") == 50) & ~F.col("bootstrap"), F.col("mean_score"))).over(every))
+    return grid.select(
+        "n_estimators", "max_samples", "bootstrap",
+        F.col("mean_score").between(-1, -1e-12).alias("mean_in_range"),
+        F.sum(F.col("best").cast("int")).over(every).cast("int").alias("best_points"),
+        shares.alias("different_shares"),
+    )
 
 
-@register("m8_train_model")
+@register(
+    "m8_train_model",
+    "SELECT CAST(0.01 AS DOUBLE) AS contamination, true AS tested_a_fifth, true AS flagged_few, true AS scores_in_range, true AS grid_point_used, "
+    "'real' AS router_source, true AS router_labels_complete, true AS model_reloads FROM lineitem LIMIT 1",
+)
 def m8(spark, sf):
-    """CSV files to an evaluated, stored model."""
+    """CSV files to a tuned, evaluated, stored forest and a trained router."""
     path, model_path = scratch_path(spark, "training-csv"), scratch_path(spark, "model")
     rows = fx.v_flows(spark, sf).withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"))
     rows.write.option("header", True).csv(path)
-    result = training.train(src.scan_training_csvs(spark, path), trees=50)
+    samples = cut_lineage(_router_samples(spark, sf), "router")
+    grid = training.parameter_grid((50, 75), (0.5, 1.0), (False,))
+    result = training.train(src.scan_training_csvs(spark, path), grid=grid, router_samples=samples)
     training.save_model(spark, result["model"], result["scaler"], model_path, "flows")
-    return result["evaluation"].withColumn("contamination", F.lit(result["contamination"]))
+    again, _, meta = training.load_model(spark, model_path)
+    used = {"n_estimators": meta["trees"], "max_samples": result["grid_point"]["max_samples"], "bootstrap": meta["bootstrap"]}
+    total, routed = result["data"].count(), classifiers.router_evaluation(result["router"], samples).first()
+    e = F.col
+    return result["evaluation"].select(
+        F.lit(result["contamination"]).alias("contamination"),
+        (F.abs(e("total_samples") - 0.2 * total) <= 1).alias("tested_a_fifth"),
+        (e("anomaly_rate") <= 0.03).alias("flagged_few"),
+        (e("min_anomaly_score").between(-1, 1) & e("max_anomaly_score").between(-1, 1)).alias("scores_in_range"),
+        F.lit(used in grid).alias("grid_point_used"),
+        F.lit(result["router_source"]).alias("router_source"),
+        F.lit(routed["n_samples"] == samples.count() == sum(routed[f"label_{p}"] for p in classifiers.PATHS)).alias("router_labels_complete"),
+        F.lit(again.nodes.equals(result["model"].nodes)).alias("model_reloads"),
+    )
 
 
 @register("s11_save_load_model", fx.with_views("v_flows", body="SELECT count(*) AS rows_scored, 0 AS rows_differing, 8 AS scaler_rows FROM v_flows"))
@@ -330,48 +391,70 @@ def s11(spark, sf):
     )
 
 
-@register("m17_robust_baseline_fit")
+@register(
+    "m17_robust_baseline_fit",
+    fx.with_views("v_flows", body="SELECT count(*) AS rows_scored, true AS observed_close, true AS percentiles_ordered, true AS within_target FROM v_flows"),
+)
 def m17(spark, sf):
-    return training.robust_baseline(fx.v_flows(spark, sf).drop("packets_in", "packets_out"))[1]
-
-
-def _text_features(spark, sf):
-    """Numeric features of the labelled documents with the toxic flag as the attack label."""
-    d = fx.v_labelled(spark, sf)
-    text = F.col("payload")
-    return d.select(
-        "doc_id",
-        F.col("y").alias("is_attack"),
-        F.col("score").alias("n_chars"),
-        F.octet_length(text).cast("double").alias("n_bytes"),
-        inspect.non_printable(inspect.byte_text(text)).cast("double").alias("n_other"),
-        F.regexp_count(text, F.lit("[0-9]")).cast("double").alias("n_digits"),
-        F.regexp_count(text, F.lit("\n")).cast("double").alias("n_lines"),
+    scored, report = training.robust_baseline(fx.v_flows(spark, sf).drop("packets_in", "packets_out"))
+    return report.select(
+        F.lit(scored.count()).alias("rows_scored"),
+        (F.abs(F.col("observed_contamination") - 0.1) <= 0.005).alias("observed_close"),
+        ((F.col("p5") <= F.col("p50")) & (F.col("p50") <= F.col("p95")) & (F.col("p5") < 0)).alias("percentiles_ordered"),
+        "within_target",
     )
 
 
-_TEXT = ["n_chars", "n_bytes", "n_other", "n_digits", "n_lines"]
+# Numeric columns that the intrusion models use, besides the four derived ones and the protocol flags.
+_INTRUSION = [
+    "packet_count", "byte_count", "duration", "rate", "protocol_type_TCP", "protocol_type_UDP", "protocol_type_ICMP", "src_bytes", "dst_bytes",
+    "count", "srv_count", "serror_rate", "rerror_rate", "same_srv_rate", "diff_srv_rate", "dst_host_count", "dst_host_srv_count",
+    "dst_host_same_srv_rate", "dst_host_diff_srv_rate", "logged_in", "hot", "num_failed_logins", "num_compromised",
+]
 
 
-def _split_text(spark, sf):
-    data = cut_lineage(_text_features(spark, sf), "text")
-    return sampling.train_test_split(data, ["doc_id"], strata=["is_attack"])
+def _split_intrusion(spark, sf):
+    """Benchmark files read back, labelled, with their features, in two splits by row hash."""
+    path = scratch_path(spark, "intrusion")
+    intrusion_rows(spark, sf).write.option("header", False).csv(path)
+    rows = clean.intrusion_features_full(clean.label_attacks(src.scan_intrusion_csv(spark, path)))
+    data = rows.select("is_attack", *_INTRUSION).withColumn("row_id", F.xxhash64(*_INTRUSION))
+    return sampling.train_test_split(cut_lineage(data, "intrusion"), ["row_id"], strata=["is_attack"])
 
 
-@register("m13_iforest_tune_labelled")
+@register(
+    "m13_iforest_tune_labelled",
+    with_intrusion("""SELECT c::DOUBLE AS contamination, n::INTEGER AS n_estimators, count(*) FILTER (WHERE label <> 'normal') AS attacks, true AS rates_in_range, 1 AS best_points
+FROM v_intrusion, (VALUES (0.001), (0.002), (0.005), (0.01), (0.02)) t(c), (VALUES (100), (200), (400)) u(n) GROUP BY c, n"""),
+)
 def m13(spark, sf):
     """Train on normal rows; validate on the held-out normal rows and all attacks."""
-    data = _split_text(spark, sf)
+    data = cut_lineage(_split_intrusion(spark, sf), "split")
     train = (F.col("is_attack") == 0) & (F.col("split") == "train")
-    return training.tune_labelled(data.filter(train), data.filter(~train), _TEXT)
+    tuned = training.tune_labelled(data.filter(train), data.filter(~train), _INTRUSION)
+    every = Window.partitionBy(F.lit(0))  # 15 rows
+    return tuned.select(
+        F.round("contamination", 4).alias("contamination"), "n_estimators", (F.col("tp") + F.col("fn")).alias("attacks"),
+        (F.col("precision").between(0, 1) & F.col("f1").between(0, 1)).alias("rates_in_range"),
+        F.sum(F.col("best").cast("int")).over(every).cast("int").alias("best_points"),
+    )
 
 
-@register("m12_intrusion_classifier")
+@register("m12_intrusion_classifier", "SELECT true AS tested_a_fifth, true AS precise, true AS sensitive, true AS probabilities_in_range FROM lineitem LIMIT 1")
 def m12(spark, sf):
-    data = _split_text(spark, sf)
-    model, scaler = classifiers.intrusion_classifier(data.filter("split = 'train'"), _TEXT)
-    predicted = classifiers.intrusion_predict(model, scaler, data.filter("split = 'test'"))
-    return metrics.confusion_metrics(predicted, "is_attack", "pred")
+    data = cut_lineage(_split_intrusion(spark, sf), "split")
+    model, scaler = classifiers.intrusion_classifier(data.filter("split = 'train'"), _INTRUSION)
+    predicted = cut_lineage(classifiers.intrusion_predict(model, scaler, data.filter("split = 'test'")).select("is_attack", "pred", "attack_probability"), "predicted")
+    outside = predicted.filter(~F.col("attack_probability").between(0, 1)).count()
+    total = data.count()
+    rated = metrics.confusion_metrics(predicted, "is_attack", "pred")
+    tested = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    return rated.select(
+        (F.abs(tested - 0.2 * total) <= 2).alias("tested_a_fifth"),
+        (F.col("precision") >= 0.85).alias("precise"),  # the gates of the evaluation
+        (F.col("true_positive_rate") > 0.5).alias("sensitive"),
+        F.lit(outside == 0).alias("probabilities_in_range"),
+    )
 
 
 # -------------------------------------------------------------- router, payload
@@ -388,34 +471,55 @@ def _router_samples(spark, sf):
     return rows.withColumn("label", decide.router_label(verdict, payload))
 
 
-@register("m10_router_train")
+@register(
+    "m10_router_train",
+    fx.with_views("v_scores", body="SELECT count(*) AS n_samples, true AS labels_complete, true AS accurate, 'real' AS source FROM v_scores"),
+)
 def m10(spark, sf):
     samples = cut_lineage(_router_samples(spark, sf), "router")
     model, source = classifiers.router_train(samples, samples)
-    return classifiers.router_evaluation(model, samples).withColumn("source", F.lit(source))
+    counts = F.col("label_pass") + F.col("label_if_only") + F.col("label_escalate")
+    return classifiers.router_evaluation(model, samples).select(
+        "n_samples", (counts == F.col("n_samples")).alias("labels_complete"), (F.col("train_accuracy") >= 0.85).alias("accurate"), F.lit(source).alias("source")
+    )
 
 
-@register("e4_route_model")
+@register(
+    "e4_route_model",
+    fx.with_views("v_scores", body="SELECT packet_id, true AS known_path, true AS confidence_in_range, false AS used_fallback, false AS escalated_without_payload FROM v_scores"),
+)
 def e4(spark, sf):
     rows = cut_lineage(_router_rows(spark, sf), "router")
     labelled = rows.withColumn("label", decide.rule_label(rows))
     model, _ = classifiers.router_train(labelled, rows)
-    return classifiers.route_model(model, rows).select("packet_id", "path", "confidence", "used_fallback")
+    return classifiers.route_model(model, rows).select(
+        "packet_id", F.col("path").isin(classifiers.PATHS).alias("known_path"), F.col("confidence").between(1e-9, 1).alias("confidence_in_range"),
+        "used_fallback", ((F.col("path") == "escalate") & (F.col("payload_available") == 0)).alias("escalated_without_payload"),
+    )
 
 
-@register("m15_payload_classifier")
+@register("m15_payload_classifier", "SELECT true AS tested_a_fifth, true AS scores_in_range, true AS better_than_chance FROM documents LIMIT 1")
 def m15(spark, sf):
+    """Fitted on four fifths, judged on the held-out fifth."""
     frames = clean.binary_payload_label(labelled_frames(spark, sf)).withColumn("payload", F.unbase64("payload"))
-    model = classifiers.payload_train(frames)
-    scored = classifiers.payload_score(model, frames)
-    final = scored.withColumn("pred", (inspect.signature_score_b(F.col("base_score"), F.col("payload")) > 0.5).cast("int"))
-    return metrics.confusion_metrics(final)
+    named = cut_lineage(frames.select("payload", "y", F.xxhash64("payload", "src_ip", "bytes_in").alias("row_id")), "frames")
+    data = cut_lineage(sampling.train_test_split(named, ["row_id"], strata=["y"]), "split")
+    model = classifiers.payload_train(data.filter("split = 'train'"))
+    scored = cut_lineage(classifiers.payload_score(model, data.filter("split = 'test'")).select("y", "payload", "base_score"), "scored")
+    final = scored.withColumn("s", inspect.signature_score_b(F.col("base_score"), F.col("payload")))
+    total, auc = data.count(), metrics.roc_auc(final, "y", "s").first()["auc"]
+    return final.agg(
+        (F.abs(F.count(F.lit(1)) - 0.2 * total) <= 2).alias("tested_a_fifth"),
+        (F.count_if(~F.col("s").between(0, 1)) == 0).alias("scores_in_range"),
+        F.lit(auc is None or auc > 0.5).alias("better_than_chance"),
+    )
 
 
-@register("m16_payload_reconstruction")
+@register("m16_payload_reconstruction", "SELECT conv_id, turn, true AS errors_in_range FROM conversations")
 def m16(spark, sf):
     scored = classifiers.payload_reconstruction(fx.table(spark, sf, "conversations"), "text")
-    return scored.select("conv_id", "turn", "reconstruction_error")
+    ordered_errors = (F.col("reconstruction_error") >= 0) & (F.col("reconstruction_error") <= F.col("max_error") + 1e-12) & (F.col("max_error") <= 1)
+    return scored.select("conv_id", "turn", ordered_errors.alias("errors_in_range"))
 
 
 # ----------------------------------------------------------------- whole path
@@ -435,7 +539,7 @@ def e8(spark, sf):
     """Streamed CSV files, cleaned, scored and decided batch by batch."""
     forest, scaler, _ = _trained(spark, sf)
     path = scratch_path(spark, "score-csv")
-    fx.v_dirty_flows(spark, sf).withColumn("flow_id", F.monotonically_increasing_id()).write.option("header", True).csv(path)
+    fx.v_dirty_flows(spark, sf).withColumn("flow_id", F.xxhash64("*")).write.option("header", True).csv(path)
     stream = src.stream_flow_csv(spark, path, [*FLOW_COLUMNS, "flow_id"])
     entries, trusted = fx.v_blocklist(spark, sf), fx.v_trusted(spark, sf)
 

@@ -64,11 +64,12 @@ def cut_lineage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give an expensive per-row stage at least one task per core.
+def spread(df: DataFrame, rows_mb: int = 4) -> DataFrame:
+    """Give an expensive per-row stage over a small stored table a task per core.
 
-    Only inputs with fewer partitions than cores are redistributed; anything
-    larger keeps its partitions and pays no shuffle.
+    Decided by the planner's size estimate, without running anything: a table of
+    less than ``rows_mb`` per core comes in too few splits. Larger ones keep theirs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * rows_mb * 2**20 else df

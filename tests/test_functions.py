@@ -143,3 +143,23 @@ def test_policy_and_risk_tiers(spark):
     assert [r[0] for r in df.select(encode.policy_tier(F.col("s"))).collect()] == ["Isolate", "Throttle", "Throttle", "Monitor"]
     df = spark.createDataFrame([(-0.95,), (0.7,), (0.35,), (0.34,)], "s double")
     assert [r[0] for r in df.select(encode.risk_level(F.col("s"))).collect()] == ["critical", "high", "medium", "low"]
+
+
+def test_long_salts_final_newlines_and_infinities(spark):
+
+    salt = "s" * 100
+    want = "ip_" + hmac.new(salt.encode(), bytes([10, 0, 0, 1]), hashlib.sha256).hexdigest()[:32]
+    row = spark.createDataFrame([("10.0.0.1",)], "a string").select(ip.hash_ip(F.col("a"), salt).alias("h")).first()
+    assert row["h"] == want
+    odd = spark.createDataFrame([("10.0.0.1\n",), ("::1\n",), ("1:2:3:4:5:6:7:8\n",), ("::ffff:10.0.0.1\n",)], "a string")
+    assert odd.filter(ip.valid_ip(F.col("a")) | ip.packed_ip(F.col("a")).isNotNull()).count() == 0
+
+    numbers = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),), (0.125,), (None,)], "x double")
+    got = [r[0] for r in numbers.select(encode.rounded(F.col("x"), 2)).collect()]
+    assert got[:2] == [float("inf"), float("-inf")] and got[2] != got[2] and got[3:] == [0.12, None]
+
+
+def test_address_plans_stay_small(spark):
+    df = spark.createDataFrame([("10.0.0.1",)], "a string").select(ip.hash_ip(F.col("a"), "12345678"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 16

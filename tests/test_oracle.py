@@ -16,7 +16,8 @@ def oracle(sf_dir):
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, oracle, sf_dir, name):
     verdict, rows = check.compare(spark, oracle, name, sf_dir)
-    assert verdict in ("ok", "rows")
+    # text operators that SQL cannot express are tested by brute force in tests/llm
+    assert verdict == "ok" or (verdict == "rows" and name.startswith(("op", "pipeline", "e8_")))
     if name != "w8_beacon_jitter":
         assert rows > 0
 
