@@ -10,6 +10,7 @@ from pyspark.sql.window import WindowSpec
 
 from flowlake.functions import encode
 from flowlake.operators.sequence import MAX_GROUP_ROWS, POSITION, Running, Stage, largest_group, ordered
+from flowlake.session import cut_lineage
 
 HISTORY = 100
 FLOW_COUNT_CAP = 1000
@@ -76,6 +77,36 @@ def source_history(
     ).drop("_gap_us", "_gaps", "_gap_sum", "_gap_dev")
 
 
+def history_after(
+    flows: DataFrame,
+    past: DataFrame | None,
+    key: str = "src_ip",
+    ts: str = "ts",
+    tie: str = "packet_id",
+    score: str = "if_score",
+    history: int = HISTORY,
+    max_group_rows: int = MAX_GROUP_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """``source_history`` of a batch that follows earlier ones, and what the next batch needs.
+
+    ``past`` holds the last ``history`` rows of each source and, in ``_earlier``, how many rows
+    came before them. Batches must follow each other in time; then the rows are those of one
+    batch over everything.
+    """
+    both = flows.withColumn("_earlier", F.lit(None).cast("long"))
+    if past is not None:
+        both = both.unionByName(past, allowMissingColumns=True)
+    out = cut_lineage(source_history(both, key, ts, tie, score, history, max_group_rows=max_group_rows), "history")
+    seen = out.groupBy(key).agg(F.max(POSITION).alias("_rows"), F.coalesce(F.max("_earlier"), F.lit(0)).alias("_before"))
+    placed = out.join(seen, key)
+    keep = placed.filter(F.col(POSITION) > F.col("_rows") - history).select(
+        key, ts, tie, score, (F.col("_before") + F.greatest(F.col("_rows") - history, F.lit(0))).cast("long").alias("_earlier")
+    )
+    count = F.least(F.col("ip_flow_count") + F.col("_before"), F.lit(FLOW_COUNT_CAP))
+    fresh = placed.filter("_earlier IS NULL").withColumn("ip_flow_count", count).drop("_earlier", "_rows", "_before")
+    return fresh, keep
+
+
 def router_features(
     flows: DataFrame,
     startup: Column | None = None,

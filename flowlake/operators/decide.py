@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.functions import encode
+from flowlake.functions import encode, ip
 from flowlake.operators import blocklist
 
 CLEAR_THRESHOLD = -0.2
@@ -110,10 +110,20 @@ def enforcement(
     as_of: Column,
     score: str = "anomaly_score",
     explanation: str = "explanation",
+    salt: str | bytes | None = None,
 ) -> DataFrame:
-    """Flows that call for action, with the reason; a blocklist hit outranks the anomaly."""
+    """Flows that call for action, with the reason; a blocklist hit outranks the anomaly.
+
+    With a ``salt`` the blocklist holds hashed addresses, and flows are looked up by their hash.
+    """
     open_flows = blocklist.trusted_suppression(flows.filter(~F.col("skip_enforcement")), trusted)
-    matched = blocklist.blocklist_match(open_flows, entries, as_of)
+    if salt is None:
+        matched = blocklist.blocklist_match(open_flows, entries, as_of)
+    else:
+        plain = {"_plain_src": F.col("src_ip"), "_plain_dst": F.col("dst_ip")}
+        hashed = {c: ip.hash_ip_lenient(F.col(c), salt) for c in ("src_ip", "dst_ip")}
+        matched = blocklist.blocklist_match(open_flows.withColumns(plain).withColumns(hashed), entries, as_of)
+        matched = matched.withColumns({"src_ip": F.col("_plain_src"), "dst_ip": F.col("_plain_dst")}).drop(*plain)
     anomaly = F.col("prediction") == -1
     high = F.col("risk_level").isin("high", "critical")
     number = encode.fixed(F.col(score), 3)

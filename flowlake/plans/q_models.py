@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlake.functions import encode
+from flowlake.functions import encode, ip
 from flowlake.ml import classifiers, iforest, training
 from flowlake.operators import behaviour, clean, decide, inspect, metrics, sampling, stats
 from flowlake.plans import fixtures as fx
@@ -424,8 +424,8 @@ def _split_intrusion(spark, sf):
 
 @register(
     "m13_iforest_tune_labelled",
-    with_intrusion("""SELECT c::DOUBLE AS contamination, n::INTEGER AS n_estimators, count(*) FILTER (WHERE label <> 'normal') AS attacks, true AS rates_in_range, 1 AS best_points
-FROM v_intrusion, (VALUES (0.001), (0.002), (0.005), (0.01), (0.02)) t(c), (VALUES (100), (200), (400)) u(n) GROUP BY c, n"""),
+    with_intrusion("""SELECT c::DOUBLE AS contamination, k::INTEGER AS n_estimators, count(*) FILTER (WHERE label <> 'normal') AS attacks, true AS rates_in_range, 1 AS best_points
+FROM v_intrusion, (VALUES (0.001), (0.002), (0.005), (0.01), (0.02)) t(c), (VALUES (100), (200), (400)) u(k) GROUP BY c, k"""),
 )
 def m13(spark, sf):
     """Train on normal rows; validate on the held-out normal rows and all attacks."""
@@ -526,28 +526,59 @@ def m16(spark, sf):
 
 
 def _trained(spark, sf):
+    """A forest with a high threshold, so that flows take every route, the payload scan too."""
     path = scratch_path(spark, "scoring-model")
     data = _logged(spark, sf)
     scaler = stats.scale_stats(data, _LOGGED)
-    forest = iforest.fit(cut_lineage(stats.apply_scale(data, scaler), "scaled"), _LOGGED, trees=50, contamination=0.05)
+    forest = iforest.fit(cut_lineage(stats.apply_scale(data, scaler), "scaled"), _LOGGED, trees=50, contamination=0.98)
     training.save_model(spark, forest, scaler, path, "flows")
     return training.load_model(spark, path)
 
 
-@register("e8_score_flows")
+@register(
+    "e8_score_flows",
+    "SELECT true AS some_decided, true AS batching_changes_nothing, true AS hashed_blocklist_agrees, true AS payloads_scanned, true AS verdicts_follow_scores, "
+    "true AS every_reason_known FROM lineitem LIMIT 1",
+)
 def e8(spark, sf):
-    """Streamed CSV files, cleaned, scored and decided batch by batch."""
+    """Streamed CSV files, cleaned, scored and decided: one batch and several give the same rows."""
     forest, scaler, _ = _trained(spark, sf)
     path = scratch_path(spark, "score-csv")
-    fx.v_dirty_flows(spark, sf).withColumn("flow_id", F.xxhash64("*")).write.option("header", True).csv(path)
-    stream = src.stream_flow_csv(spark, path, [*FLOW_COLUMNS, "flow_id"])
-    entries, trusted = fx.v_blocklist(spark, sf), fx.v_trusted(spark, sf)
-
-    def decide_batch(batch):
-        flows = clean.clean_flows(batch).withColumn("payload", F.lit(None).cast("string"))
-        scored = cut_lineage(scoring.score_flows(flows, forest, scaler), "scored")
-        return scoring.decide_flows(scored, entries, trusted, fx.as_of()).select(
-            "flow_id", "src_ip", "dst_ip", "prediction", "anomaly_score", "risk_level", "path", "action_reason"
-        )
-
-    return run.drain_batches(stream, decide_batch, "score")
+    threats = " and ".join(inspect.PATTERNS_B[:3])
+    texts = F.when(F.col("packets_out").isin("1", "3"), threats).when(F.col("packets_out") == "2", "GET /index.html HTTP/1.1")
+    flows = fx.v_dirty_flows(spark, sf).withColumns({"flow_id": F.xxhash64("*"), "payload": texts})
+    flows = cut_lineage(flows.dropDuplicates(["flow_id"]), "score-rows")
+    edges = sorted({"", "9999", *[str(v) for v in flows.agg(*[F.percentile(F.year("timestamp"), p / 4).cast("int") for p in (1, 2, 3)]).first()]})
+    for low, high in zip(edges, edges[1:]):  # files follow each other in time
+        flows.filter((F.col("timestamp") >= low) & (F.col("timestamp") < high)).coalesce(1).write.mode("append").option("header", True).csv(path)
+    entries, trusted, salt = fx.v_blocklist(spark, sf), fx.v_trusted(spark, sf), "a salt of the site"
+    hidden = entries.withColumn("ip_address", ip.hash_ip_lenient(F.col("ip_address"), salt))
+    columns = ["flow_id", "src_ip", "dst_ip", "prediction", "anomaly_score", "risk_level", "path", "payload_score", "action_reason"]
+
+    def decided(files: int, listed, salt=None):
+        stream = src.stream_flow_csv(spark, path, [*FLOW_COLUMNS, "flow_id", "payload"], files, latest_first=False)
+
+        def decide_batch(batch, past):
+            scored = cut_lineage(scoring.score_flows(clean.clean_flows(batch), forest, scaler), "scored")
+            out, keep = scoring.decide_after(scored, past, listed, trusted, fx.as_of(), salt=salt)
+            return out.select(*columns), keep
+
+        return run.drain_with_state(stream, decide_batch, "score")
+
+    one, several, hashed = decided(100, entries), decided(1, entries), decided(100, hidden, salt)
+    rounded = [F.round(c, 9).alias(c) if c in ("anomaly_score", "payload_score") else F.col(c) for c in columns]
+
+    def differing(a, b):
+        a, b = a.select(*rounded), b.select(*rounded)
+        return F.lit(a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty())
+
+    listed_reason = F.col("action_reason").rlike("^(Source|Destination) IP .* is blacklisted$")
+    anomaly_reason = F.col("action_reason").rlike("^(High-risk anomaly|Anomaly detected): .*score: ")
+    return one.agg(
+        (F.count(F.lit(1)) > 0).alias("some_decided"),
+        differing(one, several).alias("batching_changes_nothing"),
+        differing(one, hashed).alias("hashed_blocklist_agrees"),
+        (F.count_if(F.col("payload_score").isNotNull()) > 0).alias("payloads_scanned"),
+        (F.count_if((F.col("anomaly_score") < 0) != (F.col("prediction") == -1)) == 0).alias("verdicts_follow_scores"),
+        (F.count_if(~(listed_reason | ((F.col("prediction") == -1) & anomaly_reason))) == 0).alias("every_reason_known"),
+    )
