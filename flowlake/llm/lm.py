@@ -397,10 +397,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     body = F.coalesce("text", F.lit(""))
     keys = [F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")]
     keyed = docs.select(*keys, body.alias("text"))
-    names = ["k1", "k2", "token", "times", "n_tokens", "n_known", "base", "model", "n_bytes"]
-    types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+    whole = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("n_bytes", pa.int64())])
 
-    def use(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def use(batch: pa.RecordBatch):
         codec, code, _, known, _, seen = shared.value
         texts = batch.column("text").to_pylist()
         tokens, ids = joined_ids(codec, texts)
@@ -408,38 +407,46 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for part, contexts, of, nodes, bits in codec.blocks(ids):
             sizes = codec.code[1][ids[part]]
             costs[part] = code.costs(contexts, of, nodes, bits, np.cumsum(sizes) - sizes)
-        bases, seen_ids, escape = known[ids], seen[ids], codec.escape
-        rows, begin = [], 0
-        for k1, k2, text, own in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), texts, tokens, strict=True):
-            end = begin + len(own)
-            rare = Counter([own[i] for i in np.flatnonzero(ids[begin:end] == escape).tolist()])
-            # a token that no text holds, another one for every text, stands for the rest of the text
-            mark = b" " + k1.to_bytes(8, "big", signed=True)
-            rows.append((k1, k2, mark, 1, len(own), int(seen_ids[begin:end].sum()), float(bases[begin:end].sum()), float(costs[begin:end].sum()), len(text.encode("utf-8", "replace"))))
-            rows += [(k1, k2, t, n, 0, 0, 0.0, 0.0, 0) for t, n in rare.items()]
-            begin = end
-        return arrow_rows(rows, names, types)
-
-    flat = map_batches(keyed, use, "k1 bigint, k2 bigint, token binary, times bigint, n_tokens bigint, n_known bigint, base double, model double, n_bytes bigint")
-    joined = flat.join(model["counts"].withColumnRenamed("n", "c"), "token", "left").select(*names, F.coalesce("c", F.lit(0)).alias("c"))
+        lengths = np.array([len(t) for t in tokens])
+        starts = np.cumsum(lengths) - lengths
+        k1, k2 = batch.column("k1").to_numpy(zero_copy_only=False), batch.column("k2").to_numpy(zero_copy_only=False)
+        # a token that no text holds, another one for every text, stands for the rest of the text
+        marks = [b" " + k.to_bytes(8, "big", signed=True) for k in k1.tolist()]
+        sums = [
+            lengths, np.add.reduceat(seen[ids].astype(np.int64), starts), np.add.reduceat(known[ids], starts), np.add.reduceat(costs, starts),
+            np.array([len(t.encode("utf-8", "replace")) for t in texts], dtype=np.int64),
+        ]
+        texts_part = pa.StructArray.from_arrays([pa.array(x) for x in sums], fields=list(whole))
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(marks, pa.binary()), texts_part], ["k1", "k2", "token", "whole"])
+        rare = np.flatnonzero(ids == codec.escape)
+        flat = [t for row in tokens for t in row]
+        of_text = np.searchsorted(starts, rare, side="right") - 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(k1[of_text]), pa.array(k2[of_text]), pa.array([flat[i] for i in rare.tolist()], pa.binary()), pa.nulls(len(rare), whole)],
+            ["k1", "k2", "token", "whole"],
+        )
+
+    flat = map_batches(keyed, use, "k1 bigint, k2 bigint, token binary, whole struct<n_tokens:bigint,n_known:bigint,base:double,model:double,n_bytes:bigint>")
+    joined = flat.join(model["counts"].withColumnRenamed("n", "c"), "token", "left").select("k1", "k2", "token", "whole", F.coalesce("c", F.lit(0)).alias("c"))
 
     def spelled(batches):
         codec, _, spell, _, own, _ = shared.value
+        names = [f.name for f in whole]
         for batch in batches:
-            rare = np.array(batch.column("n_tokens")) == 0
+            texts = batch.column("whole")
+            rare = np.array(texts.is_null())
+            sums = {n: np.array(texts.field(i).fill_null(0)) for i, n in enumerate(names)}
+            sums = {n: np.where(rare, x.dtype.type(0), x) for n, x in sums.items()}
             at = np.flatnonzero(rare)
-            base, cost = np.array(batch.column("base")), np.array(batch.column("model"))
-            found = np.array(batch.column("n_known"))
             if len(at):
                 coded = batch.column("token").take(pa.array(at)).dictionary_encode()
-                which, times, c = np.array(coded.indices), np.array(batch.column("times"))[at], np.array(batch.column("c"))[at]
+                which, c = np.array(coded.indices), np.array(batch.column("c"))[at]
                 counted = np.zeros(len(coded.dictionary))
                 counted[which] = c
                 each = spelled_costs(codec, spell, own, coded.dictionary.to_pylist(), counted)
-                base[at], cost[at], found[at] = times * (np.log10(c + 1.0) - below), times * each[which], times * (c > 0)
+                sums["base"][at], sums["model"][at], sums["n_known"][at] = np.log10(c + 1.0) - below, each[which], c > 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), batch.column("n_tokens"), pa.array(found), pa.array(base), pa.array(cost), batch.column("n_bytes"), pa.array((~rare).astype(np.int64))],
-                ["k1", "k2", "n_tokens", "n_known", "base", "model", "n_bytes", "copies"],
+                [batch.column("k1"), batch.column("k2"), *[pa.array(sums[n]) for n in names], pa.array((~rare).astype(np.int64))], ["k1", "k2", *names, "copies"]
             )
 
     costed = joined.mapInArrow(spelled, "k1 bigint, k2 bigint, n_tokens bigint, n_known bigint, base double, model double, n_bytes bigint, copies bigint")
