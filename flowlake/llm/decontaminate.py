@@ -85,20 +85,12 @@ def find(
     hits = seen.join(small(signatures(table, perms)), "h").where(F.col("_size") >= F.ceil(threshold * F.col("item_size") - 1e-9))
     pairs = hits.select("text_key", "item_no").distinct()
 
+    # a text with many copies is a skewed key of this join, which adaptive execution can split
     facts = small(table.select("item_no", "item_id", "item_set", "item_size"))
-    # one row per text with its candidates, so the texts are shuffled at most once
-    wanted = pairs.join(facts, "item_no").groupBy("text_key").agg(F.collect_list(F.struct("item_id", "item_set", "item_size")).alias("_items"))
-    texts = keyed.join(wanted, "text_key").select("text_key", "_items", F.array_distinct(shingles(F.col("_text"), width)).alias("_set"))
-    counted = texts.select(
-        "text_key",
-        F.explode(
-            once(
-                F.struct("_items", "_set"),
-                lambda x: F.transform(x["_items"], lambda i: F.struct(i["item_id"], i["item_size"], F.size(F.array_intersect(i["item_set"], x["_set"])).alias("shared"))),
-            )
-        ).alias("m"),
-    )
-    return counted.select("text_key", "m.*").where(F.col("shared") >= F.ceil(threshold * F.col("item_size") - 1e-9)).distinct()
+    texts = keyed.join(pairs, "text_key").join(facts, "item_no")
+    shared = F.size(F.array_intersect("item_set", shingles(F.col("_text"), width)))
+    counted = texts.select("text_key", "item_id", "item_size", shared.alias("shared"))
+    return counted.where(F.col("shared") >= F.ceil(threshold * F.col("item_size") - 1e-9)).distinct()
 
 
 def search(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
