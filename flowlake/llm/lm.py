@@ -25,22 +25,22 @@ spelled by untrained tables. Other columns are not read.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.llm.common import broadcast_value, map_batches
+from flowlake.llm.common import ROWS_AT_ONCE, broadcast_value, map_batches
 from flowlake.session import cut_lineage
 
 HEAD = 1 << 15
 SLOT_BITS = 20
 SPELL_BITS = 18
 BLOCK = 1 << 15  # counts per shuffled row
-CHUNK = 1 << 15  # bits predicted at once
-DISTINCT_AT_ONCE = 300_000
+CHUNK = 1 << 14  # bits predicted at once
+COUNTED_AT_ONCE = 4096  # texts
 END = b""
 MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 STEPS = 33  # refinement buckets
@@ -54,6 +54,16 @@ def tokens_of(text: str | None) -> list[bytes]:
     return words
 
 
+def token_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts in a row, number of words of each text), without the ends."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = split.flatten().cast(pa.binary())
+    offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))  # white space at the sides leaves empty words
+    before = np.concatenate([[0], np.cumsum(full)])
+    return flat.filter(pa.array(full)), np.diff(before[offsets])
+
+
 def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first bit, number of bits, node of each bit, bit) of the code of every symbol."""
     heap = [(w, i) for i, w in enumerate(weights)]
@@ -75,21 +85,21 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         size.append(len(path))
         nodes += [p for p, _ in reversed(path)]
         bits += [s for _, s in reversed(path)]
-    return np.array(first), np.array(size), np.array(nodes, dtype=np.uint32), np.array(bits, dtype=np.uint8)
+    return np.array(first, np.int32), np.array(size, np.int32), np.array(nodes, dtype=np.uint32), np.array(bits, dtype=np.uint8)
 
 
 def byte_code() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     nodes = [(1 << k) | (b >> (8 - k)) for b in range(256) for k in range(8)]
     bits = [b >> (7 - k) & 1 for b in range(256) for k in range(8)]
-    return np.arange(256) * 8, np.full(256, 8), np.array(nodes, dtype=np.uint32), np.array(bits, dtype=np.uint8)
+    return np.arange(0, 2048, 8, dtype=np.int32), np.full(256, 8, np.int32), np.array(nodes, dtype=np.uint32), np.array(bits, dtype=np.uint8)
 
 
 def bits_of(code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the symbol, node, bit) of every bit."""
     first, size, nodes, bits = code
     sizes = size[symbols]
-    of = np.repeat(np.arange(len(symbols)), sizes)
-    at = np.arange(len(of)) + np.repeat(first[symbols] - (np.cumsum(sizes) - sizes), sizes)
+    of = np.repeat(np.arange(len(symbols), dtype=np.int32), sizes)
+    at = np.arange(len(of), dtype=np.int32) + np.take(first[symbols] - (np.cumsum(sizes, dtype=np.int32) - sizes), of)
     return of, nodes[at], bits[at]
 
 
@@ -98,9 +108,12 @@ def slots(contexts: list[np.ndarray], of: np.ndarray, nodes: np.ndarray, width:
     spread = nodes * MIX[0]
     out = []
     for order, context in enumerate(contexts):
-        h = ((context * MIX[1] + np.uint32(order)) * MIX[2])[of] ^ spread
+        h = np.take((context * MIX[1] + np.uint32(order)) * MIX[2], of)
+        h ^= spread
         h ^= h >> np.uint32(15)
-        out.append((h * MIX[1]) >> np.uint32(32 - width))
+        h *= MIX[1]
+        h >>= np.uint32(32 - width)
+        out.append(h.astype(np.int64))
     return out
 
 
@@ -134,7 +147,9 @@ class Tables:
 
     def add(self, contexts, of, nodes, bits) -> None:
         for row, at in zip(self.counts, slots(contexts, of, nodes, self.width), strict=True):
-            np.add.at(row, (at << np.uint32(1) | bits).astype(np.int64), np.int32(1))
+            at <<= 1
+            at |= bits
+            np.add.at(row, at, np.int32(1))
 
     def rows(self, kind: str):
         """Blocks of counts as rows (kind, order, block, counts); blocks without a count are left out."""
@@ -161,12 +176,13 @@ class Predictor:
         """(stretched inputs, gate, mix, refinement bucket) of every bit."""
         at = slots(contexts, of, nodes, self.width)
         inputs = [np.take(row, a) for row, a in zip(self.stretched, at, strict=True)]
-        gate = np.take(self.trust[-1], at[-1]) * np.uint8(4) + np.take(self.trust[-2], at[-2])
+        gate = (np.take(self.trust[-1], at[-1]) * np.uint8(4) + np.take(self.trust[-2], at[-2])).astype(np.int64)
         total = inputs[0] * np.take(self.weights[0], gate)
         for row, x in zip(self.weights[1:], inputs[1:], strict=True):
             total += x * np.take(row, gate)
         np.clip(total, -11.0, 11.0, out=total)
-        bucket = gate.astype(np.int32) * np.int32(STEPS) + np.rint((total + np.float32(11.0)) * np.float32((STEPS - 1) / 22.0)).astype(np.int32)
+        bucket = np.rint((total + np.float32(11.0)) * np.float32((STEPS - 1) / 22.0)).astype(np.int64)
+        bucket += gate * STEPS
         return inputs, gate, total, bucket
 
     def learn(self, contexts, of, nodes, bits) -> None:
@@ -201,13 +217,16 @@ class Codec:
 
     def __init__(self, head: list[bytes], weights: list[int]):
         self.ids = {t: i for i, t in enumerate(head)}
+        self.head = pa.array(head, pa.binary())
         self.escape = len(head)
         self.code = huffman(weights)
         self.bytes = byte_code()
 
-    def ids_of(self, tokens: list[bytes]) -> np.ndarray:
-        get, escape = self.ids.get, self.escape
-        return np.array([get(t, escape) for t in tokens], dtype=np.int64)
+    def ids_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words of all texts, their ids with an end after each text, number of tokens of each text)."""
+        words, lengths = token_array(texts)
+        ids = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.head), self.escape)).astype(np.int64)
+        return words, np.insert(ids, np.cumsum(lengths), self.ids[END]), lengths + 1
 
     def blocks(self, ids: np.ndarray, step: int = CHUNK // 8):
         """(part, contexts, of, nodes, bits) of token ids, a bounded number of bits at a time."""
@@ -230,12 +249,6 @@ class Codec:
             at = end
 
 
-def joined_ids(codec: Codec, texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray]:
-    """Tokens of each text, and the ids of all texts in a row (each text ends with its end token)."""
-    tokens = [tokens_of(t) for t in texts]
-    return tokens, codec.ids_of([t for row in tokens for t in row])
-
-
 COUNT_ROWS = "kind string, part int, block int, counts binary"
 
 
@@ -271,19 +284,12 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, n) over all texts."""
 
     def run(batches):
-        pending: Counter = Counter()
-
-        def rows():
-            out = arrow_rows(list(pending.items()), ["token", "n"], [pa.binary(), pa.int64()])
-            pending.clear()
-            return out
-
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                pending.update(tokens_of(text))
-                if len(pending) > DISTINCT_AT_ONCE:
-                    yield rows()
-        yield rows()
+            for start in range(0, batch.num_rows, COUNTED_AT_ONCE):
+                texts = batch.column("text").slice(start, COUNTED_AT_ONCE)
+                counted = token_array(texts)[0].value_counts()
+                tokens, n = counted.field("values"), counted.field("counts")
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([tokens, pa.array([END], pa.binary())]), pa.concat_arrays([n, pa.array([len(texts)], pa.int64())])], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -330,9 +336,8 @@ def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
     def count_codes(batches):
         tables = Tables(3, SLOT_BITS)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 256):
-                _, ids = joined_ids(coder.value, texts[a : a + 256])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                ids = coder.value.ids_of(batch.column("text").slice(start, ROWS_AT_ONCE))[1]
                 for _, contexts, of, nodes, bits in coder.value.blocks(ids):
                     tables.add(contexts, of, nodes, bits)
         for row in tables.rows("code"):
@@ -340,9 +345,8 @@ def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
 
     def gate_codes(batches):
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 256):
-                _, ids = joined_ids(coder.value, texts[a : a + 256])
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                ids = coder.value.ids_of(batch.column("text").slice(start, ROWS_AT_ONCE))[1]
                 for _, *block in coder.value.blocks(ids, LEARNED_AT_ONCE):
                     yield block
 
@@ -401,28 +405,26 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def use(batch: pa.RecordBatch):
         codec, code, _, known, _, seen = shared.value
-        texts = batch.column("text").to_pylist()
-        tokens, ids = joined_ids(codec, texts)
+        words, ids, lengths = codec.ids_of(batch.column("text"))
         costs = np.empty(len(ids))
         for part, contexts, of, nodes, bits in codec.blocks(ids):
             sizes = codec.code[1][ids[part]]
             costs[part] = code.costs(contexts, of, nodes, bits, np.cumsum(sizes) - sizes)
-        lengths = np.array([len(t) for t in tokens])
         starts = np.cumsum(lengths) - lengths
         k1, k2 = batch.column("k1").to_numpy(zero_copy_only=False), batch.column("k2").to_numpy(zero_copy_only=False)
         # a token that no text holds, another one for every text, stands for the rest of the text
         marks = [b" " + k.to_bytes(8, "big", signed=True) for k in k1.tolist()]
         sums = [
             lengths, np.add.reduceat(seen[ids].astype(np.int64), starts), np.add.reduceat(known[ids], starts), np.add.reduceat(costs, starts),
-            np.array([len(t.encode("utf-8", "replace")) for t in texts], dtype=np.int64),
+            np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64),
         ]
         texts_part = pa.StructArray.from_arrays([pa.array(x) for x in sums], fields=list(whole))
         yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(marks, pa.binary()), texts_part], ["k1", "k2", "token", "whole"])
         rare = np.flatnonzero(ids == codec.escape)
-        flat = [t for row in tokens for t in row]
         of_text = np.searchsorted(starts, rare, side="right") - 1
+        tokens = words.take(pa.array(rare - of_text))  # each earlier text has one end more than words
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1[of_text]), pa.array(k2[of_text]), pa.array([flat[i] for i in rare.tolist()], pa.binary()), pa.nulls(len(rare), whole)],
+            [pa.array(k1[of_text]), pa.array(k2[of_text]), tokens, pa.nulls(len(rare), whole)],
             ["k1", "k2", "token", "whole"],
         )
 
