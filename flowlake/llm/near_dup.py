@@ -7,12 +7,13 @@ sequence is one sketch. Two texts share a sketch when they agree on those k-mers
 order, which follows edit similarity rather than mere overlap: with similarity 0.8 at least one of
 24 sketches of 5 agrees with probability above 0.9999.
 
-Equal word sequences are one text from the start. Texts of one sketch are not paired with each
+Equal word sequences are one text from the start. Texts of one sketch are not all paired with each
 other: the best connected one (the sum of its sketches' group sizes) leads, and the others are
-compared with it. Where members of a sketch are then still in several classes, the best connected
-of each of ``PARTS`` hashed parts leads once more, against members of other classes. So a group of
-g copies costs g comparisons, and a link between two classes is lost only if none of their common
-leaders shows it (README has the measured share).
+compared with it. Texts of sketches whose members are then still in several classes stay open, and
+open texts are joined exactly: two texts that reach the threshold share one of the few k-mers of
+each that are rarest among the open texts (as many as the threshold lets a text lose, and one
+more), so only texts of different classes that share such a k-mer are compared.
+
 A comparison aligns the k-mers of both texts within
 the band of diagonals that the threshold allows (longest chain of common labelled k-mers, increasing
 in both texts) and divides the aligned k-mers by all. Links of at least ``threshold`` are joined
@@ -40,7 +41,7 @@ K = 5
 ELL = 5
 SKETCHES = 24
 THRESHOLD = 0.8
-PARTS = 8
+PRINT = 16  # 64-bit numbers of a parity print
 ONE = np.uint64(0x9E3779B97F4A7C15)
 TWO = np.uint64(0xBF58476D1CE4E5B9)
 THREE = np.uint64(0x94D049BB133111EB)
@@ -187,26 +188,100 @@ def led_pairs(members: DataFrame, leaders: DataFrame) -> DataFrame:
     return led.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
 
 
-def leaders_of(members: DataFrame, parts: int) -> DataFrame:
-    """Of each sketch the best connected member; with ``parts``, that of each of so many hashed parts."""
-    best = members.groupBy("sketch", F.pmod(F.xxhash64("key"), F.lit(parts)).alias("_part")).agg(F.max(F.struct("degree", "key", "root")).alias("m"))
+def leaders_of(members: DataFrame) -> DataFrame:
+    """Of each sketch the best connected member."""
+    best = members.groupBy("sketch").agg(F.max(F.struct("degree", "key", "root")).alias("m"))
     return best.select("sketch", F.col("m.key").alias("leader"), F.col("m.root").alias("leader_root"))
 
 
-def linked_classes(docs: DataFrame, groups: DataFrame, threshold: float = THRESHOLD, parts: int = PARTS) -> DataFrame:
+def tokens_of(bodies: DataFrame) -> DataFrame:
+    """(key, n, token): the different k-mers of every text; ``n`` counts all of its k-mers."""
+
+    def use(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [np.frombuffer(x, dtype=np.uint32) for x in batch.column("kmers").to_pylist()]
+        unique = [np.unique(x) for x in made]
+        sizes = np.array([len(x) for x in unique], dtype=np.int64)
+        keys = batch.column("key").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        n = np.repeat(np.array([len(x) for x in made], dtype=np.int32), sizes)
+        tokens = np.concatenate([np.zeros(0, dtype=np.uint32), *unique]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array(tokens)], ["key", "n", "token"])
+
+    return map_batches(bodies.select("key", "kmers"), use, "key binary, n int, token bigint")
+
+
+def rare_tokens(bodies: DataFrame, threshold: float) -> DataFrame:
+    """(key, n, token): of every text its rarest k-mers, of which any text that reaches the threshold has one.
+
+    A partner has ``threshold * n`` k-mers in common at least. In one order of all k-mers, here by
+    frequency, all but the last ``ceil(threshold * n) - 1`` of both texts therefore meet. K-mers of
+    a single text stand first in the order, but meet nobody and are left out.
+    """
+    tokens = tokens_of(bodies)
+    several = cut_lineage(tokens.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1"), "near-counts")
+    texts = tokens.join(several, "token").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("seen", "token"))).alias("ranked"))
+    first = F.size("ranked") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)).cast("int") + 1
+    kept = texts.withColumn("first", first).where("first > 0")
+    return kept.select("key", "n", F.explode(F.expr("slice(ranked, 1, first).token")).alias("token"))
+
+
+def parity(x: np.ndarray) -> np.ndarray:
+    """Bits that tell whether an odd number of k-mers falls on them.
+
+    A k-mer that only one of two texts has turns one bit, so their prints differ in at most as
+    many bits as there are such k-mers.
+    """
+    place = x.astype(np.uint64) * ONE >> np.uint64(64 - (64 * PRINT).bit_length() + 1)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=64 * PRINT) & 1).astype(np.uint8)).view(np.int64)
+
+
+def prints_of(bodies: DataFrame) -> DataFrame:
+    """(key, p0, p1, ...): the parity print of every text."""
+    names = [f"p{i}" for i in range(PRINT)]
+
+    def use(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = [parity(np.unique(np.frombuffer(x, dtype=np.uint32))) for x in batch.column("kmers").to_pylist()]
+        table = np.array(made, dtype=np.int64).reshape(-1, PRINT)
+        return pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(np.ascontiguousarray(c)) for c in table.T]], ["key", *names])
+
+    return map_batches(bodies.select("key", "kmers"), use, "key binary, " + ", ".join(f"{p} bigint" for p in names))
+
+
+def open_pairs(bodies: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b) pairs of texts of different classes that can reach the threshold.
+
+    The largest class of a k-mer is only compared with the others, so a class of many copies does
+    not meet itself. Sizes and parity prints tell most pairs out of reach within the join.
+    """
+    rare = rare_tokens(bodies, threshold).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rare = cut_lineage(rare, "near-rare")
+    sizes = rare.groupBy("token", "root").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("token").agg(F.max(F.struct("size", "root"))["root"].alias("largest"), F.count("*").alias("classes"))
+    marked = rare.join(largest.where("classes > 1").drop("classes"), "token").withColumn("large", F.col("root") == F.col("largest")).drop("largest")
+    marked = cut_lineage(marked.join(prints_of(bodies), "key"), "near-marked")
+    x, y = (marked.select("token", *[F.col(c).alias(f"{side}_{c}") for c in marked.columns if c != "token"]) for side in "xy")
+    both = F.col("x_n") + F.col("y_n")
+    apart = sum((F.bit_count(F.col(f"x_p{i}").bitwiseXOR(F.col(f"y_p{i}"))) for i in range(PRINT)), F.lit(0))
+    # k-mers in common are threshold / (1 + threshold) of both sizes at least
+    fits = (F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * F.lit(threshold) - F.lit(1e-9)) & (apart <= both * F.lit(1 - 2 * threshold / (1 + threshold)) + F.lit(1e-9))
+    met = x.join(y.where("not y_large"), "token").where((F.col("x_root") != F.col("y_root")) & (F.col("x_large") | (F.col("x_key") < F.col("y_key"))) & fits)
+    return met.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
+
+
+def linked_classes(docs: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(key, root) of linked texts; ``groups`` has (sketch, key, row, degree) of shared sketches.
 
-    First one leader is compared with all of its sketch. Then, in sketches whose members are in
-    several classes, each of ``parts`` leaders is compared with the members of other classes.
+    First one leader is compared with all of its sketch. Then the texts of sketches whose members
+    are in several classes are joined exactly.
     """
     bodies = cut_lineage(bodies_of(docs, groups.select("row.*").distinct()), "near-bodies")
     alone = groups.select("sketch", "key", "degree", F.col("key").alias("root"))
-    found = cut_lineage(verified(led_pairs(alone, leaders_of(alone, 1)), bodies, threshold), "near-links")
+    found = cut_lineage(verified(led_pairs(alone, leaders_of(alone)), bodies, threshold), "near-links")
     roots = cut_lineage(components(found), "near-roots")
-    members = groups.select("sketch", "key", "degree").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    members = groups.select("sketch", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = members.groupBy("sketch").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("sketch")
-    open_ = cut_lineage(members.join(several, "sketch", "left_semi"), "near-open")
-    more = cut_lineage(verified(led_pairs(open_, leaders_of(open_, parts)), bodies, threshold), "near-links")
+    open_ = members.join(several, "sketch", "left_semi").select("key").distinct()
+    left = cut_lineage(bodies.join(open_, "key", "left_semi"), "near-open")
+    more = cut_lineage(verified(open_pairs(left, roots, threshold), left, threshold), "near-links")
     if more.isEmpty():
         return roots
     return components(found.unionByName(more))

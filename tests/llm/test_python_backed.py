@@ -294,6 +294,37 @@ def test_classes_equal_brute_force(spark):
     assert near_dup.classes(docs.limit(0)).count() == 0 and near_dup.keep_one(docs.limit(0)).count() == 0
 
 
+def near_body(words):
+    return near_dup.kmers(near_dup.word_hashes([w.encode() for w in words]))
+
+
+def test_pairs_in_groups_led_by_others(spark):
+    """Pairs whose only common sketches lie in a passage that all texts have."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(79)]
+    pairs = []
+    while len(pairs) < 15:
+        own = [f"{rng.random()}" for _ in range(25)]
+        two = [passage + own[:15] + [f"{rng.random()}" for _ in range(10)] for _ in range(2)]
+        x, y = map(near_body, two)
+        both = near_dup.sketches(x) == near_dup.sketches(y)
+        pure = near_dup.sketches(near_body(passage))
+        if both.any() and (near_dup.sketches(x)[both] == pure[both]).all() and near_dup.similarity(x, y) >= 0.8:
+            pairs.append(two)
+    rows = [(2 * i + j, " ".join(t)) for i, two in enumerate(pairs) for j, t in enumerate(two)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in near_dup.classes(docs).collect()} == {(d, d - d % 2) for d, _ in rows}
+
+
+def test_parity_prints_never_exceed_the_difference():
+    rng = np.random.default_rng(7)
+    for size in (3, 80, 900, 5000):
+        x = np.unique(rng.integers(0, 2**32, size, dtype=np.uint32))
+        y = np.unique(np.concatenate([x[size // 3 :], rng.integers(0, 2**32, size // 4, dtype=np.uint32)]))
+        turned = np.unpackbits((near_dup.parity(x) ^ near_dup.parity(y)).view(np.uint8)).sum()
+        assert 0 < turned <= len(np.setxor1d(x, y))
+
+
 def test_similarity_follows_order_and_threshold():
     words = near_dup.word_hashes([f"w{i}".encode() for i in range(200)])
     a = near_dup.kmers(words)
