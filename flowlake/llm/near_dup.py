@@ -5,7 +5,9 @@ k-mer), labelled with how often they occurred before, so repetitions count. Unde
 ``SKETCHES`` hash functions the ``ELL`` least k-mers are taken and put back into text order; their
 sequence is one sketch. Two texts share a sketch when they agree on those k-mers and on their
 order, which follows edit similarity rather than mere overlap: with similarity 0.8 at least one of
-24 sketches of 5 agrees with probability above 0.9999.
+24 sketches of 5 agrees with probability above 0.9999. That does not hold for short texts, whose
+sketch is most of the text; texts of up to ``SHORT`` k-mers are joined with all texts they can
+reach without sketches.
 
 Equal word sequences are one text from the start. Texts of one sketch are not all paired with each
 other: the best connected one (the sum of its sketches' group sizes) leads, and the others are
@@ -41,6 +43,7 @@ K = 5
 ELL = 5
 SKETCHES = 24
 THRESHOLD = 0.8
+SHORT = 40
 PRINT = 16  # 64-bit numbers of a parity print
 ONE = np.uint64(0x9E3779B97F4A7C15)
 TWO = np.uint64(0xBF58476D1CE4E5B9)
@@ -141,16 +144,17 @@ def first_row(doc_id: str = "doc_id", text: str = "_near_text") -> Column:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, _near_text, key, sketches) of every row; rows of equal words share a key."""
+    """(doc_id, _near_text, key, n, sketches) of every row; rows of equal words share a key, ``n`` counts k-mers."""
 
     def use(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [word_list(t) for t in texts_in(batch)]
         keys = pa.array([key_of(w) for w in words], pa.binary())
-        made = pa.array([sketches(kmers(word_hashes(w))) for w in words], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_near_text"), keys, made], ["doc_id", "_near_text", "key", "sketches"])
+        found = [kmers(word_hashes(w)) for w in words]
+        n, made = pa.array(map(len, found), pa.int32()), pa.array([sketches(x) for x in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_near_text"), keys, n, made], ["doc_id", "_near_text", "key", "n", "sketches"])
 
     kept = identified(docs.select("doc_id", "text")).drop("_near_id")
-    return map_batches(kept, use, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, _near_text string, key binary, sketches array<bigint>")
+    return map_batches(kept, use, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, _near_text string, key binary, n int, sketches array<bigint>")
 
 
 def bodies_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -267,19 +271,19 @@ def open_pairs(bodies: DataFrame, roots: DataFrame, threshold: float) -> DataFra
     return met.select(F.least("x_key", "y_key").alias("a"), F.greatest("x_key", "y_key").alias("b")).distinct()
 
 
-def linked_classes(docs: DataFrame, groups: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def linked_classes(docs: DataFrame, groups: DataFrame, short: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(key, root) of linked texts; ``groups`` has (sketch, key, row, degree) of shared sketches.
 
     First one leader is compared with all of its sketch. Then the texts of sketches whose members
-    are in several classes are joined exactly.
+    are in several classes and the ``short`` texts (key, row) are joined exactly.
     """
-    bodies = cut_lineage(bodies_of(docs, groups.select("row.*").distinct()), "near-bodies")
+    bodies = cut_lineage(bodies_of(docs, groups.select("row.*").unionByName(short.select("row.*")).distinct()), "near-bodies")
     alone = groups.select("sketch", "key", "degree", F.col("key").alias("root"))
     found = cut_lineage(verified(led_pairs(alone, leaders_of(alone)), bodies, threshold), "near-links")
     roots = cut_lineage(components(found), "near-roots")
     members = groups.select("sketch", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     several = members.groupBy("sketch").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low < _high").select("sketch")
-    open_ = members.join(several, "sketch", "left_semi").select("key").distinct()
+    open_ = members.join(several, "sketch", "left_semi").select("key").unionByName(short.select("key")).distinct()
     left = cut_lineage(bodies.join(open_, "key", "left_semi"), "near-open")
     more = cut_lineage(verified(open_pairs(left, roots, threshold), left, threshold), "near-links")
     if more.isEmpty():
@@ -315,13 +319,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ``copy_of`` is the least doc_id with the same words, ``class_id`` the least of the class.
     """
     sketched = cut_lineage(sketch(docs), "sketches")
-    texts = sketched.groupBy("key").agg(first_row().alias("row"), F.first("sketches").alias("sketches"))
+    texts = sketched.groupBy("key").agg(first_row().alias("row"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     each = texts.select("key", "row", F.explode("sketches").alias("sketch"))
     sizes = each.groupBy("sketch").agg(F.count("*").alias("size")).where("size > 1")
     shared = each.join(sizes, "sketch")
     degree = shared.groupBy("key").agg(F.sum("size").alias("degree"))
     groups = cut_lineage(shared.join(degree, "key").select("sketch", "key", "row", "degree"), "near-groups")
-    roots = linked_classes(docs, groups, threshold)
+    # partners of texts up to SHORT included; a text of a single k-mer has only equal partners
+    short = texts.where((F.col("n") > 1) & (F.col("n") <= F.lit(SHORT / threshold))).select("key", "row")
+    roots = linked_classes(docs, groups, short, threshold)
     named = texts.select("key", "row").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = named.groupBy("root").agg(F.min("row").alias("class_row"))
     members = named.join(least, "root").select("key", F.col("row.doc_id").alias("copy_of"), F.col("class_row.doc_id").alias("class_id"), "class_row")

@@ -316,6 +316,21 @@ def test_pairs_in_groups_led_by_others(spark):
     assert {(r["doc_id"], r["class_id"]) for r in near_dup.classes(docs).collect()} == {(d, d - d % 2) for d, _ in rows}
 
 
+def test_short_texts_equal_brute_force(spark):
+    """Texts of 5 to 20 words, each beside one with a word more or less at an end."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(160):
+        words = [f"{i}w{rng.randint(0, 400)}" for _ in range(5 + i % 16)]
+        texts += [words, words[1:] if i % 3 == 0 else [*words, f"end{i}"] if i % 3 == 1 else [f"start{i}", *words]]
+    bodies = [near_body(t) for t in texts]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = {(i, i - i % 2 if near_dup.similarity(bodies[i - i % 2], bodies[i - i % 2 + 1]) >= 0.8 else i) for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {(r["doc_id"], r["class_id"]) for r in near_dup.classes(docs).collect()} == want
+    assert 160 < len({c for _, c in want}) < 240  # some reach the threshold, some do not
+
+
 def test_parity_prints_never_exceed_the_difference():
     rng = np.random.default_rng(7)
     for size in (3, 80, 900, 5000):
