@@ -31,14 +31,23 @@ class Rule:
     fold: bool = False  # ASCII letters of keywords match in either case
     value_at_least: int = 0  # length of what follows the separator
     base: bool = False
+    tail: str = ""  # may follow the pattern and then belongs to the match
 
 
+#: What follows the first line of a key: anything up to its last line, or, where that is missing, the
+#: lines of base64. Lines may also be parted by blanks or by a written-out line break.
+KEY_BODY = (
+    r"""(([\x00-\x2C\x2E-\xFF]|-[\x00-\x2C\x2E-\xFF])*-----END\x20[A-Z\x20]*PRIVATE\x20KEY-----"""
+    r"""|([\x20\x09\x0D\x0A]*(Proc-Type|DEK-Info):[\x20-\xFF]*[\x0D\x0A]+)*"""
+    r"""(([\x20\x09\x0D\x0A]|\\n|\\r)*[A-Za-z0-9+/=]{16,})+(([\x20\x09]*(\x0D|\x0A|\\n|\\r))+[A-Za-z0-9+/=]+)?)?"""
+)
+
 #: Kinds in the order in which they are listed; the first three are the base rules.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", True, 12, True),
     Rule("access", r"AKIA[A-Z0-9]{14,}", base=True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("key_block", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("key_block", r"-----BEGIN\x20[A-Z\x20]*PRIVATE\x20KEY-----", tail=KEY_BODY),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
@@ -258,7 +267,8 @@ class Scanner:
         trees = [parse(r.pattern, r.fold) for r in rules]
         self.rules = rules
         self.marks = Automaton([relaxed(t) for t in trees], backwards=True, restart=True)
-        self.ends = [Automaton([t], backwards=False, restart=False) for t in trees]
+        # a tail may be empty, so it moves ends, never starts
+        self.ends = [Automaton([parse(r.pattern + r.tail, r.fold)], backwards=False, restart=False) for r in rules]
 
     def starts(self, data: bytes) -> list[tuple[int, int]]:
         """(position, rules as bits) of every byte where a match begins, from the last to the first."""
