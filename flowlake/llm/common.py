@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
@@ -63,5 +65,22 @@ def texts_in(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def broadcast_value(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)
+class Shared:
+    """A broadcast value of any class, for workers that need not have this package.
+
+    The value travels pickled by value, and is unpickled once per worker process.
+    """
+
+    def __init__(self, spark: SparkSession, value):
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        kept = self.sent.__dict__
+        if "_unpickled" not in kept:
+            kept["_unpickled"] = pickle.loads(self.sent.value)
+        return kept["_unpickled"]
+
+
+def broadcast_value(spark: SparkSession, value) -> Shared:
+    return Shared(spark, value)

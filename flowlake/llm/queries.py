@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import decontaminate, langid, line_rules, lm, near_dup, pieces, secrets, shards, toxicity, url_filter
+from flowlake.llm import centroids, decontaminate, langid, line_rules, lm, near_dup, pieces, secrets, shards, topk, toxicity, url_filter
 from flowlake.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +160,43 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pieces")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces_of(spark, table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+OP12_ROUND = """
+a{i} AS (SELECT vec_id, v, arg_min(k, [d, k]) AS k, min(d) AS d FROM (
+  SELECT vec_id, v, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM kept, c{i}) GROUP BY ALL),
+s{i} AS (SELECT k, p, sum(v[p])::BIGINT AS s, count(*) AS n FROM (SELECT k, v, unnest(range(1, 65)) AS p FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY p) AS c FROM s{i} GROUP BY k),
+c{j} AS (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k)),"""
+
+OP12_SQL = (
+    """
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v AS c FROM kept QUALIFY k < 16),"""
+    + "".join(OP12_ROUND.replace("GROUP BY ALL),\ns", "GROUP BY vec_id, v),\ns").format(i=i, j=i + 1) for i in range(4))
+    + """
+t AS (SELECT a3.vec_id, a3.k, a3.d, c3.c FROM a3 JOIN c3 USING (k))
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM t"""
+)
+
+
+@query("op12_centroids", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, centres = centroids.cluster(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+    return centroids.with_inertia(rows, centres)
+
+
+OP13_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, e.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM e AS q, e WHERE q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op13_exact_topk", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), F.col("vec_id") % 50 == 0)
