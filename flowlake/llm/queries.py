@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlake.llm import centroids, decontaminate, langid, line_rules, lm, near_dup, pieces, secrets, shards, topk, toxicity, url_filter
+from flowlake.llm import centroids, crosstok, decontaminate, langid, line_rules, lm, near_dup, pieces, secrets, shards, topk, toxicity, url_filter
 from flowlake.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,3 +200,11 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 @query("op13_exact_topk", OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), F.col("vec_id") % 50 == 0)
+
+
+@query("op11_crosstok")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = crosstok.align(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    sums = crosstok.link_sums(aligned, crosstok.link_counts(aligned))
+    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups"), 256)).alias("groups_sha256")
+    return sums.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
