@@ -42,8 +42,8 @@ A_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 B_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = 1 << 15
 FAN_IN = 16
-KEPT = 64  # longest piece of text that is remembered
-MOST_KEPT = 300_000  # pieces remembered by a task
+MOST_KEPT = 1_000_000  # pieces remembered by a task
+KEPT = 8  # ids of a piece on average, at most
 PAIR_BITS = 31  # of the B id in a pair
 HEAD_PAIRS = 1 << 19
 MARK = "▁"
@@ -148,6 +148,10 @@ def groups_text(a_ids, a_last, b_ids, b_last) -> str:
     return "".join(out.tolist())[:-1]
 
 
+def bare(piece: str) -> bool:
+    return piece != "" and not piece[0].isspace() and not piece[-1].isspace()
+
+
 class Both:
     """Both tokenizers over pieces of text, and the ids and token sizes of pieces seen before."""
 
@@ -168,38 +172,81 @@ class Both:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.known: dict[str, tuple] = {}
+        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.same = np.zeros(0, bool)
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]  # of A and of B, piece after piece
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
     def pieces(self, text: str) -> list[str]:
-        return CUT.split(text) if self.cuts else [text]
-
-    def learn(self, pieces: set[str]) -> dict[str, tuple]:
-        """(A ids, A sizes, B ids, B sizes, bytes agree) of pieces, each taken with a space before it."""
-        new = list(pieces)
-        out = {}
-        a_found = self.a.encode_batch([" " + p for p in new], add_special_tokens=False) if new else []
-        for p, a, b in zip(new, a_found, self.b.encode(new, num_threads=1) if new else [], strict=True):
-            a_parts, b_parts = [self.a_bytes[i] for i in a.ids], [self.b_bytes[i] for i in b]
-            want = (" " + p).encode("utf-8", "surrogatepass")
-            out[p] = (
-                np.array(a.ids, np.int32), np.array(list(map(len, a_parts)), np.int32),
-                np.array(b, np.int32), np.array(list(map(len, b_parts)), np.int32),
-                b"".join(a_parts) == want and b"".join(b_parts) == want,
-            )
-        return out
+        """Keys of a text's pieces: the piece, or a space and the piece where white space stands at its ends."""
+        if not self.cuts:
+            return [" " + text]
+        pieces = text.split(" ")
+        if all(map(bare, [p for p in pieces if p not in self.known])):
+            return pieces
+        return [p if bare(p) else " " + p for p in CUT.split(text)]
+
+    def a_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(A's ids of all pieces, number of ids of each), each piece taken with a space before it.
+
+        Pieces without white space at their ends are encoded many at a time, as no token crosses from one to the next.
+        """
+        plain = [k for k in keys if k[0] != " "]
+        joined = ["".join([" " + k for k in plain[i : i + 100]]) for i in range(0, len(plain), 100)]
+        ids = np.concatenate([np.zeros(0, np.int32), *[np.array(e.ids, np.int32) for e in self.a.encode_batch_fast(joined, add_special_tokens=False)]])
+        ends = np.cumsum(self.a_sizes[ids])
+        borders = np.cumsum([1 + len(k.encode("utf-8", "surrogatepass")) for k in plain])
+        at = np.searchsorted(ends, borders) + 1
+        if len(plain) and (at[-1] != len(ends) or not (ends[at - 1] == borders).all()):
+            raise ValueError("a token of A crosses a cut")
+        others = [e.ids for e in self.a.encode_batch_fast([k for k in keys if k[0] == " "], add_special_tokens=False)]
+        counts = np.concatenate([np.diff(at, prepend=0), [len(x) for x in others]]).astype(np.int64)
+        return np.concatenate([ids, *[np.array(x, np.int32) for x in others]]), counts
+
+    def learn(self, keys: list[str]) -> None:
+        """Remembers the ids of both, and whether both give back the bytes, of pieces taken with a space before them."""
+        keys = sorted(keys, key=lambda k: k[0] == " ")
+        pieces = [k[1:] if k[0] == " " else k for k in keys]
+        found = self.b.encode(pieces, num_threads=1)
+        sides = self.a_of(keys), (np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64))
+        want = [(" " + p).encode("utf-8", "surrogatepass") for p in pieces]
+        same = np.ones(len(pieces), bool)
+        for side, ((ids, counts), texts) in enumerate(zip(sides, (self.a_bytes, self.b_bytes), strict=True)):
+            parts, ends = [texts[i] for i in ids.tolist()], np.cumsum(counts)
+            spelled = [b"".join(parts[i:j]) for i, j in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
+            same &= np.array([x == w for x, w in zip(spelled, want, strict=True)], bool)
+            self.ids[side] = np.concatenate([self.ids[side], ids])
+            self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + ends])
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
+        self.same = np.concatenate([self.same, same])
 
     def tokens(self, texts: list[str]) -> Iterator[tuple]:
         """(A ids, A ends, B ids, B ends, bytes agree) of every text, taken with a space before it."""
+        if len(self.known) > MOST_KEPT or len(self.ids[0]) > MOST_KEPT * KEPT:
+            self.forget()
         cut = [self.pieces(t) for t in texts]
-        if len(self.known) > MOST_KEPT:
-            self.known = {}
-        fresh = self.learn({p for pieces in cut for p in pieces if p not in self.known})
-        self.known.update((p, t) for p, t in fresh.items() if len(p) <= KEPT)
-        long = {p: t for p, t in fresh.items() if len(p) > KEPT}
-        for pieces in cut:
-            found = [self.known.get(p) or long[p] for p in pieces]
-            a, a_sizes, b, b_sizes = (np.concatenate([f[i] for f in found]) for i in range(4))
-            yield a, np.cumsum(a_sizes, dtype=np.int64), b, np.cumsum(b_sizes, dtype=np.int64), all(f[4] for f in found)
+        fresh = list(dict.fromkeys([p for pieces in cut for p in pieces if p not in self.known]))
+        if fresh:
+            self.learn(fresh)
+        known, lengths = self.known, np.array([len(pieces) for pieces in cut])
+        at = np.array([known[p] for pieces in cut for p in pieces], np.int64)
+        same = np.logical_and.reduceat(self.same[at], np.cumsum(lengths) - lengths) if len(cut) else []
+        sides = []
+        for ids, ends, sizes in zip(self.ids, self.ends, (self.a_sizes, self.b_sizes), strict=True):
+            counts = ends[at + 1] - ends[at]
+            after = np.cumsum(counts)
+            taken = ids[np.arange(after[-1] if len(after) else 0) + np.repeat(ends[at] - (after - counts), counts)]
+            borders = np.append(0, after)[np.append(0, np.cumsum(lengths))]
+            sides.append((taken, np.append(0, np.cumsum(sizes[taken])), borders))
+        (a, a_at, a_of), (b, b_at, b_of) = sides
+        for i in range(len(cut)):
+            x, y = slice(a_of[i], a_of[i + 1]), slice(b_of[i], b_of[i + 1])
+            yield a[x], a_at[1:][x] - a_at[a_of[i]], b[y], b_at[1:][y] - b_at[b_of[i]], bool(same[i])
 
 
 def segments_of(text: str, size: int) -> list[tuple[int, str]]:
@@ -342,8 +389,14 @@ def align(docs: DataFrame, size: int = SEGMENT, fan_in: int = FAN_IN, a_model: s
 
 def link_counts(aligned: DataFrame) -> DataFrame:
     """(pair, a_id, b_id, n, best): how many links of all texts hold a pair; whether no pair of its B id has more."""
-    each = aligned.select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("p.pairs", "p.times")
-    counts = each.groupBy(F.col("pairs").alias("pair")).agg(F.sum("times").alias("n"))
+
+    def add(batches):
+        for batch in batches:
+            pairs, at = np.unique(batch.column("pairs").flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            times = np.bincount(at, batch.column("times").flatten().to_numpy(zero_copy_only=False), len(pairs)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(times)], ["pair", "n"])
+
+    counts = aligned.select("pairs", "times").mapInArrow(add, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     counts = counts.withColumn("a_id", F.shiftright("pair", PAIR_BITS).cast("int")).withColumn("b_id", F.col("pair").bitwiseAND(2**PAIR_BITS - 1).cast("int"))
     most = counts.groupBy("b_id").agg(F.max("n").alias("most"))
     return counts.join(most, "b_id").select("pair", "a_id", "b_id", "n", (F.col("n") == F.col("most")).alias("best"))
