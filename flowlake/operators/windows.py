@@ -40,13 +40,18 @@ def _flow_groups(packets: DataFrame, seconds: int) -> DataFrame:
     )
 
 
-def _roll_up(flows: DataFrame, seconds: int) -> DataFrame:
+def roll_up(flows: DataFrame, seconds: int) -> DataFrame:
+    """Window totals of flow entries (w, src, dst, packet_count, byte_count)."""
     known = F.col("src").isNotNull() & F.col("dst").isNotNull()
     totals = flows.groupBy("w").agg(
         F.sum("packet_count").alias("packet_count"),
         F.sum("byte_count").alias("byte_count"),
         F.count_if(known).alias("unique_flows"),
     )
+    return with_rates(totals, seconds)
+
+
+def with_rates(totals: DataFrame, seconds: int) -> DataFrame:
     return totals.select(
         F.col("w.start").alias("window_start"),
         F.col("w.end").alias("window_end"),
@@ -64,7 +69,7 @@ def window_stats(packets: DataFrame, seconds: int = 5) -> DataFrame:
 
     Packets without a valid address pair count as traffic but form no flow.
     """
-    return _roll_up(_flow_groups(packets, seconds), seconds)
+    return roll_up(_flow_groups(packets, seconds), seconds)
 
 
 def flow_stats(packets: DataFrame, salt: str | bytes, seconds: int = 5) -> DataFrame:
@@ -110,7 +115,7 @@ def flow_rows(packets: DataFrame, salt: str | bytes, seconds: int = 5) -> DataFr
     joined back on the window, a table that grows with time, not with traffic.
     """
     flows = _flow_groups(packets, seconds)
-    totals = _roll_up(flows, seconds)
+    totals = roll_up(flows, seconds)
     here = F.struct(F.col("src").alias("ip"), F.col("src_port").alias("port"))
     there = F.struct(F.col("dst").alias("ip"), F.col("dst_port").alias("port"))
     # Flows without addresses are dropped after grouping: a filter here would be

@@ -348,13 +348,10 @@ def _packet_stream(spark, sf):
     return fx.packets_from(fx.stream_table(spark, sf, "events"))
 
 
-@register(
-    "t1_stream_window_stats",
-    fx.with_views("v_packets", body=f"SELECT * FROM ({_G1}) WHERE window_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM v_packets)"),
-)
+@register("t1_stream_window_stats", fx.with_views("v_packets", body=_G1))
 def t1(spark, sf):
-    """Windows that the watermark (ten minutes behind the newest packet) has closed."""
-    return run.drain(stream_windows.window_stats(_packet_stream(spark, sf), 300), "t1")
+    """All windows of the drained stream, the open ones completed at its stop."""
+    return stream_windows.drain_window_stats(_packet_stream(spark, sf), 300)
 
 
 @register("t2_stream_ip_history", fx.with_views("v_scores", body="") + HISTORY_SQL + f""" SELECT packet_id, src_ip, round(mean_score, 10) AS mean_score,

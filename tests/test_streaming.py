@@ -1,5 +1,8 @@
 """Stream results equal batch results, across several micro-batches."""
 
+import glob
+import os
+import shutil
 import time
 
 import pytest
@@ -40,6 +43,34 @@ def test_window_stats_closed_windows(spark, parts):
     assert _rows(got, *want.columns) == _rows(closed, *want.columns)
 
 
+def test_window_stats_include_open_windows(spark, parts):
+    got = stream_windows.drain_window_stats(_stream(spark, parts), 300)
+    want = windows.window_stats(parts[1], 300)
+    assert _rows(got, *want.columns) == _rows(want, *want.columns)
+
+
+def test_window_stats_go_on_after_a_stop(spark, parts, tmp_path):
+    """Two stops: windows open at the first one grow and close later, none is there twice."""
+    files = sorted(glob.glob(f"{parts[0]}/*.parquet"), key=os.path.getmtime)
+    source, folder = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    for stop in (files[:2], files[2:]):
+        for f in stop:
+            shutil.copy(f, source)
+            time.sleep(1.1)
+        stream = spark.readStream.schema(parts[1].schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+        got = stream_windows.drain_window_stats(stream, 7200, folder=folder)
+        want = windows.window_stats(spark.read.parquet(str(source)), 7200)
+        assert _rows(got, *want.columns) == _rows(want, *want.columns)
+    again = stream_windows.drain_window_stats(stream, 7200, folder=folder)  # nothing new came
+    assert _rows(again, *want.columns) == _rows(want, *want.columns)
+
+
+def test_window_stats_of_an_empty_stream(spark, parts, tmp_path):
+    stream = spark.readStream.schema(parts[1].schema).parquet(str(tmp_path))
+    assert stream_windows.drain_window_stats(stream, 300).count() == 0
+
+
 def test_protocol_counts(spark, parts):
     got = run.drain(stream_windows.protocol_counts(_stream(spark, parts), 3600), "t")
     want = {r["window_start"]: r["protocol_counts"] for r in windows.protocol_counts(parts[1], 3600).collect()}
