@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,27 +45,34 @@ def health_rates(
     ).drop("_dt", "_captured", "_processed", "_dropped", POSITION)
 
 
+def _messages(limits: dict) -> dict[str, Callable[[Column], Column]]:
+    """Text of an alert of each type about the measured value. The wording."""
+    return {
+        "high_drop_rate": lambda v: F.concat(F.lit("Drop rate "), fixed(v, 1), F.lit(f"% exceeds threshold {limits['drop']}%")),
+        "queue_overflow": lambda v: F.concat(F.lit("Flow queue size "), v.cast("long").cast("string"), F.lit(f" exceeds threshold {limits['queue']}")),
+        "interface_unavailable": lambda v: F.lit("Capture interface is not available"),
+        "high_cpu": lambda v: F.concat(F.lit("CPU usage "), fixed(v, 1), F.lit("% is very high")),
+        "high_memory": lambda v: F.concat(F.lit("Memory usage "), fixed(v, 0), F.lit("MB is high")),
+        "high_disk_usage": lambda v: F.concat(F.lit("Disk usage "), fixed(v, 1), F.lit("% is critically high")),
+    }
+
+
+def alert_message(kind: Column, value: Column, limits: dict = LIMITS) -> Column:
+    return F.coalesce(*[F.when(kind == name, text(value)) for name, text in _messages(limits).items()])
+
+
 def _rules(limits: dict) -> list[tuple[str, Column, Column, Column]]:
     """Alert type, firing condition, severity and message of the six rules."""
     drop, queue = F.col("drop_rate_percent"), F.col("flows_in_queue")
     cpu, memory, disk = F.col("cpu_usage_percent"), F.col("memory_usage_mb"), F.col("disk_usage_percent")
+    warning, critical, text = F.lit("warning"), F.lit("critical"), _messages(limits)
     return [
-        (
-            "high_drop_rate",
-            drop > limits["drop"],
-            F.when(drop > limits["drop"] * 2, "critical").otherwise("warning"),
-            F.concat(F.lit("Drop rate "), fixed(drop, 1), F.lit(f"% exceeds threshold {limits['drop']}%")),
-        ),
-        (
-            "queue_overflow",
-            queue > limits["queue"],
-            F.lit("warning"),
-            F.concat(F.lit("Flow queue size "), queue.cast("string"), F.lit(f" exceeds threshold {limits['queue']}")),
-        ),
-        ("interface_unavailable", ~F.col("interface_available"), F.lit("critical"), F.lit("Capture interface is not available")),
-        ("high_cpu", cpu > limits["cpu"], F.lit("warning"), F.concat(F.lit("CPU usage "), fixed(cpu, 1), F.lit("% is very high"))),
-        ("high_memory", memory > limits["memory"], F.lit("warning"), F.concat(F.lit("Memory usage "), fixed(memory, 0), F.lit("MB is high"))),
-        ("high_disk_usage", disk > limits["disk"], F.lit("critical"), F.concat(F.lit("Disk usage "), fixed(disk, 1), F.lit("% is critically high"))),
+        ("high_drop_rate", drop > limits["drop"], F.when(drop > limits["drop"] * 2, critical).otherwise(warning), text["high_drop_rate"](drop)),
+        ("queue_overflow", queue > limits["queue"], warning, text["queue_overflow"](queue)),
+        ("interface_unavailable", ~F.col("interface_available"), critical, text["interface_unavailable"](drop)),
+        ("high_cpu", cpu > limits["cpu"], warning, text["high_cpu"](cpu)),
+        ("high_memory", memory > limits["memory"], warning, text["high_memory"](memory)),
+        ("high_disk_usage", disk > limits["disk"], critical, text["high_disk_usage"](disk)),
     ]
 
 

@@ -9,6 +9,7 @@ from flowlake.operators.sequence import POSITION, ordered
 from flowlake.plans import fixtures as fx
 from flowlake.plans.q_clean import DECISIONS_SQL, sql_hmac
 from flowlake.plans.registry import register
+from flowlake.session import scratch_path
 from flowlake.streaming import run, stateful
 from flowlake.streaming import windows as stream_windows
 
@@ -414,16 +415,36 @@ def t6(spark, sf):
     return run.drain(stream_windows.first_block_only(decisions), "t6").select("src_ip", "app_id", "policy_tier", "action")
 
 
+def _alert_stream(spark, sf):
+    """(rows of the drained alert stream over the raw snapshots, its folder)."""
+    folder = scratch_path(spark, "alerts")
+    fx.v_health(spark, sf).write.parquet(f"{folder}/snapshots")
+    snapshots = spark.readStream.schema(fx.v_health(spark, sf).schema).parquet(f"{folder}/snapshots")
+    return run.drain(stateful.alert_stream(snapshots, LIMITS, 30 * 3600.0), "t7", folder=folder), folder
+
+
 @register("t7_alert_stream", _cooldown_sql(30))
 def t7(spark, sf):
-    """The snapshot stream is the written health table; rates need its neighbours, so they come with it."""
-    from flowlake.session import scratch_path
-
-    path = scratch_path(spark, "snapshots")
-    _rated(spark, sf).write.parquet(path)
-    snapshots = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    alerts = health.threshold_alerts(snapshots, LIMITS)
-    return run.drain(stateful.alert_cooldown(alerts, cooldown=30 * 3600.0), "t7").drop("message")
+    rows, _ = _alert_stream(spark, sf)
+    return rows.where("kind = 'alert'").select("sensor", "alert_type", "ts", "severity")
+
+
+@register(
+    "t7_stream_rates",
+    fx.with_views("v_health", body="") + RATED_SQL + " SELECT sensor, ts, capture_rate_pps, processing_rate_pps, drop_rate_percent FROM rated",
+)
+def t7_rates(spark, sf):
+    rows, _ = _alert_stream(spark, sf)
+    return rows.where("kind = 'rate'").select("sensor", "ts", "capture_rate_pps", "processing_rate_pps", "drop_rate_percent")
+
+
+@register("t7_stream_resolution", fx.with_views("v_health", body="") + ALERTS_SQL + _CLEAR_SQL)
+def t7_resolution(spark, sf):
+    """Every alert: those cleared in the stream, and those open at its stop."""
+    rows, folder = _alert_stream(spark, sf)
+    done = rows.where("kind = 'resolved'").select("sensor", "alert_type", "ts", "severity", "resolved_at")
+    every = done.unionByName(stateful.open_alerts(spark, folder, LIMITS).drop("message"), allowMissingColumns=True)
+    return every.withColumn("resolved", F.col("resolved_at").isNotNull())
 
 
 @register(

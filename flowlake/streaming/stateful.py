@@ -11,15 +11,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from flowlake.operators.behaviour import FLOW_COUNT_CAP, HISTORY
-from flowlake.operators.health import COOLDOWN_SECONDS
+from flowlake.operators.health import CLEAR, COOLDOWN_SECONDS, LIMITS, alert_message
 from flowlake.operators.police import STATE as BUCKET_STATE
 from flowlake.operators.police import Bucket
+from flowlake.streaming import run
+
+COUNTERS = ("packets_captured", "packets_processed", "packets_dropped")
+GAUGES = ("flows_in_queue", "interface_available", "memory_usage_mb", "cpu_usage_percent", "disk_usage_percent")
+RATES = ("capture_rate_pps", "processing_rate_pps", "drop_rate_percent")
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _keyed(
@@ -59,6 +67,150 @@ def _long(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.LongType()) for n in names]
 
 
+class _PerSource(StatefulProcessor):
+    """Shared part of the processors: one batch's rows of a key in order, and forgetting idle keys.
+
+    ``clock`` holds the newest time of the key. A row that is older than it is late: it is taken after the
+    rows of earlier batches, as if it came at the clock's time. With ``idle_us`` a key is forgotten once the
+    watermark is that far past its clock.
+    """
+
+    order: tuple[str, ...] = ("_us", "packet_id")
+    idle_us: int | None = None
+    columns: list[str] = []
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        """Get the state variables."""
+
+    def update(self, key: tuple, rows: pd.DataFrame, now: np.ndarray, clock: int | None) -> pd.DataFrame:
+        """Output of a batch's rows; ``now`` are their times, late ones put forward."""
+
+    def forgotten(self, key: tuple) -> pd.DataFrame | None:
+        """Rows to put out before a key's state is dropped."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", T.StructType(_long("us")))
+        self.open(handle)
+
+    def handleInputRows(self, key, rows, timerValues):
+        # computed columns arrive without their names
+        pdf = pd.concat([f.set_axis(self.columns, axis=1) for f in rows], ignore_index=True).sort_values(list(self.order), kind="stable")
+        clock = int(self.clock.get()[0]) if self.clock.exists() else None
+        now = pdf["_us"].to_numpy(np.int64)
+        out = self.update(key, pdf, now if clock is None else np.maximum(now, clock), clock)
+        newest = int(now[-1]) if clock is None else max(clock, int(now[-1]))
+        if newest != clock:
+            self.clock.update((newest,))
+            if self.idle_us is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                ends = (newest + self.idle_us) // 1000 + 1
+                self.handle.registerTimer(max(ends, timerValues.getCurrentWatermarkInMs() + 1))
+        if len(out):
+            yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        out = self.forgotten(key)
+        for variable in (self.clock, *self.variables):
+            variable.clear()
+        if out is not None and len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(stream: DataFrame, keys: list[str], processor: _PerSource, output: T.StructType, idle_seconds: float | None) -> DataFrame:
+    """Rows of ``processor`` per key; state variables need the RocksDB store."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    processor.columns = stream.columns
+    processor.idle_us = None if idle_seconds is None else int(idle_seconds * 1_000_000)
+    mode = "None" if idle_seconds is None else "EventTime"
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", mode)
+
+
+def _kept(state, least: int) -> np.ndarray:
+    """The elements of a list state as rows of numbers."""
+    rows = [tuple(r) for r in state.get()]
+    return np.array(rows, dtype=np.float64).reshape(len(rows), least)
+
+
+def _keep(state, held: int, new: np.ndarray, most: int) -> None:
+    """Append the last ``most`` of ``new``; a list of over twice that length is cut, so an element is rewritten about once."""
+    rows = [tuple(float(x) for x in r) for r in new[-most:]]
+    if held + len(rows) > 2 * most:
+        rest = [tuple(r) for r in state.get()] if len(rows) < most else []
+        state.put([*rest, *rows][-most:])
+    elif rows:
+        state.appendList(rows)
+
+
+class _History(_PerSource):
+    def __init__(self, history, burst, slow, periodic_cv, names):
+        self.history, self.burst, self.slow, self.cv, self.names = history, burst, slow, periodic_cv, names
+
+    def open(self, handle):
+        self.recent = handle.getListState("recent", T.StructType([T.StructField("score", T.DoubleType()), T.StructField("gap", T.DoubleType())]))
+        self.count = handle.getValueState("flows", T.StructType(_long("n")))
+        self.variables = (self.recent, self.count)
+
+    def update(self, key, rows, now, clock):
+        gap = np.diff(now, prepend=now[0] if clock is None else clock)
+        first = 0  # rows before it belong to what was remembered of the source earlier
+        held, flows = _kept(self.recent, 2), int(self.count.get()[0]) if self.count.exists() else 0
+        fresh = gap > self.idle_us if self.idle_us is not None else np.zeros(len(gap), bool)
+        parts, borders = [], [*np.flatnonzero(fresh).tolist(), len(rows)]
+        for border in borders:
+            if first < border or border == len(rows):
+                parts.append(self.stretch(key, rows.iloc[first:border], gap[first:border], held, flows))
+                kept = np.column_stack([rows["_score"].to_numpy(np.float64)[first:border], gap[first:border]])
+            if border < len(rows):  # the source was idle: it starts anew
+                gap[border], held, flows = 0, np.zeros((0, 2)), 0
+                self.recent.clear()
+                first = border
+        _keep(self.recent, len(held), kept, self.history)
+        self.count.update((flows + len(kept),))
+        return pd.concat(parts)
+
+    def stretch(self, key, rows, gap, held, flows) -> pd.DataFrame:
+        """Rolling values by prefix sums and sliding windows over what is held and the new rows."""
+        n, value = len(rows), rows["_score"].to_numpy(np.float64)
+        before = held[-(self.history - 1) :] if self.history > 1 else held[:0]
+        k = len(before)
+        scores, gaps = np.concatenate([before[:, 0], value]), np.concatenate([before[:, 1], gap])
+        pad = np.full(self.history - 1, np.nan)
+        windows = lambda x: np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, x]), self.history)[k:]
+        size = np.minimum(np.arange(k + 1, k + n + 1), self.history)
+        total = np.append(0, np.cumsum(gaps.astype(np.int64)))
+        total = total[k + 1 :] - total[np.arange(k + 1, k + n + 1) - size]
+        mean, deviation = np.empty(n), np.empty(n)
+        for i in range(0, n, 4096):  # a bounded number of windows at a time
+            part = slice(i, i + 4096)
+            mean[part] = np.nanmean(windows(scores)[part], axis=1)
+            with np.errstate(invalid="ignore"):
+                w, m = windows(gaps)[part], (total[part] / size[part])[:, None]
+                deviation[part] = np.sqrt(np.nansum((w - m) ** 2, axis=1) / np.maximum(size[part] - 1, 1))
+        mean_gap = np.where(size >= 2, total / (size * 1e6), np.nan)
+        raw = gap / 1e6
+        steady = (size >= 5) & (total > 0) & (deviation < self.cv * (total / size))
+        return pd.DataFrame(
+            {
+                "packet_id": rows["packet_id"].to_numpy(),
+                "src_ip": key[0],
+                "mean_score": mean,
+                "mean_interval": pd.Series(mean_gap, dtype="Float64").mask(size < 2),
+                "ip_score_delta": value - mean,
+                "interval_raw": raw,
+                "interval_delta": np.where(np.nan_to_num(mean_gap) > 0, raw - mean_gap, 0.0),
+                "ip_flow_count": np.minimum(flows + np.arange(1, n + 1), FLOW_COUNT_CAP),
+                "is_burst": (raw < self.burst).astype(np.int64),
+                "is_slow": (raw > self.slow).astype(np.int64),
+                "is_periodic": steady.astype(np.int64),
+            }
+        )[self.names]
+
+
 def source_history(
     stream: DataFrame,
     score: str = "if_score",
@@ -71,8 +223,9 @@ def source_history(
 ) -> DataFrame:
     """Rolling per-source history, optionally forgetting sources idle for ``idle_seconds``.
 
+    The last ``history`` scores and gaps are elements of a list state, appended batch by batch.
     Forgetting goes by event time between a source's own rows, so it does not
-    depend on how rows fall into micro-batches; the timeout only frees state.
+    depend on how rows fall into micro-batches; the timer only frees state.
     """
     doubles = ["mean_score", "mean_interval", "ip_score_delta", "interval_raw", "interval_delta"]
     output = T.StructType(
@@ -83,37 +236,36 @@ def source_history(
             *_long("ip_flow_count", "is_burst", "is_slow", "is_periodic"),
         ]
     )
-    state = T.StructType(
-        [
-            T.StructField("scores", T.ArrayType(T.DoubleType())),
-            T.StructField("gaps", T.ArrayType(T.LongType())),
-            *_long("last_us", "flows"),
-        ]
-    )
     timed = stream if idle_seconds is None else stream.withWatermark("ts", lateness)
-    rows_in = timed.select("packet_id", "src_ip", "ts", F.unix_micros("ts").alias("_us"), F.col(score).alias("_score"))
-
-    def update(key, pdf, old):
-        scores, gaps, last, flows = ([], [], None, 0) if old is None else (list(old[0]), list(old[1]), old[2], old[3])
-        rows = []
-        for pid, now, value in zip(pdf["packet_id"], pdf["_us"], pdf["_score"]):
-            if idle_seconds is not None and last is not None and now - last > idle_seconds * 1_000_000:
-                scores, gaps, last, flows = [], [], None, 0
-            gap = 0 if last is None else int(now) - last
-            last, flows = int(now), flows + 1
-            gaps, scores = [*gaps, gap][-history:], [*scores, float(value)][-history:]
-            mean = float(np.mean(scores))
-            total, n = sum(gaps), len(gaps)
-            mean_gap = total / (n * 1e6) if n >= 2 else None
-            steady = n >= 5 and total > 0 and float(np.std(gaps, ddof=1)) / (total / n) < periodic_cv
-            raw = gap / 1e6
-            delta = raw - mean_gap if mean_gap else 0.0
-            rows.append(
-                (pid, key[0], mean, mean_gap, value - mean, raw, delta, min(flows, FLOW_COUNT_CAP), int(raw < burst), int(raw > slow), int(steady))
-            )
-        return pd.DataFrame(rows, columns=output.names), (scores, gaps, last, flows)
-
-    return _keyed(rows_in, ["src_ip"], ["_us", "packet_id"], update, output, state, idle_seconds)
+    columns = ["packet_id", "src_ip", F.unix_micros("ts").alias("_us"), F.col(score).alias("_score"), *["ts"] * (idle_seconds is not None)]
+    return _stateful(timed.select(*columns), ["src_ip"], _History(history, burst, slow, periodic_cv, output.names), output, idle_seconds)
+
+
+class _Beacons(_PerSource):
+    def __init__(self, keys, history, minimum, limit, names):
+        self.keys, self.history, self.minimum, self.limit, self.names = keys, history, minimum, limit, names
+
+    def open(self, handle):
+        self.times = handle.getListState("times", T.StructType([T.StructField("us", T.DoubleType())]))
+        self.variables = (self.times,)
+
+    def update(self, key, rows, now, clock):
+        held = _kept(self.times, 1)[:, 0].astype(np.int64)
+        times = np.concatenate([held[-(self.history - 1) :], now])
+        k, n = len(times) - len(now), len(now)
+        size = np.minimum(np.arange(k + 1, k + n + 1), self.history)
+        gaps = np.concatenate([np.full(self.history - 1, np.nan), np.diff(times) * 1000.0])
+        windows = np.lib.stride_tricks.sliding_window_view(gaps, self.history - 1)[k : k + n]
+        spread = np.full(n, np.nan)
+        for i in range(0, n, 16384):
+            part = slice(i, i + 16384)
+            enough = size[part] >= max(self.minimum, 3)
+            spread[part][enough] = np.nanvar(windows[part][enough], axis=1, ddof=1)
+        _keep(self.times, len(held), now.reshape(-1, 1), self.history)
+        out = pd.DataFrame({"packet_id": rows["packet_id"].to_numpy(), "n_timestamps": size, "gap_variance": spread, "is_beacon": spread < self.limit})
+        for name, value in zip(self.keys, key, strict=True):
+            out[name] = value
+        return out[size >= self.minimum][self.names]
 
 
 def beacons(
@@ -122,8 +274,10 @@ def beacons(
     history: int = 20,
     minimum: int = 10,
     variance_limit: float = 5e13,
+    idle_seconds: int | None = None,
+    lateness: str = "10 minutes",
 ) -> DataFrame:
-    """Beacon test over the last ``history`` timestamps of each flow."""
+    """Beacon test over the last ``history`` timestamps of each flow; flows idle for ``idle_seconds`` start anew."""
     kinds = dict(stream.select(*keys).dtypes)
     output = T.StructType(
         [
@@ -133,41 +287,181 @@ def beacons(
             T.StructField("is_beacon", T.BooleanType()),
         ]
     )
-    state = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
-    rows_in = stream.select(*keys, "packet_id", (F.unix_micros("ts") * 1000).alias("_ns"))
-
-    def update(key, pdf, old):
-        times = [] if old is None else list(old[0])
-        rows = []
-        for pid, now in zip(pdf["packet_id"], pdf["_ns"]):
-            times = [*times, int(now)][-history:]
-            if len(times) >= minimum:
-                spread = float(np.var(np.diff(times), ddof=1))
-                rows.append((*key, pid, len(times), spread, spread < variance_limit))
-        return pd.DataFrame(rows, columns=output.names), (times,)
-
-    return _keyed(rows_in, list(keys), ["_ns", "packet_id"], update, output, state)
-
-
-def port_scan(stream: DataFrame, limit: int = 5) -> DataFrame:
-    """Distinct destination ports per source so far; state is at most 65,536 ports and NULL."""
+    timed = stream if idle_seconds is None else stream.withWatermark("ts", lateness)
+    columns = [*keys, "packet_id", F.unix_micros("ts").alias("_us"), *["ts"] * (idle_seconds is not None)]
+    return _stateful(timed.select(*columns), list(keys), _Beacons(keys, history, minimum, variance_limit, output.names), output, idle_seconds)
+
+
+class _PortScan(_PerSource):
+    def __init__(self, limit):
+        self.limit = limit
+
+    def open(self, handle):
+        self.ports = handle.getMapState("ports", T.StructType(_long("port")), T.StructType(_long("first_us")))
+        self.count = handle.getValueState("n_ports", T.StructType(_long("n")))
+        self.variables = (self.ports, self.count)
+
+    def update(self, key, rows, now, clock):
+        port = rows["_port"].to_numpy(np.int64)
+        held = int(self.count.get()[0]) if self.count.exists() else 0
+        different, first = np.unique(port, return_index=True)
+        new = [(int(p), int(i)) for p, i in zip(different, first, strict=True) if not self.ports.containsKey((int(p),))]
+        for p, i in new:  # only ports not seen before are written
+            self.ports.updateValue((p,), (int(now[i]),))
+        if new:
+            self.count.update((held + len(new),))
+        opened = np.zeros(len(port), np.int64)
+        opened[[i for _, i in new]] = 1
+        seen = held + np.cumsum(opened)
+        return pd.DataFrame({"packet_id": rows["packet_id"].to_numpy(), "src_ip": key[0], "ports_seen": seen, "is_scan": seen > self.limit})
+
+
+def port_scan(stream: DataFrame, limit: int = 5, idle_seconds: int | None = None, lateness: str = "10 minutes") -> DataFrame:
+    """Distinct destination ports per source so far, one entry of a map state for each (65,536 and NULL at most).
+
+    Sources idle for ``idle_seconds`` are forgotten.
+    """
     output = T.StructType(
         [*_long("packet_id"), T.StructField("src_ip", T.StringType()), *_long("ports_seen"), T.StructField("is_scan", T.BooleanType())]
     )
-    state = T.StructType([T.StructField("ports", T.ArrayType(T.LongType()))])
-    rows_in = stream.filter("src_ip IS NOT NULL AND src_ip <> ''").select(
-        "packet_id", "src_ip", "ts", F.coalesce(F.col("dst_port").cast("long"), F.lit(-1)).alias("_port")
-    )
-
-    def update(key, pdf, old):
-        ports = set() if old is None else set(old[0])
-        rows = []
-        for pid, port in zip(pdf["packet_id"], pdf["_port"]):
-            ports.add(int(port))
-            rows.append((pid, key[0], len(ports), len(ports) > limit))
-        return pd.DataFrame(rows, columns=output.names), (sorted(ports),)
+    timed = stream if idle_seconds is None else stream.withWatermark("ts", lateness)
+    columns = ["packet_id", "src_ip", F.unix_micros("ts").alias("_us"), F.coalesce(F.col("dst_port").cast("long"), F.lit(-1)).alias("_port"), *["ts"] * (idle_seconds is not None)]
+    rows_in = timed.filter("src_ip IS NOT NULL AND src_ip <> ''").select(*columns)
+    return _stateful(rows_in, ["src_ip"], _PortScan(limit), output, idle_seconds)
+
+
+class _Health(_PerSource):
+    """One machine per sensor: previous snapshot, time of the last kept alert per rule, alerts not cleared yet."""
+
+    order = ("_us",)
+
+    def __init__(self, limits: dict, cooldown: float, names: list[str]):
+        drop, queue = limits["drop"], limits["queue"]
+        self.cooldown, self.names = int(cooldown * 1e6), names
+        # type: (measured column, fires above, severe above, clears at or below)
+        self.rules = {
+            "high_drop_rate": ("drop_rate_percent", drop, drop * 2, drop * CLEAR["drop"]),
+            "queue_overflow": ("flows_in_queue", queue, np.inf, queue * CLEAR["queue"]),
+            "interface_unavailable": ("_down", 0.5, 0.5, 0.5),
+            "high_cpu": ("cpu_usage_percent", limits["cpu"], np.inf, CLEAR["cpu"]),
+            "high_memory": ("memory_usage_mb", limits["memory"], np.inf, CLEAR["memory"]),
+            "high_disk_usage": ("disk_usage_percent", limits["disk"], limits["disk"], CLEAR["disk"]),
+        }
+
+    def open(self, handle):
+        counters = T.StructType([T.StructField(n, T.DoubleType()) for n in COUNTERS])
+        alert = T.StructType([T.StructField("alert_type", T.StringType()), *_long("us")])
+        self.previous = handle.getValueState("previous", counters)
+        self.last = handle.getMapState("last", T.StructType([T.StructField("alert_type", T.StringType())]), T.StructType(_long("us")))
+        self.unresolved = handle.getMapState("open", alert, T.StructType([T.StructField("severity", T.StringType()), T.StructField("value", T.DoubleType())]))
+        self.variables = (self.previous, self.last, self.unresolved)
+
+    def update(self, key, rows, now, clock):
+        new = np.diff(now, prepend=now[0] - 1 if clock is None else clock) > 0  # a snapshot not newer than the last one is dropped
+        rows, now = rows[new].reset_index(drop=True), now[new]
+        if not len(rows):
+            return pd.DataFrame(columns=self.names)
+        rows = rows.assign(**self.rates(rows, now, clock), _down=1.0 - rows["interface_available"].astype("Float64").astype(np.float64))
+        parts = [pd.DataFrame({"kind": "rate", "_us": now, **{c: rows[c] for c in RATES}})]
+        held = [(k[0], int(k[1]), v[0], v[1]) for k, v in self.unresolved.iterator()]
+        for rule, (column, limit, severe, clear) in self.rules.items():
+            value = rows[column].to_numpy(np.float64, na_value=np.nan)
+            fires = value > limit
+            fired = pd.DataFrame({"_us": now[fires], "value": value[fires], "severity": np.where(value[fires] > severe, "critical", "warning")})
+            if rule == "interface_unavailable":
+                fired["value"] = np.nan
+            kept = self.kept(rule, now[fires])
+            parts.append(fired[kept].assign(kind="alert", alert_type=rule))
+            parts.append(self.resolved(rule, fired, [h for h in held if h[0] == rule], now[value <= clear]))
+        out = pd.concat([p for p in parts if len(p)], ignore_index=True).reindex(columns=self.names)
+        for n, c in zip(self.columns, key, strict=False):
+            out[n] = c
+        return out.assign(value=out["value"].astype("Float64"), **{c: out[c].astype("Float64") for c in RATES}, resolved_us=out["resolved_us"].astype("Int64"))
+
+    def rates(self, rows, now, clock) -> dict[str, np.ndarray]:
+        old = np.array([self.previous.get()]) if self.previous.exists() else np.full((1, 3), np.nan)
+        line = np.concatenate([old.astype(np.float64), rows[list(COUNTERS)].to_numpy(np.float64, na_value=np.nan)])
+        self.previous.update(tuple(line[-1].tolist()))
+        passed = np.diff(now, prepend=now[0] if clock is None else clock) / 1e6
+        captured, processed, dropped = np.diff(line, axis=0).T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            capture, processing = (np.where(passed > 0, x / passed, 0.0) for x in (captured, processed))
+            drop = np.where((passed > 0) & (captured > 0), dropped * 100.0 / captured, 0.0)
+        return dict(zip(RATES, (capture, processing, np.nan_to_num(drop)), strict=True))
+
+    def kept(self, rule: str, times: np.ndarray) -> np.ndarray:
+        """Alerts at least one cooldown after the last kept one; each step goes to the next kept one."""
+        kept = np.zeros(len(times), bool)
+        if not len(times):
+            return kept
+        last = int(self.last.getValue((rule,))[0]) if self.last.containsKey((rule,)) else None
+        at = 0 if last is None else int(np.searchsorted(times, last + self.cooldown))
+        while at < len(times):
+            kept[at], last = True, int(times[at])
+            at = max(at + 1, int(np.searchsorted(times, last + self.cooldown)))
+        if kept.any():
+            self.last.updateValue((rule,), (last,))
+        return kept
+
+    def resolved(self, rule: str, fired: pd.DataFrame, held: list[tuple], clears: np.ndarray) -> pd.DataFrame:
+        """Alerts, old and new, that a snapshot of this batch clears; the others stay open."""
+        old = pd.DataFrame([(us, value, severity) for _, us, severity, value in held], columns=["_us", "value", "severity"])
+        line = pd.concat([x for x in (old, fired) if len(x)], ignore_index=True) if len(old) + len(fired) else old
+        at = np.searchsorted(clears, line["_us"].to_numpy(np.int64))
+        done = at < len(clears)
+        for i in np.flatnonzero(done[: len(old)]).tolist():
+            self.unresolved.removeKey((rule, int(old["_us"][i])))
+        for i in np.flatnonzero(~done[len(old) :]).tolist():
+            us, value, severity = fired.iloc[i][["_us", "value", "severity"]]
+            self.unresolved.updateValue((rule, int(us)), (severity, float(value)))
+        return line[done].assign(kind="resolved", alert_type=rule, resolved_us=clears[at[done]])
+
+    def forgotten(self, key):
+        held = [(*key, "unresolved", int(k[1]), k[0], v[0], v[1]) for k, v in self.unresolved.iterator()]
+        columns = [*self.columns[: len(key)], "kind", "_us", "alert_type", "severity", "value"]
+        return pd.DataFrame(held, columns=columns).reindex(columns=self.names) if held else None
+
+
+def alert_stream(
+    snapshots: DataFrame,
+    limits: dict = LIMITS,
+    cooldown: float = COOLDOWN_SECONDS,
+    keys: tuple[str, ...] = ("sensor",),
+    idle_seconds: float | None = None,
+    lateness: str = "10 minutes",
+) -> DataFrame:
+    """Health rates, alerts and their resolution from the raw snapshot stream, as rows of several kinds.
 
-    return _keyed(rows_in, ["src_ip"], ["ts", "packet_id"], update, output, state)
+    ``rate``: rates of every snapshot; ``alert``: alerts kept by the cooldown; ``resolved``: any alert, kept or
+    not, with the time at which a snapshot cleared it; ``unresolved``: an alert of a sensor forgotten after
+    ``idle_seconds``. Alerts that are still open at a stop are in the state, see ``open_alerts``. A snapshot
+    that is not newer than its sensor's last one is dropped.
+    """
+    output = T.StructType(
+        [
+            *[T.StructField(k, T.StringType()) for k in keys], T.StructField("kind", T.StringType()), *_long("_us"),
+            *[T.StructField(c, T.DoubleType()) for c in RATES], T.StructField("alert_type", T.StringType()), T.StructField("severity", T.StringType()),
+            T.StructField("value", T.DoubleType()), *_long("resolved_us"),
+        ]
+    )
+    timed = snapshots if idle_seconds is None else snapshots.withWatermark("ts", lateness)
+    rows_in = timed.select(*keys, F.unix_micros("ts").alias("_us"), *COUNTERS, *GAUGES, *["ts"] * (idle_seconds is not None))
+    rows = _stateful(rows_in, list(keys), _Health(limits, cooldown, output.names), output, idle_seconds)
+    value = F.nanvl("value", F.lit(None))
+    return rows.select(
+        *keys, "kind", F.timestamp_micros("_us").alias("ts"), *RATES, "alert_type", "severity",
+        alert_message(F.col("alert_type"), value, limits).alias("message"), F.timestamp_micros("resolved_us").alias("resolved_at"),
+    )
+
+
+def open_alerts(spark: SparkSession, folder: str, limits: dict = LIMITS) -> DataFrame:
+    """Alerts that no snapshot has cleared when the drained stream in ``folder`` stopped."""
+    held = run.state_of(spark, folder, 0, "open")
+    kind, value = F.col("user_map_key.alert_type"), F.nanvl(F.col("user_map_value.value"), F.lit(None))
+    return held.select(
+        "key.*", kind.alias("alert_type"), F.timestamp_micros("user_map_key.us").alias("ts"), F.col("user_map_value.severity").alias("severity"),
+        alert_message(kind, value, limits).alias("message"),
+    )
 
 
 def rate_police(stream: DataFrame, rate: int = 100_000, capacity: int = 100_000) -> DataFrame:

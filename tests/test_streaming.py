@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowlake.operators import behaviour, decide, health, police, windows
 from flowlake.plans import fixtures as fx
+from flowlake.session import scratch_path
 from flowlake.streaming import run, stateful
 from flowlake.streaming import windows as stream_windows
 
@@ -132,6 +133,88 @@ def test_alert_cooldown(spark, sf_dir, tmp_path):
     assert _rows(got, "sensor", "alert_type", "ts", "severity") == _rows(want, "sensor", "alert_type", "ts", "severity")
 
 
+@pytest.fixture(scope="module")
+def snapshot_parts(spark, sf_dir, tmp_path_factory):
+    """Raw health snapshots in three files in time order."""
+    path = str(tmp_path_factory.mktemp("snapshots"))
+    table = fx.v_health(spark, sf_dir).cache()
+    low, high = table.select(F.unix_micros("ts").alias("u")).approxQuantile("u", [0.3, 0.6], 0.0)
+    us = F.unix_micros("ts")
+    for part in (table.filter(us <= low), table.filter((us > low) & (us <= high)), table.filter(us > high)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)
+    return path, table
+
+
+def test_alert_stream_over_micro_batches(spark, snapshot_parts):
+    path, table = snapshot_parts
+    limits, folder = {**health.LIMITS, "drop": 20.0, "queue": 12}, scratch_path(spark, "t")
+    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = run.drain(stateful.alert_stream(stream, limits, 30 * 3600.0), "t", folder=folder).cache()
+    rated = health.health_rates(table).cache()
+    alerts = health.threshold_alerts(rated, limits)
+    rates = ["sensor", "ts", "capture_rate_pps", "processing_rate_pps", "drop_rate_percent"]
+    assert _rows(rows.filter("kind = 'rate'"), *rates) == _rows(rated, *rates)
+    kept = ["sensor", "alert_type", "ts", "severity", "message"]
+    assert _rows(rows.filter("kind = 'alert'"), *kept) == _rows(health.alert_cooldown(alerts, cooldown=30 * 3600.0), *kept)
+    want = health.alert_resolution(alerts, rated, limits)
+    assert _rows(rows.filter("kind = 'resolved'"), *kept, "resolved_at") == _rows(want.filter("resolved"), *kept, "resolved_at")
+    assert _rows(stateful.open_alerts(spark, folder, limits), *kept) == _rows(want.filter("NOT resolved"), *kept)
+    assert want.filter("resolved").count() > 0
+
+
+def _late_and_idle(spark, tmp_path, last):
+    """Three batches of one source, a late row in the second; the third comes ``last`` of another source."""
+    batches = [
+        [(1, "a", 100.0, 1), (2, "a", 110.0, 2)],
+        [(3, "a", 105.0, 3), (4, "a", 130.0, 1)],
+        [(5, "b", last, 9)],
+    ]
+    schema = "packet_id bigint, src_ip string, ts timestamp, if_score double, dst_port int"
+    for rows in batches:
+        df = spark.createDataFrame(rows, "packet_id bigint, src_ip string, s double, dst_port int")
+        df.select("packet_id", "src_ip", F.timestamp_seconds("s").alias("ts"), F.lit(0.5).alias("if_score"), "dst_port").coalesce(1).write.mode("append").parquet(str(tmp_path))
+        time.sleep(1.1)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+
+
+def test_late_rows_do_not_turn_the_clock_back(spark, tmp_path):
+    got = run.drain(stateful.source_history(_late_and_idle(spark, tmp_path, 140.0)), "t")
+    assert {r["packet_id"]: (r["interval_raw"], r["ip_flow_count"]) for r in got.collect()} == {
+        1: (0.0, 1), 2: (10.0, 2), 3: (0.0, 3), 4: (20.0, 4), 5: (0.0, 1),
+    }
+
+
+@pytest.mark.parametrize(
+    ("make", "variables"),
+    [
+        (lambda s: stateful.source_history(s, idle_seconds=60, lateness="1 minute"), ["clock", "recent", "flows"]),
+        (lambda s: stateful.beacons(s, keys=("src_ip",), idle_seconds=60, lateness="1 minute"), ["clock", "times"]),
+        (lambda s: stateful.port_scan(s, idle_seconds=60, lateness="1 minute"), ["clock", "ports", "n_ports"]),
+    ],
+)
+def test_state_of_idle_sources_is_dropped(spark, tmp_path, make, variables):
+    folder = scratch_path(spark, "t")
+    run.drain(make(_late_and_idle(spark, tmp_path, 5000.0)), "t", folder=folder)
+    for name in variables:
+        assert {r[0] for r in run.state_of(spark, folder, 0, name).select("key.src_ip").collect()} == {"b"}, name
+
+
+def test_list_state_is_cut(spark, tmp_path):
+    rows = [(i, "a", 100.0 + i) for i in range(1000)]
+    for k in range(0, 1000, 100):
+        df = spark.createDataFrame(rows[k : k + 100], "packet_id bigint, src_ip string, s double")
+        df.select("packet_id", "src_ip", F.timestamp_seconds("s").alias("ts"), (F.col("packet_id") * 0.5).alias("if_score")).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    schema = "packet_id bigint, src_ip string, ts timestamp, if_score double"
+    folder = scratch_path(spark, "t")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path))
+    got = run.drain(stateful.source_history(stream, history=30), "t", folder=folder)
+    want = behaviour.source_history(spark.read.schema(schema).parquet(str(tmp_path)), history=30)
+    assert _rows(got, "packet_id", "mean_score", "ip_flow_count") == _rows(want, "packet_id", "mean_score", "ip_flow_count")
+    held = run.state_of(spark, folder, 0, "recent")
+    assert held.count() <= 60
+
+
 def test_empty_stream_yields_an_empty_table(spark, parts, tmp_path):
     stream = spark.readStream.schema(parts[1].schema).parquet(str(tmp_path))
     out = run.drain_batches(stream, lambda batch: batch.select("packet_id"), "t")
