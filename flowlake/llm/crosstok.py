@@ -25,8 +25,10 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ A_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 B_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = 1 << 15
 FAN_IN = 16
-MOST_KEPT = 1_000_000  # pieces remembered by a task
+MOST_KEPT = 500_000  # pieces remembered by a task
 KEPT = 8  # ids of a piece on average, at most
 PAIR_BITS = 31  # of the B id in a pair
 HEAD_PAIRS = 1 << 19
@@ -57,6 +59,9 @@ FRAGMENT = StructType(
     )]
 )
 NAMES = FRAGMENT.names
+CLOSED = StructType(
+    [StructField(name, kind) for name, kind in (("n_a", LongType()), ("n_b", LongType()), ("n_groups", LongType()), ("groups", StringType()), ("pairs", LONGS), ("times", INTS))]
+)
 NONE = np.zeros(0, np.int32)
 
 
@@ -91,13 +96,15 @@ class Fragment:
     @staticmethod
     def of(a_ids, a_ends, b_ids, b_ends, same: bool = True) -> Fragment:
         """Fragment of tokens with their ends, counted from anywhere."""
-        common, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        if not len(common):
+        places = np.searchsorted(b_ends, a_ends)
+        at_a = np.flatnonzero(np.append(b_ends, -1)[places] == a_ends)
+        at_b = places[at_a]
+        if not len(at_a):
             return Fragment(False, a_ids, b_ids, "", NONE, NONE, len(a_ids), len(b_ids), 0, np.zeros(0, np.int64), NONE, same)
         pairs, times = np.unique(a_ids[at_a].astype(np.int64) << PAIR_BITS | b_ids[at_b], return_counts=True)
         i, j, k, m = at_a[0] + 1, at_b[0] + 1, at_a[-1] + 1, at_b[-1] + 1
         body = groups_text(a_ids[i:k], at_a[1:] - i, b_ids[j:m], at_b[1:] - j)
-        return Fragment(True, a_ids[:i], b_ids[:j], body, a_ids[k:], b_ids[m:], len(a_ids), len(b_ids), len(common) - 1, pairs, times.astype(np.int32), same)
+        return Fragment(True, a_ids[:i], b_ids[:j], body, a_ids[k:], b_ids[m:], len(a_ids), len(b_ids), len(at_a) - 1, pairs, times.astype(np.int32), same)
 
     def then(self, right: Fragment) -> Fragment:
         """This fragment and the one of the next byte range as one."""
@@ -122,30 +129,25 @@ class Fragment:
 NOTHING = Fragment(False, NONE, NONE, "", NONE, NONE, 0, 0, 0, np.zeros(0, np.int64), NONE)
 
 
-# texts of ids with the mark that follows them, for every id met so far
-_texts: dict[str, np.ndarray] = {}
-
-
-def marked(ids: np.ndarray, closing: np.ndarray, close: str) -> np.ndarray:
-    """Text of each id and a comma, or ``close`` where ``closing`` is set."""
-    for mark in (",", close):
-        if len(_texts.get(mark, ())) <= ids.max(initial=0):
-            _texts[mark] = np.array([f"{i}{mark}" for i in range(2 * int(ids.max(initial=0)) + 2)], dtype=object)
-    return np.where(closing, _texts[close][ids], _texts[","][ids])
+# texts of ids and the mark that follows them: of each id the one with a comma, of A with |, of B with ;
+_texts: list[np.ndarray] = [np.zeros(0, dtype=object)]
 
 
 def groups_text(a_ids, a_last, b_ids, b_last) -> str:
     """Text of closed groups; ``a_last`` and ``b_last`` are the places of each group's last tokens."""
     if not len(a_last):
         return ""
+    most = max(int(a_ids.max()), int(b_ids.max()))
+    if 3 * most >= len(_texts[0]):
+        _texts[0] = np.array([f"{i}{mark}" for i in range(2 * most + 1) for mark in ",|;"], dtype=object)
     a_sizes, b_sizes = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
-    out = np.empty(len(a_ids) + len(b_ids), dtype=object)
-    a_marks, b_marks = np.zeros(len(a_ids), bool), np.zeros(len(b_ids), bool)
-    a_marks[a_last] = b_marks[b_last] = True
-    before_b = np.cumsum(b_sizes) - b_sizes
-    out[np.arange(len(a_ids)) + np.repeat(before_b, a_sizes)] = marked(a_ids, a_marks, "|")
-    out[np.arange(len(b_ids)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = marked(b_ids, b_marks, ";")
-    return "".join(out.tolist())[:-1]
+    a_cells, b_cells = a_ids * 3, b_ids * 3
+    a_cells[a_last] += 1
+    b_cells[b_last] += 2
+    cells = np.empty(len(a_ids) + len(b_ids), dtype=np.int32)
+    cells[np.arange(len(a_ids)) + np.repeat(np.cumsum(b_sizes) - b_sizes, a_sizes)] = a_cells
+    cells[np.arange(len(b_ids)) + np.repeat(np.cumsum(a_sizes), b_sizes)] = b_cells
+    return "".join(_texts[0][cells].tolist())[:-1]
 
 
 def bare(piece: str) -> bool:
@@ -182,14 +184,24 @@ class Both:
         self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]  # of A and of B, piece after piece
         self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
-    def pieces(self, text: str) -> list[str]:
-        """Keys of a text's pieces: the piece, or a space and the piece where white space stands at its ends."""
-        if not self.cuts:
-            return [" " + text]
-        pieces = text.split(" ")
-        if all(map(bare, [p for p in pieces if p not in self.known])):
-            return pieces
-        return [p if bare(p) else " " + p for p in CUT.split(text)]
+    def numbers(self, text: str, fresh: list[str]) -> list[int]:
+        """Numbers of a text's pieces; pieces not seen before get the next ones and are added to ``fresh``.
+
+        A piece is known by itself, or by a space and itself where white space stands at its ends.
+        """
+        keys = text.split(" ") if self.cuts else [" " + text]
+        found = list(map(self.known.get, keys))
+        missing = [i for i, x in enumerate(found) if x is None] if None in found else []
+        if self.cuts and not all([bare(keys[i]) for i in missing]):
+            keys = [p if bare(p) else " " + p for p in CUT.split(text)]
+            found = list(map(self.known.get, keys))
+            missing = [i for i, x in enumerate(found) if x is None]
+        for i in missing:
+            if keys[i] not in self.known:
+                self.known[keys[i]] = len(self.known)
+                fresh.append(keys[i])
+            found[i] = self.known[keys[i]]
+        return found
 
     def a_of(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(A's ids of all pieces, number of ids of each), each piece taken with a space before it.
@@ -204,13 +216,15 @@ class Both:
         at = np.searchsorted(ends, borders) + 1
         if len(plain) and (at[-1] != len(ends) or not (ends[at - 1] == borders).all()):
             raise ValueError("a token of A crosses a cut")
-        others = [e.ids for e in self.a.encode_batch_fast([k for k in keys if k[0] == " "], add_special_tokens=False)]
-        counts = np.concatenate([np.diff(at, prepend=0), [len(x) for x in others]]).astype(np.int64)
-        return np.concatenate([ids, *[np.array(x, np.int32) for x in others]]), counts
+        if len(plain) == len(keys):
+            return ids, np.diff(at, prepend=0)
+        parts = iter(np.split(ids, at[:-1]) if plain else [])
+        others = iter(self.a.encode_batch_fast([k for k in keys if k[0] == " "], add_special_tokens=False))
+        each = [np.array(next(others).ids, np.int32) if k[0] == " " else next(parts) for k in keys]
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def learn(self, keys: list[str]) -> None:
         """Remembers the ids of both, and whether both give back the bytes, of pieces taken with a space before them."""
-        keys = sorted(keys, key=lambda k: k[0] == " ")
         pieces = [k[1:] if k[0] == " " else k for k in keys]
         found = self.b.encode(pieces, num_threads=1)
         sides = self.a_of(keys), (np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64))
@@ -222,19 +236,18 @@ class Both:
             same &= np.array([x == w for x, w in zip(spelled, want, strict=True)], bool)
             self.ids[side] = np.concatenate([self.ids[side], ids])
             self.ends[side] = np.concatenate([self.ends[side], self.ends[side][-1] + ends])
-        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys)), strict=True))
         self.same = np.concatenate([self.same, same])
 
     def tokens(self, texts: list[str]) -> Iterator[tuple]:
         """(A ids, A ends, B ids, B ends, bytes agree) of every text, taken with a space before it."""
         if len(self.known) > MOST_KEPT or len(self.ids[0]) > MOST_KEPT * KEPT:
             self.forget()
-        cut = [self.pieces(t) for t in texts]
-        fresh = list(dict.fromkeys([p for pieces in cut for p in pieces if p not in self.known]))
+        fresh: list[str] = []
+        cut = [self.numbers(t, fresh) for t in texts]
         if fresh:
             self.learn(fresh)
-        known, lengths = self.known, np.array([len(pieces) for pieces in cut])
-        at = np.array([known[p] for pieces in cut for p in pieces], np.int64)
+        lengths = np.array([len(numbers) for numbers in cut], np.int64)
+        at = np.fromiter(chain.from_iterable(cut), np.int64, int(lengths.sum()))
         same = np.logical_and.reduceat(self.same[at], np.cumsum(lengths) - lengths) if len(cut) else []
         sides = []
         for ids, ends, sizes in zip(self.ids, self.ends, (self.a_sizes, self.b_sizes), strict=True):
@@ -294,19 +307,33 @@ class Loader:
         return self.both
 
 
-def short_fragments(docs: DataFrame, loader: Loader) -> DataFrame:
-    """One fragment for each row of ``docs`` (doc_id, text), a single range."""
+def closed(docs: pa.Array, found: list[Fragment], use: Callable[[str], str], name: str = "doc_id") -> pa.RecordBatch:
+    """Rows of texts that these fragments cover as a whole."""
+    kept = [f if f.same else NOTHING for f in found]
+    columns = [
+        docs, pa.array([f.n_a for f in kept], pa.int64()), pa.array([f.n_b for f in kept], pa.int64()), pa.array([f.n_groups + f.cut for f in kept], pa.int64()),
+        pa.array([use(f.groups()) for f in kept], pa.string()), pa.array([f.pairs for f in kept], pa.list_(pa.int64())), pa.array([f.times for f in kept], pa.list_(pa.int32())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [name, *CLOSED.names])
 
-    def use(batches):
+
+def short_texts(docs: DataFrame, loader: Loader, use: Callable[[str], str]) -> DataFrame:
+    """Groups and links of each row of ``docs`` (doc_id, text), its text being a single range."""
+
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 texts = part.column("text").to_pylist()
                 found = loader.get().tokens([t for t in texts if t])
-                made = batch_of([(0, 0, Fragment.of(*next(found)) if t else NOTHING) for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made.columns[2:]], ["doc_id", *NAMES[2:]])
+                yield closed(part.column("doc_id"), [Fragment.of(*next(found)) if t else NOTHING for t in texts], use)
 
-    return docs.mapInArrow(use, StructType([docs.schema["doc_id"], *FRAGMENT.fields[2:]]))
+    return docs.mapInArrow(run, StructType([docs.schema["doc_id"], *CLOSED.fields]))
+
+
+def fragment_of(row: dict) -> Fragment:
+    ids = {n: np.array(row[n], np.int32) for n in ("a1", "b1", "a2", "b2", "times")}
+    return Fragment(**{n: row[n] for n in NAMES[2:]} | ids | {"pairs": np.array(row["pairs"], np.int64)})
 
 
 def segments(docs: DataFrame, size: int, loader: Loader) -> DataFrame:
@@ -324,67 +351,55 @@ def segments(docs: DataFrame, size: int, loader: Loader) -> DataFrame:
 
 
 def range_fragments(parts: DataFrame, size: int, loader: Loader) -> DataFrame:
-    """Fragments by byte range of segments, each tokenised in whichever task it is dealt to."""
+    """Fragments by byte range of segments; each is a group of its own, so a task holds one at a time."""
 
-    def use(batches):
+    def use(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                part = batch.slice(at, 16)
-                found = loader.get().tokens(part.column("text").to_pylist())
-                rows = []
-                for doc, start, tokens in zip(part.column("doc").to_pylist(), part.column("start").to_pylist(), found, strict=True):
-                    rows += [(doc, place, fragment) for place, fragment in by_range(tokens, start, size)]
-                yield batch_of(rows)
+            found = loader.get().tokens(batch.column("text").to_pylist())
+            for doc, start, tokens in zip(batch.column("doc").to_pylist(), batch.column("start").to_pylist(), found, strict=True):
+                yield batch_of([(doc, place, fragment) for place, fragment in by_range(tokens, start, size)])
 
-    return parts.select("doc", "start", "text").repartition("doc", "start").mapInArrow(use, FRAGMENT)
+    use.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return parts.select("doc", "start", "text").groupBy("doc", "start").applyInArrow(use, FRAGMENT)
 
 
-def composed(parts: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
-    """One fragment per doc: neighbours are composed ``fan_in`` at a time until no doc has two."""
+def long_texts(parts: DataFrame, use: Callable[[str], str], fan_in: int = FAN_IN) -> DataFrame:
+    """(doc, groups and links) of each doc: neighbouring fragments are composed ``fan_in`` at a time until it has one."""
+
+    def whole(rows: list[dict]) -> Fragment:
+        return reduce(Fragment.then, [fragment_of(r) for r in sorted(rows, key=lambda r: r["seq"])])
 
     def level(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((r for batch in batches for r in batch.select(NAMES).to_pylist()), key=lambda r: r["seq"])
-        total = None
-        for r in rows:
-            ids = {n: np.array(r[n], np.int32) for n in ("a1", "b1", "a2", "b2", "times")}
-            one = Fragment(**{n: r[n] for n in NAMES[2:]} | ids | {"pairs": np.array(r["pairs"], np.int64)})
-            total = one if total is None else total.then(one)
-        yield batch_of([(key[0].as_py(), key[1].as_py(), total)])
-
-    # the annotations are looked up when Spark reads them
-    level.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+        yield batch_of([(key[0].as_py(), key[1].as_py(), whole([r for batch in batches for r in batch.select(NAMES).to_pylist()]))])
+
+    def last_level(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = whole([r for batch in batches for r in batch.select(NAMES).to_pylist()])
+        yield closed(pa.array([key[0].as_py()], pa.int64()), [found], use, "doc")
+
+    for f in (level, last_level):  # Spark looks the annotations up
+        f.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     parts = cut_lineage(parts, "alignment-ranges")
-    last = parts.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    while last > 0:
+    most = parts.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    while most >= fan_in:
         parts = parts.withColumn("up", F.expr(f"seq div {fan_in}")).groupBy("doc", "up").applyInArrow(level, FRAGMENT)
-        last //= fan_in
-    return parts
+        most //= fan_in
+    return parts.groupBy("doc").applyInArrow(last_level, StructType([FRAGMENT.fields[0], *CLOSED.fields]))
 
 
-def align(docs: DataFrame, size: int = SEGMENT, fan_in: int = FAN_IN, a_model: str = A_MODEL, b_model: str = B_MODEL) -> DataFrame:
+def align(
+    docs: DataFrame, size: int = SEGMENT, fan_in: int = FAN_IN, use: Callable[[str], str] = str, a_model: str = A_MODEL, b_model: str = B_MODEL
+) -> DataFrame:
     """(doc, doc_id, n_a, n_b, n_groups, groups, pairs, times) of every row of ``docs`` (doc_id, text), as a stored table.
 
-    ``groups`` is ``a1,a2|b1;a3|b2,b3`` in ids of A and B; ``pairs`` are the distinct linked ids
-    (A id << PAIR_BITS | B id) and ``times`` how often the text has them.
+    ``groups`` is ``a1,a2|b1;a3|b2,b3`` in ids of A and B, or what ``use`` makes of that text; ``pairs`` are the
+    distinct linked ids (A id << PAIR_BITS | B id) and ``times`` how often the text has them. ``doc`` numbers the rows.
     """
     loader, length = Loader(docs.sparkSession, a_model, b_model), F.coalesce(F.char_length("text"), F.lit(0))
     chosen = docs.select("doc_id", "text")
-    short = short_fragments(chosen.where(length <= size), loader)
+    short = short_texts(chosen.where(length <= size), loader, use)
     parts = segments(chosen.where(length > size), size, loader)
-    long = composed(range_fragments(parts, size, loader), fan_in).join(parts.where("start = 0").select("doc", "doc_id"), "doc")
-    closed = F.when(F.col("cut"), F.concat_ws("|", F.concat_ws(",", "a1"), F.concat_ws(",", "b1")))
-    groups = F.when(F.col("body") == "", closed).otherwise(F.concat_ws(";", closed, "body"))
-    values = {
-        "n_a": (F.col("n_a"), F.lit(0).cast("long")),
-        "n_b": (F.col("n_b"), F.lit(0).cast("long")),
-        "n_groups": (F.col("n_groups") + F.col("cut").cast("long"), F.lit(0).cast("long")),
-        "groups": (F.coalesce(groups, F.lit("")), F.lit("")),
-        "pairs": (F.col("pairs"), F.array().cast("array<bigint>")),
-        "times": (F.col("times"), F.array().cast("array<int>")),
-    }
-    texts = short.unionByName(long.select(short.columns))
-    found = texts.select("doc_id", *[F.when(F.col("same"), value).otherwise(none).alias(name) for name, (value, none) in values.items()])
-    return cut_lineage(found.select(F.monotonically_increasing_id().alias("doc"), "*"), "alignment")
+    long = long_texts(range_fragments(parts, size, loader), use, fan_in).join(parts.where("start = 0").select("doc", "doc_id"), "doc").drop("doc")
+    return cut_lineage(short.unionByName(long).select(F.monotonically_increasing_id().alias("doc"), "*"), "alignment")
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -204,7 +205,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op11_crosstok")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aligned = crosstok.align(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    digest = lambda groups: hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+    aligned = crosstok.align(table(spark, sf_dir, "documents", ["doc_id", "text"]), use=digest)
     sums = crosstok.link_sums(aligned, crosstok.link_counts(aligned))
-    digest = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2(F.col("groups"), 256)).alias("groups_sha256")
-    return sums.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+    return sums.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
