@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlake.operators.sequence import MAX_GROUP_ROWS, POSITION, Stage, ordered
@@ -26,6 +28,58 @@ def canonical_record(ts: Column, event: Column, fields_json: Column, prev_hash:
     )
 
 
+def _compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+
+
+def canonical_json(text: Column | str) -> Column:
+    """JSON text with keys sorted at every depth, compact separators and non-ASCII characters kept; null if it is no JSON."""
+
+    def one(value):
+        try:
+            return None if value is None else _compact(json.loads(value))
+        except ValueError:
+            return None
+
+    def batch(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    batch.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "string")(text)
+
+
+def audit_record(line: Column | str) -> Column:
+    """Hashes of a log line and the canonical JSON of what its own hash covers; nulls where the line is no object."""
+
+    def one(value):
+        try:
+            record = json.loads(value)
+        except (TypeError, ValueError):
+            record = None
+        if not isinstance(record, dict):
+            return None, None, None
+        texts = [record.get(k) if isinstance(record.get(k), str) else None for k in ("prev_hash", "hash")]
+        return *texts, _compact({k: record.get(k) for k in ("ts", "event", "fields", "prev_hash")})
+
+    def batch(lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(v) for v in lines], columns=["prev_hash", "hash", "payload"])
+
+    batch.__annotations__ = {"lines": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(batch, "prev_hash string, hash string, payload string")(line)
+
+
+def scan_audit_lines(spark: SparkSession, path: str, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """(log_id, line_no, line) of JSON-lines logs, one log per file; blank lines count but are left out.
+
+    Lines are numbered by their place in the file, whatever splits the file is read in.
+    """
+    text = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("log_id"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_row")
+    )
+    numbered = ordered(text, ["log_id"], ["_split", "_row"], [], max_group_rows)
+    return numbered.where(F.btrim("value") != "").select("log_id", F.col(POSITION).alias("line_no"), F.col("value").alias("line"))
+
+
 def record_hash(ts: Column, event: Column, fields_json: Column, prev_hash: Column) -> Column:
     return F.sha2(F.concat(prev_hash, canonical_record(ts, event, fields_json, prev_hash)), 256)
 
@@ -35,12 +89,19 @@ def chain_breaks(
 ) -> DataFrame:
     """Per line: does it name its predecessor's hash, and is its own hash right?
 
-    Every line carries the previous hash, so its digest is checked on its own,
-    in parallel, and only a one-row look-back ties neighbours together. The
-    predecessor's hash is its recomputed one.
+    A log is a table of (ts, event, fields, prev_hash, hash), ``fields`` as canonical JSON (see
+    ``canonical_json``), or of whole JSON lines in a column ``line``, which are brought into
+    canonical form. Every line carries the previous hash, so its digest is checked on its own,
+    in parallel, and only a one-row look-back ties neighbours together. The predecessor's hash
+    is its recomputed one. A line that is no JSON object breaks the chain.
     """
-    expected = F.when(F.col("prev_hash").isNotNull(), record_hash(F.col("ts"), F.col("event"), F.col("fields"), F.col("prev_hash")))
-    checked = log.withColumn("_digest", expected)
+    if "line" in log.columns:
+        found = log.withColumn("_record", audit_record("line"))
+        parts = {c: F.col(f"_record.{c}") for c in ("prev_hash", "hash")}
+        checked = found.withColumns({**parts, "_digest": F.sha2(F.concat("_record.prev_hash", "_record.payload"), 256)}).drop("_record")
+    else:
+        expected = record_hash(F.col("ts"), F.col("event"), F.col("fields"), F.col("prev_hash"))
+        checked = log.withColumn("_digest", F.when(F.col("prev_hash").isNotNull(), expected))
     look_back = Stage(lambda w: {"_prior": F.lag("_digest").over(w)}, 1)
     out = ordered(checked, list(keys), [line], [look_back], max_group_rows)
     before = F.when(F.col(POSITION) == 1, F.lit(GENESIS)).otherwise(F.col("_prior"))

@@ -292,7 +292,7 @@ def g17(spark, sf):
 # ------------------------------------------------------------------- audit log
 
 
-def audit_log(spark, sf):
+def audit_log(spark, sf, fields="props"):
     """Per-user audit lines whose chains hold, but for two kinds of damage.
 
     Line n names the digest of line n - 1, so building a chain is sequential.
@@ -306,7 +306,7 @@ def audit_log(spark, sf):
         (number % 16 + 1).cast("int").alias("line_no"),
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"),
         F.col("event_type").alias("event"),
-        F.col("props").alias("fields"),
+        (F.col(fields) if isinstance(fields, str) else fields).alias("fields"),
     )
     rows = F.array_sort(F.collect_list(F.struct("line_no", "ts", "event", "fields")))
     empty = F.array().cast("array<struct<line_no:int,ts:string,event:string,fields:string,prev_hash:string,hash:string>>")
@@ -329,19 +329,30 @@ def audit_log(spark, sf):
     )
 
 
-@register(
-    "w15_chain_verify",
-    """WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
+_CHAIN_SQL = """WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
 , logs AS (SELECT user_id, 'log-' || user_id || '-' || (i // 16) AS log_id, count(*) AS n_lines FROM n GROUP BY ALL)
 SELECT log_id, n_lines, NOT (user_id % 7 = 0 AND n_lines >= 2 OR user_id % 5 = 0 AND n_lines >= 3) AS ok,
   CASE WHEN user_id % 7 = 0 AND n_lines >= 2 THEN 'hash chain break at line 2'
        WHEN user_id % 5 = 0 AND n_lines >= 3 THEN 'hash mismatch at line 3' ELSE 'ok' END AS message
-FROM (SELECT user_id, log_id, sum(n_lines) AS n_lines FROM logs GROUP BY ALL)""",
-)
+FROM (SELECT user_id, log_id, sum(n_lines) AS n_lines FROM logs GROUP BY ALL)"""
+
+
+@register("w15_chain_verify", _CHAIN_SQL)
 def w15(spark, sf):
     return audit.chain_verify(audit_log(spark, sf))
 
 
+@register("w15_audit_lines", _CHAIN_SQL)
+def w15_lines(spark, sf):
+    """The same damage in JSON lines whose keys stand in another order, nested, spaced and beyond ASCII."""
+    log = audit_log(spark, sf, F.concat(F.lit('{"n":{"a":'), "event_id", F.lit(',"b":[1,{"x":null,"\u00fc":2.5}]},"\u65e5\u672c":"\u00e9 \\"'), "user_id", F.lit('\\" \u20ac"}')))
+    number = F.regexp_extract("fields", r'"a":(\d+)', 1)
+    mixed = F.concat(F.lit('{ "\u65e5\u672c" : "\u00e9 \\"'), "user_id", F.lit('\\" \\u20ac", "n": {"b": [1, {"\u00fc": 2.50, "x": null}], "a": '), number, F.lit("}}"))
+    text = {c: F.concat(F.lit(f'"{c}": "'), F.col(c), F.lit('"')) for c in ("ts", "event", "prev_hash", "hash")}
+    line = F.concat(F.lit("{"), F.concat_ws(", ", text["hash"], text["ts"], F.concat(F.lit('"fields":'), mixed), text["event"], text["prev_hash"]), F.lit("}"))
+    return audit.chain_verify(log.select("log_id", "line_no", line.alias("line")))
+
+
 # --------------------------------------------------------------------- streams
 
 
