@@ -8,6 +8,9 @@ have a match that begins there. Rule by rule, marked starts are taken from left
 forward automaton gives the longest end, and starts inside the last match are passed over: that
 is leftmost, longest, non-overlapping search, which for these rules equals greedy matching.
 
+A forward run stops where it meets an earlier run of its rule in the same state, so the work is linear in
+the text, whatever it holds.
+
 Spans are in code points, the end exclusive. Null texts count as empty and have no spans; very
 long texts are scanned whole; repeated rows are scanned row by row; other columns are not read.
 """
@@ -263,6 +266,8 @@ def relaxed(tree):
 
 
 class Scanner:
+    steps = 0  # bytes read by the forward automata
+
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         trees = [parse(r.pattern, r.fold) for r in rules]
         self.rules = rules
@@ -281,15 +286,33 @@ class Scanner:
                 found.append((at, self.marks.accept[state >> 8]))
         return found
 
-    def longest(self, rule: int, data: bytes, start: int) -> int:
+    def longest(self, rule: int, data: bytes, start: int, known: dict[int, int]) -> int:
+        """End of the longest match at ``start``, or ``start`` itself.
+
+        ``known`` remembers, every 16 bytes, the states in which earlier runs of this rule passed a position, and
+        how they ended. Runs that meet in a state go on alike, so no stretch is read more than once per state.
+        """
         auto = self.ends[rule]
-        flat, limit, dead, state, end = auto.flat, auto.first_accept, auto.dead, auto.start, start
-        for at in range(start, len(data)):
-            state = flat[state + data[at]]
-            if state >= limit:
-                end = at + 1
-            elif state == dead:
-                break
+        flat, limit, dead, state, end, at, passed = auto.flat, auto.first_accept, auto.dead, auto.start, start, start, []
+        while at < len(data):
+            for b in data[at : (at | 15) + 1]:
+                state = flat[state + b]
+                at += 1
+                if state >= limit:
+                    end = at
+                elif state == dead:
+                    break
+            else:
+                here = at << 24 | state >> 8
+                if here in known:
+                    end = known[here] or end
+                    break
+                passed.append(here)
+                continue
+            break
+        self.steps += at - start
+        for here in passed:
+            known[here] = end if end > here >> 24 else 0
         return end
 
     def keeps(self, rule: Rule, match: bytes) -> bool:
@@ -303,9 +326,10 @@ class Scanner:
         """(start, rule number, end) in code points, by start, then rule."""
         data = text.encode("utf-8", "surrogatepass")
         last, found = [0] * len(self.rules), []
+        known: list[dict[int, int]] = [{} for _ in self.rules]
         for at, bits in reversed(self.starts(data)):
             for k in range(len(self.rules)):
-                if bits >> k & 1 and at >= last[k] and (end := self.longest(k, data, at)) > at:
+                if bits >> k & 1 and at >= last[k] and (end := self.longest(k, data, at, known[k])) > at:
                     last[k] = end
                     if self.keeps(self.rules[k], data[at:end]):
                         found.append((at, k, end))
