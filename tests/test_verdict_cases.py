@@ -1,11 +1,14 @@
 """Odd values on both sides of every size switch: NaN, NULL, ties, repeated ids, late rows, batch cuts."""
 
+import hashlib
+import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from flowlake.operators import behaviour, metrics, police, stats, windows
+from flowlake.operators import audit, behaviour, metrics, police, stats, windows
 
 
 def test_quantiles_agree_on_both_paths(spark):
@@ -66,3 +69,38 @@ def test_history_does_not_depend_on_batches(spark):
     assert len(parts) == len(want) == 400
     for r in parts:
         assert tuple(r) == pytest.approx(tuple(want[r["packet_id"]]), nan_ok=True)
+
+
+def _log_lines(n):
+    """JSON lines as an append-only log writes them, keys in any order."""
+    rng, before, out = random.Random(2), "0" * 64, []
+    for i in range(n):
+        fields = {"zeta": i, "Ünicode": "日本 \u20ac \\ \" \n", "a": {"y": [1, 2.5, None, True], "x": {"ß": "", "B": 1e20}}}
+        payload = {"ts": f"2024-01-01T00:00:{i:02d}", "event": "login", "fields": fields, "prev_hash": before}
+        text = json.dumps(payload, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+        before = hashlib.sha256((payload["prev_hash"] + text).encode()).hexdigest()
+        keys = list({**payload, "hash": before}.items())
+        rng.shuffle(keys)
+        out.append(json.dumps(dict(keys), ensure_ascii=bool(i % 2)))
+    return out
+
+
+def test_audit_files_verify_as_written(spark, tmp_path):
+    good, files = _log_lines(30), {}
+    files["good"] = (good[:10] + [""] + good[10:], True, "ok")
+    files["forged"] = ([*good[:4], good[4].replace("login", "logout"), *good[5:]], False, "hash mismatch at line 5")
+    files["missing"] = (good[:7] + good[8:], False, "hash chain break at line 8")
+    files["torn"] = ([*good[:3], good[3][:40]], False, "hash chain break at line 4")
+    files["array"] = (["[1, 2]"], False, "hash chain break at line 1")
+    for name, (lines, _, _) in files.items():
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    for limit in (10**9, 6):
+        lines = audit.scan_audit_lines(spark, str(tmp_path), limit)
+        got = {r["log_id"].rsplit("/", 1)[1][:-6]: (r["ok"], r["message"]) for r in audit.chain_verify(lines, max_group_rows=limit).collect()}
+        assert got == {n: (ok, message) for n, (_, ok, message) in files.items()}
+
+
+def test_canonical_json(spark):
+    texts = ['{"b": 1, "a": {"d": [1.50, 2], "c": "é"}}', "[]", None, "no json", '"x"', '{"a":1,"a":2}']
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", audit.canonical_json("t").alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == ['{"a":{"c":"é","d":[1.5,2]},"b":1}', "[]", None, None, '"x"', '{"a":2}']
