@@ -68,6 +68,11 @@ def router_evaluation(model: PipelineModel, samples: DataFrame) -> DataFrame:
     )
 
 
+def route_scores(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """``features`` with the probability of every path in ``p``."""
+    return model.transform(_filled(features, ROUTER_FEATURES)).withColumn("p", vector_to_array("probability"))
+
+
 def route_model(model: PipelineModel | None, features: DataFrame) -> DataFrame:
     """Path and confidence by the trained model, with the rules as fallback without one."""
     if model is None:

@@ -94,7 +94,7 @@ def hit_count_merge(entries: DataFrame, hits: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "hit_count": F.col("hit_count") + F.coalesce("hits", F.lit(0)),
-                "last_seen": F.coalesce("last_hit", "last_seen"),
+                "last_seen": F.greatest("last_hit", "last_seen"),
             }
         )
         .drop("hits", "last_hit")
@@ -193,10 +193,14 @@ def recent_blocks(entries: DataFrame, count: int = 15) -> DataFrame:
 
 
 def export_json(entries: DataFrame, as_of: Column, limit: int = 10_000) -> DataFrame:
-    """One JSON document of the newest entries with totals; ``limit`` bounds the document."""
+    """One JSON document of the newest entries with totals; ``limit`` bounds the document.
+
+    Entries stand newest first, then by address and source, as they are cut; fields without a value are null.
+    """
     top = listing(entries, active_only=False, limit=limit)
-    rows = F.collect_list(F.struct(F.struct(F.col("created_at"), F.col("ip_address"), F.col("source")).alias("k"), F.struct(*BLOCKLIST_COLUMNS).alias("e")))
-    newest_first = F.transform(F.reverse(F.array_sort(rows)), lambda r: r["e"])
+    age = F.coalesce(-F.unix_micros("created_at"), F.lit(2**63 - 1))
+    rows = F.collect_list(F.struct(F.struct(age, F.col("ip_address"), F.col("source")).alias("k"), F.struct(*BLOCKLIST_COLUMNS).alias("e")))
+    newest_first = F.transform(F.array_sort(rows), lambda r: r["e"])
     doc = F.struct(
         as_of.alias("export_timestamp"),
         F.count(F.lit(1)).alias("total_entries"),
@@ -206,7 +210,7 @@ def export_json(entries: DataFrame, as_of: Column, limit: int = 10_000) -> DataF
     return top.agg(doc.alias("d")).select(
         F.col("d.total_entries").alias("total_entries"),
         F.col("d.active_entries").alias("active_entries"),
-        F.to_json("d").alias("document"),
+        F.to_json("d", {"ignoreNullFields": "false"}).alias("document"),
     )
 
 

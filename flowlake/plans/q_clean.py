@@ -287,18 +287,23 @@ def s8(spark, sf):
     "s9_export_blocklist_json",
     fx.with_views(
         "v_blocklist",
-        body="""SELECT count(*) AS total_entries, count(*) FILTER (WHERE is_active) AS active_entries,
-  count(*) AS listed, arg_max(ip_address, (created_at, ip_address, source)) AS newest
+        body="""SELECT count(*) OVER () AS total_entries, count(*) FILTER (WHERE is_active) OVER () AS active_entries,
+  row_number() OVER (ORDER BY created_at DESC, ip_address, source) - 1 AS place, ip_address, source, risk_level, is_active, hit_count,
+  strftime(created_at, '%Y-%m-%dT%H:%M:%S.000Z') AS created_at, strftime(expires_at, '%Y-%m-%dT%H:%M:%S.000Z') AS expires_at, true AS has_expiry_field
 FROM (SELECT * FROM v_blocklist ORDER BY created_at DESC, ip_address, source LIMIT 10000)""",
     ),
 )
 def s9(spark, sf):
+    """The document's entries, read back from its text."""
     doc = blocklist.export_json(fx.v_blocklist(spark, sf), fx.as_of())
-    return doc.select(
-        "total_entries", "active_entries",
-        F.expr("json_array_length(get_json_object(document, '$.entries'))").cast("long").alias("listed"),
-        F.get_json_object("document", "$.entries[0].ip_address").alias("newest"),
-    )
+    texts = F.from_json(F.get_json_object("document", "$.entries"), "array<string>")
+    entry = doc.select("total_entries", "active_entries", F.posexplode(texts).alias("place", "e"))
+    field = lambda name, kind="string": F.get_json_object("e", f"$.{name}").cast(kind).alias(name)
+    return entry.select(
+        "total_entries", "active_entries", F.col("place").cast("long").alias("place"), *map(field, ("ip_address", "source", "risk_level")),
+        field("is_active", "boolean"), field("hit_count", "long"), field("created_at"), field("expires_at"),
+        F.array_contains(F.json_object_keys("e"), "expires_at").alias("has_expiry_field"),
+    )
 
 
 APP_SQL = """CASE WHEN src_port = 22 OR dst_port = 22 THEN 'SSH' WHEN src_port = 443 OR dst_port = 443 THEN 'TLS'

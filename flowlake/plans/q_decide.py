@@ -63,7 +63,7 @@ def g7(spark, sf):
 @register(
     "j4_hit_count_merge",
     fx.with_views("v_packets", "v_blocklist", body="") + MATCH_SQL + _HITS_SQL + """
-SELECT b.ip_address, b.source, b.hit_count + coalesce(h.hits, 0) AS hit_count, coalesce(h.last_hit, b.last_seen) AS last_seen
+SELECT b.ip_address, b.source, b.hit_count + coalesce(h.hits, 0) AS hit_count, greatest(h.last_hit, b.last_seen) AS last_seen
 FROM v_blocklist b LEFT JOIN hits h USING (ip_address)""",
 )
 def j4(spark, sf):
