@@ -94,6 +94,7 @@ def policy_tier(score: Column) -> Column:
 
 
 def policy_action(score: Column, ip: Column, app: Column) -> Column:
+    # The wording of the actions.
     return (
         F.when(score > 95, F.concat(F.lit("Blocking IP "), ip, F.lit(" due to high risk app "), app))
         .when(score >= 80, F.concat(F.lit("Throttling IP "), ip, F.lit(" due to suspicious app "), app))

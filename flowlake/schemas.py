@@ -19,6 +19,7 @@ PACKET = T.StructType(
     ]
 )
 
+# Column names of flow files, window files, frames, blocklist and router input.
 FLOW_COLUMNS = [
     "timestamp",
     "src_ip",
@@ -152,16 +153,52 @@ ROUTER_FEATURES = [
 ]
 
 # Intrusion benchmark file: 41 features, a label and a difficulty, in file order.
-INTRUSION_COLUMNS = (
-    "duration protocol_type service flag src_bytes dst_bytes land wrong_fragment urgent hot "
-    "num_failed_logins logged_in num_compromised root_shell su_attempted num_root "
-    "num_file_creations num_shells num_access_files num_outbound_cmds is_host_login "
-    "is_guest_login count srv_count serror_rate srv_serror_rate rerror_rate srv_rerror_rate "
-    "same_srv_rate diff_srv_rate srv_diff_host_rate dst_host_count dst_host_srv_count "
-    "dst_host_same_srv_rate dst_host_diff_srv_rate dst_host_same_src_port_rate "
-    "dst_host_srv_diff_host_rate dst_host_serror_rate dst_host_srv_serror_rate "
-    "dst_host_rerror_rate dst_host_srv_rerror_rate label difficulty"
-).split()
+# Columns of the public intrusion file, in its order.
+INTRUSION_COLUMNS = [
+    "duration",
+    "protocol_type",
+    "service",
+    "flag",
+    "src_bytes",
+    "dst_bytes",
+    "land",
+    "wrong_fragment",
+    "urgent",
+    "hot",
+    "num_failed_logins",
+    "logged_in",
+    "num_compromised",
+    "root_shell",
+    "su_attempted",
+    "num_root",
+    "num_file_creations",
+    "num_shells",
+    "num_access_files",
+    "num_outbound_cmds",
+    "is_host_login",
+    "is_guest_login",
+    "count",
+    "srv_count",
+    "serror_rate",
+    "srv_serror_rate",
+    "rerror_rate",
+    "srv_rerror_rate",
+    "same_srv_rate",
+    "diff_srv_rate",
+    "srv_diff_host_rate",
+    "dst_host_count",
+    "dst_host_srv_count",
+    "dst_host_same_srv_rate",
+    "dst_host_diff_srv_rate",
+    "dst_host_same_src_port_rate",
+    "dst_host_srv_diff_host_rate",
+    "dst_host_serror_rate",
+    "dst_host_srv_serror_rate",
+    "dst_host_rerror_rate",
+    "dst_host_srv_rerror_rate",
+    "label",
+    "difficulty",
+]
 INTRUSION_TEXT = {"protocol_type", "service", "flag", "label"}
 INTRUSION = T.StructType(
     [
