@@ -12,10 +12,12 @@ bit block by bit block; the mix is refined by an adaptive table of what really f
 costs add up to the text's log probability and bits per byte. A spelled token that was counted in
 training also has its own share of the spelled mass (absolute discounting).
 
-Learning is one pass for token counts, one for the tables and one for gates, all over every
-learning document; gates learn from documents that the tables did not count, so they see how far
-counts are to be trusted. Counts are added up in Spark. What is broadcast has fixed sizes:
-``HEAD`` tokens and ``2 ** SLOT_BITS`` slots per table.
+Learning counts tokens, then the bits of every learning document in the tables. Gates learn from
+documents that the tables did not count yet, so they see how far counts are to be trusted; then
+those are counted too. They are dealt to gate sets by the hash of their text, so the model depends
+neither on files nor on partitions. Counts are added up in Spark. Tokens without a code share one
+context, as contexts of their own, tried on held-out texts, predicted worse. What is broadcast is bounded: ``HEAD`` tokens, and tables whose slots follow the number of learned tokens
+within ``SLOT_BITS``; the token counts, which grow with the corpus, stay in a Spark table.
 
 Null and empty texts consist of the end token. Very long texts are scored whole, in pieces that
 keep their context; equal texts share one score; without a learning document every token is
@@ -25,6 +27,8 @@ spelled by untrained tables. Other columns are not read.
 from __future__ import annotations
 
 import heapq
+from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +39,11 @@ from pyspark.sql import functions as F
 from flowlake.llm.common import ROWS_AT_ONCE, broadcast_value, map_batches
 from flowlake.session import cut_lineage
 
-HEAD = 1 << 15
-SLOT_BITS = 20
+HEAD = 1 << 16
+SLOT_BITS = 20, 22  # least and most
 SPELL_BITS = 18
+TOKENS_PER_SLOT_BITS = 7  # a table has about one slot for so many (as a power of two) learned tokens
+TOKENS_PER_BUCKET = 1 << 22  # learned tokens for one set of gates
 BLOCK = 1 << 15  # counts per shuffled row
 CHUNK = 1 << 14  # bits predicted at once
 COUNTED_AT_ONCE = 4096  # texts
@@ -75,7 +81,7 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         parent[i], side[i], parent[j], side[j] = top, 0, top, 1
         heapq.heappush(heap, (a + b, top))
         top += 1
-    first, size, nodes, bits = [], [], [], []
+    first, size, nodes, bits = [], [], array("I"), array("B")
     for i in range(n):
         path, at = [], i
         while at in parent:
@@ -83,8 +89,8 @@ def huffman(weights: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             at = parent[at]
         first.append(len(nodes))
         size.append(len(path))
-        nodes += [p for p, _ in reversed(path)]
-        bits += [s for _, s in reversed(path)]
+        nodes.extend([p for p, _ in reversed(path)])
+        bits.extend([s for _, s in reversed(path)])
     return np.array(first, np.int32), np.array(size, np.int32), np.array(nodes, dtype=np.uint32), np.array(bits, dtype=np.uint8)
 
 
@@ -103,11 +109,11 @@ def bits_of(code, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return of, nodes[at], bits[at]
 
 
-def slots(contexts: list[np.ndarray], of: np.ndarray, nodes: np.ndarray, width: int) -> list[np.ndarray]:
-    """Slot of each bit in each table; a context is one uint32 per symbol."""
+def slots(contexts: list[np.ndarray], of: np.ndarray, nodes: np.ndarray, width: int, first: int = 0) -> list[np.ndarray]:
+    """Slot of each bit in each table from order ``first`` on; a context is one uint32 per symbol."""
     spread = nodes * MIX[0]
     out = []
-    for order, context in enumerate(contexts):
+    for order, context in enumerate(contexts, first):
         h = np.take((context * MIX[1] + np.uint32(order)) * MIX[2], of)
         h ^= spread
         h ^= h >> np.uint32(15)
@@ -139,14 +145,24 @@ def spelling(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
     return data, starts, contexts
 
 
+def slots_by_node(nodes: int, width: int) -> np.ndarray | None:
+    """Slot of every node in the context 0; none for codes whose first context is a real one."""
+    zero = np.zeros(1, np.uint32)
+    return slots([zero], np.zeros(nodes, np.int32), np.arange(nodes, dtype=np.uint32), width)[0] if nodes else None
+
+
 class Tables:
-    """Counts of zeros and ones: one row per table, slot by slot a pair (zeros, ones)."""
+    """Counts of zeros and ones: one row per table, slot by slot a pair (zeros, ones).
+
+    Blocks of small counts travel as 16 bits.
+    """
 
-    def __init__(self, orders: int, width: int):
-        self.width, self.counts = width, np.zeros((orders, 2 << width), dtype=np.int32)
+    def __init__(self, orders: int, width: int, nodes: int = 0):
+        self.width, self.counts, self.by_node = width, np.zeros((orders, 2 << width), dtype=np.int32), slots_by_node(nodes, width)
 
     def add(self, contexts, of, nodes, bits) -> None:
-        for row, at in zip(self.counts, slots(contexts, of, nodes, self.width), strict=True):
+        known = [] if self.by_node is None else [self.by_node[nodes]]
+        for row, at in zip(self.counts, [*known, *slots(contexts[len(known) :], of, nodes, self.width, len(known))], strict=True):
             at <<= 1
             at |= bits
             np.add.at(row, at, np.int32(1))
@@ -156,27 +172,41 @@ class Tables:
         for order, row in enumerate(self.counts):
             for block in range(0, len(row), BLOCK):
                 if row[block : block + BLOCK].any():
-                    yield (kind, order, block, row[block : block + BLOCK].tobytes())
+                    part = row[block : block + BLOCK]
+                    yield (kind, order, block, part.astype(np.uint16).tobytes() if part.max() < 1 << 16 else part.tobytes())
 
 
 class Predictor:
     """Mixed predictions from tables; gate weights and refinement learn online."""
 
-    def __init__(self, counts: np.ndarray, width: int):
+    def __init__(self, counts: np.ndarray, width: int, nodes: int = 0):
         zeros, ones = counts[:, 0::2].astype(np.float32), counts[:, 1::2].astype(np.float32)
         self.width, self.orders = width, len(counts)
+        # how often a slot was seen, as 0 to 3, stands in the last two bits of its prediction: one look-up for both
         self.stretched = np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
-        self.trust = np.digitize(zeros + ones, [0.5, 2.5, 15.5]).astype(np.uint8)
+        packed = self.stretched.view(np.uint32)
+        packed &= np.uint32(0xFFFFFFFC)
+        packed |= np.digitize(zeros + ones, [0.5, 2.5, 15.5]).astype(np.uint32)
+        self.refined_p = np.zeros(16 * STEPS, dtype=np.float32)
+        slot = slots_by_node(nodes, width)
+        self.first = None if slot is None else self.stretched[0][slot]  # predictions of the first order, node by node
+        self.forget()
+
+    def forget(self) -> None:
+        """Gates and refinement as before the first step."""
         self.weights = np.full((self.orders, 16), 1.0 / self.orders, dtype=np.float32)
         self.curve = np.full((self.orders, 16), 0.5)
         self.refined = np.zeros((2, 16 * STEPS))
-        self.refined_p = np.zeros(16 * STEPS, dtype=np.float32)
 
     def mixed(self, contexts, of, nodes):
         """(stretched inputs, gate, mix, refinement bucket) of every bit."""
-        at = slots(contexts, of, nodes, self.width)
-        inputs = [np.take(row, a) for row, a in zip(self.stretched, at, strict=True)]
-        gate = (np.take(self.trust[-1], at[-1]) * np.uint8(4) + np.take(self.trust[-2], at[-2])).astype(np.int64)
+        if self.first is None:
+            inputs = [np.take(row, a) for row, a in zip(self.stretched, slots(contexts, of, nodes, self.width), strict=True)]
+        else:
+            at = slots(contexts[1:], of, nodes, self.width, first=1)
+            inputs = [np.take(self.first, nodes), *[np.take(row, a) for row, a in zip(self.stretched[1:], at, strict=True)]]
+        seen = [x.view(np.uint32) & np.uint32(3) for x in inputs[-2:]]
+        gate = (seen[1] * np.uint32(4) + seen[0]).astype(np.int64)
         total = inputs[0] * np.take(self.weights[0], gate)
         for row, x in zip(self.weights[1:], inputs[1:], strict=True):
             total += x * np.take(row, gate)
@@ -217,16 +247,19 @@ class Codec:
 
     def __init__(self, head: list[bytes], weights: list[int]):
         self.ids = {t: i for i, t in enumerate(head)}
-        self.head = pa.array(head, pa.binary())
         self.escape = len(head)
         self.code = huffman(weights)
+        self.nodes = 2 * len(weights)  # of the code
         self.bytes = byte_code()
 
-    def ids_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        """(words of all texts, their ids with an end after each text, number of tokens of each text)."""
+    def ids_of(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+        """(different words, which of them each word without a code is, ids of all tokens with an end after each text, number of tokens of each text)."""
         words, lengths = token_array(texts)
-        ids = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.head), self.escape)).astype(np.int64)
-        return words, np.insert(ids, np.cumsum(lengths), self.ids[END]), lengths + 1
+        coded = words.dictionary_encode()
+        table = np.fromiter(map(self.ids.get, coded.dictionary.to_numpy(zero_copy_only=False), repeat(self.escape)), np.int64, len(coded.dictionary))
+        which = np.asarray(coded.indices)
+        ids = table[which]
+        return coded.dictionary, which[ids == self.escape], np.insert(ids, np.cumsum(lengths), self.ids[END]), lengths + 1
 
     def blocks(self, ids: np.ndarray, step: int = CHUNK // 8):
         """(part, contexts, of, nodes, bits) of token ids, a bounded number of bits at a time."""
@@ -264,7 +297,7 @@ def summed(counted: DataFrame, orders: int, width: int) -> np.ndarray:
         total = None
         for batch in batches:
             for data in batch.column("counts").to_pylist():
-                part = np.frombuffer(data, dtype=np.int32)
+                part = np.frombuffer(data, dtype=np.uint16 if len(data) == 2 * BLOCK else np.int32)
                 total = part.astype(np.int64) if total is None else total + part
         low = np.minimum(total, 2**31 - 1).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
@@ -294,26 +327,65 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token binary, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def learn_gates(parts: DataFrame, feed, counts: np.ndarray, width: int) -> Predictor:
-    """Gate weights averaged over tasks by what they saw, refinement counts added up."""
-    predictor = Predictor(counts, width)
-    shared = broadcast_value(parts.sparkSession, counts)
+def learn_gates(rows: DataFrame, feed, counts: np.ndarray, width: int, buckets: int, nodes: int) -> tuple[np.ndarray | None, np.ndarray]:
+    """(gate weights, refinement counts) learned from the different values of ``rows``' only column.
+
+    Values are dealt to buckets by their hash and sorted, and every bucket is one online pass with its own gates,
+    ``ROWS_AT_ONCE`` values after another; weights are averaged by the bits that a bucket saw, refinement counts
+    added up. So neither files nor partitions matter, and equal values, however many, count once.
+    """
+    shared = broadcast_value(rows.sparkSession, counts)
+    kind, orders = rows.schema.fields[0].dataType.simpleString(), len(counts)
+    value = rows.select(F.col(rows.columns[0]).alias("value")).dropDuplicates()
+    keyed = value.select("value", F.xxhash64("value").alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    names, types = ["what", "a", "b", "x"], [pa.string(), pa.int32(), pa.int32(), pa.float64()]
 
     def run(batches):
-        own, seen = Predictor(shared.value, width), 0
-        for block in feed(batches):
-            own.learn(*block)
-            seen += len(block[-1])
-        rows = [("w", g, k, float(own.weights[k, g]) * seen) for g in range(16) for k in range(own.orders)]
-        rows += [("r", v, i, float(own.refined[v, i])) for v in (0, 1) for i in range(16 * STEPS)]
-        yield arrow_rows([*rows, ("n", 0, 0, float(seen))], ["what", "a", "b", "x"], [pa.string(), pa.int32(), pa.int32(), pa.float64()])
-
-    found = {(r[0], r[1], r[2]): r[3] for r in parts.mapInArrow(run, "what string, a int, b int, x double").groupBy("what", "a", "b").agg(F.sum("x")).collect()}
+        own, seen, at, held = None, 0, None, []
+
+        def learned(values: pa.Array) -> int:
+            bits = 0
+            for block in feed(values):
+                own.learn(*block)
+                bits += len(block[-1])
+            return bits
+
+        def result() -> pa.RecordBatch:
+            rows = [("w", g, k, float(own.weights[k, g]) * seen) for g in range(16) for k in range(orders)]
+            rows += [("r", v, i, float(own.refined[v, i])) for v in (0, 1) for i in range(16 * STEPS)]
+            return arrow_rows([*rows, ("n", 0, 0, float(seen))], names, types)
+
+        def cut(part: list, least: int):
+            """Whole groups of rows from the front, and what is left."""
+            values = pa.concat_arrays(part)
+            last = len(values) - len(values) % ROWS_AT_ONCE if least else len(values)
+            return [values.slice(i, min(ROWS_AT_ONCE, last - i)) for i in range(0, last, ROWS_AT_ONCE)], [values.slice(last)]
+
+        for batch in batches:
+            numbers = batch.column("bucket").to_numpy()
+            borders = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for i, k in zip(borders, borders[1:], strict=False):
+                if k > i and numbers[i] != at:
+                    if held:
+                        seen += sum(map(learned, cut(held, 0)[0]))
+                        yield result()
+                    own = own or Predictor(shared.value, width, nodes)
+                    own.forget()
+                    seen, at, held = 0, numbers[i], []
+                held.append(batch.column("value").slice(i, k - i))
+                groups, held = cut(held, ROWS_AT_ONCE)
+                seen += sum(map(learned, groups))
+        if held:
+            seen += sum(map(learned, cut(held, 0)[0]))
+            yield result()
+
+    dealt = keyed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "key", "value")
+    sums = dealt.select(F.col("value").cast(kind), "bucket").mapInArrow(run, "what string, a int, b int, x double").groupBy("what", "a", "b").agg(F.sum("x"))
+    found = {(r[0], r[1], r[2]): r[3] for r in sums.collect()}
     seen = found.get(("n", 0, 0), 0.0)
     refined = np.array([[found.get(("r", v, i), 0.0) for i in range(16 * STEPS)] for v in (0, 1)])
-    weights = np.array([[found.get(("w", g, k), 0.0) for g in range(16)] for k in range(predictor.orders)]) / seen if seen else None
-    predictor.settle(weights, refined)
-    return predictor
+    weights = np.array([[found.get(("w", g, k), 0.0) for g in range(16)] for k in range(orders)]) / seen if seen else None
+    return weights, refined
 
 
 def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
@@ -333,47 +405,56 @@ def fit(docs: DataFrame, gate_if: Column, head_size: int = HEAD) -> dict:
     codec = Codec(list(head), [*[max(1, n) for n in head.values()], tail])
     coder = broadcast_value(spark, codec)
 
+    width = min(SLOT_BITS[1], max(SLOT_BITS[0], int(total).bit_length() - TOKENS_PER_SLOT_BITS))
+
     def count_codes(batches):
-        tables = Tables(3, SLOT_BITS)
+        tables = Tables(3, width, coder.value.nodes)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                ids = coder.value.ids_of(batch.column("text").slice(start, ROWS_AT_ONCE))[1]
+                *_, ids, _ = coder.value.ids_of(batch.column("text").slice(start, ROWS_AT_ONCE))
                 for _, contexts, of, nodes, bits in coder.value.blocks(ids):
                     tables.add(contexts, of, nodes, bits)
         for row in tables.rows("code"):
             yield arrow_rows([row], ["kind", "part", "block", "counts"], [pa.string(), pa.int32(), pa.int32(), pa.binary()])
 
-    def gate_codes(batches):
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                ids = coder.value.ids_of(batch.column("text").slice(start, ROWS_AT_ONCE))[1]
-                for _, *block in coder.value.blocks(ids, LEARNED_AT_ONCE):
-                    yield block
+    def gate_codes(texts: pa.Array):
+        *_, ids, _ = coder.value.ids_of(texts)
+        for _, *block in coder.value.blocks(ids, LEARNED_AT_ONCE):
+            yield block
 
-    def tail_tokens(batch) -> list[bytes]:
-        return [t for t in batch.column("token").to_pylist() if t not in coder.value.ids]
+    def tail_tokens(tokens: pa.Array) -> list[bytes]:
+        return [t for t in tokens.to_pylist() if t not in coder.value.ids]
 
     def count_spelling(batches):
         tables = Tables(4, SPELL_BITS)
         for batch in batches:
-            for _, _, contexts, of, nodes, bits in coder.value.spelled_blocks(tail_tokens(batch)):
+            for _, _, contexts, of, nodes, bits in coder.value.spelled_blocks(tail_tokens(batch.column("token"))):
                 tables.add(contexts, of, nodes, bits)
         for row in tables.rows("spell"):
             yield arrow_rows([row], ["kind", "part", "block", "counts"], [pa.string(), pa.int32(), pa.int32(), pa.binary()])
 
-    def gate_spelling(batches):
-        for batch in batches:
-            for _, _, *block in coder.value.spelled_blocks(tail_tokens(batch), LEARNED_AT_ONCE):
-                yield block
-
-    taught = F.coalesce(gate_if, F.lit(False))
-    codes = summed(docs.where(~taught).select("text").mapInArrow(count_codes, COUNT_ROWS), 3, SLOT_BITS)
-    code_predictor = learn_gates(docs.where(taught).select("text"), gate_codes, codes, SLOT_BITS)
-    held = F.pmod(F.crc32("token"), F.lit(8)) == 0
-    spell = summed(counts.where(~held).select("token").mapInArrow(count_spelling, COUNT_ROWS), 4, SPELL_BITS)
-    spell_predictor = learn_gates(counts.where(held).select("token"), gate_spelling, spell, SPELL_BITS)
+    def gate_spelling(tokens: pa.Array):
+        for _, _, *block in coder.value.spelled_blocks(tail_tokens(tokens), LEARNED_AT_ONCE):
+            yield block
+
+    def learned_of(rows: DataFrame, count, feed, orders: int, bits: int, nodes: int = 0) -> Predictor:
+        """Gates learned from the held rows with tables of the others, then put before tables of all rows."""
+        taught, others_ = rows.where("held").drop("held"), rows.where("not held").drop("held")
+        others = summed(others_.mapInArrow(count, COUNT_ROWS), orders, bits)
+        gates = learn_gates(taught, feed, others, bits, 1 + total // TOKENS_PER_BUCKET, nodes)
+        rest = summed(taught.mapInArrow(count, COUNT_ROWS), orders, bits)
+        for row, more in zip(others, rest, strict=True):  # one table at a time, to spare the driver's memory
+            row[:] = np.minimum(row.astype(np.int64) + more, 2**31 - 1)
+        predictor = Predictor(others, bits, nodes)
+        predictor.settle(*gates)
+        return predictor
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(gate_if, F.lit(False)).alias("held"))
+    code_predictor = learned_of(texts, count_codes, gate_codes, 3, width, codec.nodes)
+    tokens = counts.select("token", (F.pmod(F.crc32("token"), F.lit(8)) == 0).alias("held"))
+    spell_predictor = learned_of(tokens, count_spelling, gate_spelling, 4, SPELL_BITS)
     own = {"tail": tail, "discount": discount, "spelled": max(1e-6, min(1.0, discount * tail_kinds / tail))}
-    return {"counts": counts, "total": total, "distinct": distinct, "codec": codec, "head": head, "own": own, "code": code_predictor, "spell": spell_predictor}
+    return {"counts": counts, "total": total, "distinct": distinct, "codec": codec, "head": head, "own": own, "code": code_predictor, "spell": spell_predictor, "width": width}
 
 
 def spelled_costs(codec: Codec, spell: Predictor, own: dict, tokens: list[bytes], counted: np.ndarray) -> np.ndarray:
@@ -391,7 +472,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score, bits_per_byte) of every row of ``docs``.
 
     Codes are scored where the text is; tokens without a code, once per text, are joined with
-    their training counts, and spelled there, every different one about once.
+    their training counts and with what it costs to spell them.
     """
     spark = docs.sparkSession
     total, distinct = model["total"], model["distinct"]
@@ -405,7 +486,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     def use(batch: pa.RecordBatch):
         codec, code, _, known, _, seen = shared.value
-        words, ids, lengths = codec.ids_of(batch.column("text"))
+        words, which, ids, lengths = codec.ids_of(batch.column("text"))
         costs = np.empty(len(ids))
         for part, contexts, of, nodes, bits in codec.blocks(ids):
             sizes = codec.code[1][ids[part]]
@@ -419,39 +500,48 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             np.asarray(pc.binary_length(batch.column("text"))).astype(np.int64),
         ]
         texts_part = pa.StructArray.from_arrays([pa.array(x) for x in sums], fields=list(whole))
-        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(marks, pa.binary()), texts_part], ["k1", "k2", "token", "whole"])
-        rare = np.flatnonzero(ids == codec.escape)
-        of_text = np.searchsorted(starts, rare, side="right") - 1
-        tokens = words.take(pa.array(rare - of_text))  # each earlier text has one end more than words
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k1[of_text]), pa.array(k2[of_text]), tokens, pa.nulls(len(rare), whole)],
-            ["k1", "k2", "token", "whole"],
-        )
+        names = ["k1", "k2", "token", "times", "whole"]
+        yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(marks, pa.binary()), pa.array(np.ones(len(k1), np.int32)), texts_part], names)
+        of_text, kinds = np.searchsorted(starts, np.flatnonzero(ids == codec.escape), side="right") - 1, max(1, len(words))
+        each, times = np.unique(of_text * kinds + which, return_counts=True)
+        at, tokens = each // kinds, words.take(pa.array(each % kinds))
+        yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), tokens, pa.array(times.astype(np.int32)), pa.nulls(len(at), whole)], names)
 
-    flat = map_batches(keyed, use, "k1 bigint, k2 bigint, token binary, whole struct<n_tokens:bigint,n_known:bigint,base:double,model:double,n_bytes:bigint>")
-    joined = flat.join(model["counts"].withColumnRenamed("n", "c"), "token", "left").select("k1", "k2", "token", "whole", F.coalesce("c", F.lit(0)).alias("c"))
+    flat = map_batches(keyed, use, "k1 bigint, k2 bigint, token binary, times int, whole struct<n_tokens:bigint,n_known:bigint,base:double,model:double,n_bytes:bigint>")
+
+    def priced(batches):
+        codec, _, spell, _, own, _ = shared.value
+        for batch in batches:
+            rare = batch.filter(pa.array([t not in codec.ids for t in batch.column("token").to_numpy(zero_copy_only=False)], pa.bool_()))
+            cost = spelled_costs(codec, spell, own, rare.column("token").to_pylist(), np.array(rare.column("n"), dtype=np.float64)) if len(rare) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*rare.columns, pa.array(cost)], ["token", "c", "cost"])
+
+    # every counted token without a code is spelled once, before the join; unseen ones, which remain, after it
+    prices = cut_lineage(model["counts"].select("token", "n").mapInArrow(priced, "token binary, c bigint, cost double"), "token-costs")
+    rare, of_whole = F.col("whole").isNull(), lambda c: F.coalesce(F.col(f"whole.{c}"), F.lit(0))
+    joined = flat.join(prices, "token", "left").select(
+        "k1", "k2", F.when(rare & F.col("c").isNull(), F.col("token")).alias("unseen"), F.when(rare, F.col("times")).otherwise(0).alias("times"),
+        of_whole("n_tokens").alias("n_tokens"), (of_whole("n_known") + F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
+        (of_whole("base") + F.when(rare, F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - below)).otherwise(0.0)).alias("base"),
+        (of_whole("model") + F.coalesce(F.col("times") * F.col("cost"), F.lit(0.0))).alias("model"),
+        of_whole("n_bytes").alias("n_bytes"), (~rare).cast("long").alias("copies"),
+    )
+    names = ["n_tokens", "n_known", "base", "model", "n_bytes", "copies"]
+    merged = joined.groupBy("k1", "k2", "unseen").agg(*[F.sum(c).alias(c) for c in (*names, "times")])
 
     def spelled(batches):
         codec, _, spell, _, own, _ = shared.value
-        names = [f.name for f in whole]
         for batch in batches:
-            texts = batch.column("whole")
-            rare = np.array(texts.is_null())
-            sums = {n: np.array(texts.field(i).fill_null(0)) for i, n in enumerate(names)}
-            sums = {n: np.where(rare, x.dtype.type(0), x) for n, x in sums.items()}
-            at = np.flatnonzero(rare)
+            at = np.flatnonzero(np.array(batch.column("unseen").is_valid()))
+            cost = np.array(batch.column("model"))
             if len(at):
-                coded = batch.column("token").take(pa.array(at)).dictionary_encode()
-                which, c = np.array(coded.indices), np.array(batch.column("c"))[at]
-                counted = np.zeros(len(coded.dictionary))
-                counted[which] = c
-                each = spelled_costs(codec, spell, own, coded.dictionary.to_pylist(), counted)
-                sums["base"][at], sums["model"][at], sums["n_known"][at] = np.log10(c + 1.0) - below, each[which], c > 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k1"), batch.column("k2"), *[pa.array(sums[n]) for n in names], pa.array((~rare).astype(np.int64))], ["k1", "k2", *names, "copies"]
-            )
-
-    costed = joined.mapInArrow(spelled, "k1 bigint, k2 bigint, n_tokens bigint, n_known bigint, base double, model double, n_bytes bigint, copies bigint")
+                coded = batch.column("unseen").take(pa.array(at)).dictionary_encode()
+                each = spelled_costs(codec, spell, own, coded.dictionary.to_pylist(), np.zeros(len(coded.dictionary)))
+                cost[at] += np.array(batch.column("times"))[at] * each[np.array(coded.indices)]
+            columns = [pa.array(cost) if n == "model" else batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), *columns], ["k1", "k2", *names])
+
+    costed = merged.mapInArrow(spelled, "k1 bigint, k2 bigint, n_tokens bigint, n_known bigint, base double, model double, n_bytes bigint, copies bigint")
     sums = costed.groupBy("k1", "k2").agg(*[F.sum(c).alias(c) for c in costed.columns[2:]])
     each = sums.select(
         "k1", "k2",
