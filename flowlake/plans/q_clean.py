@@ -35,12 +35,23 @@ def s1(spark, sf):
     return src.scan_flow_csv(spark, _dirty_csv(spark, sf), FLOW_COLUMNS)
 
 
+def _write_broken(rows, bad, path, file_rows=500_000):
+    """``rows`` as files of about ``file_rows`` rows, each of which holds a ``bad`` row if there is one at all."""
+    count = F.count(F.lit(1))
+    files = rows.agg(count).first()[0] // file_rows + 1
+    hashed = F.pmod(F.xxhash64(*rows.columns), F.lit(files)).cast("int")
+    holds = sorted(r["b"] for r in rows.filter(bad).select(hashed.alias("b")).distinct().collect())  # numbers of files
+    spread = F.when(hashed.isin(holds), hashed).otherwise(holds[0]) if holds else hashed
+    # a file has whole buckets, so none is without a bad row
+    rows.withColumn("_bucket", spread).repartition(files, "_bucket").drop("_bucket").write.mode("append").option("header", True).csv(path)
+
+
 @register("s1_skip_malformed_files", fx.with_views("v_dirty_flows", body=_TYPED_DIRTY))
 def s1_skip(spark, sf):
-    """Clean files next to a file with a broken number, which is left out."""
+    """Clean files next to files with a broken number, which are left out."""
     path = _dirty_csv(spark, sf)
     broken = fx.v_dirty_flows(spark, sf).withColumn("bytes_out", F.when(F.col("protocol") == "TCP", "many").otherwise(F.col("bytes_out")))
-    broken.repartition(1).write.mode("append").option("header", True).csv(path)
+    _write_broken(broken, F.col("bytes_out") == "many", path)
     return src.scan_flow_csv(spark, path, FLOW_COLUMNS, malformed="skip_file")
 
 
