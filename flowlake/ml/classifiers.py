@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,6 +20,9 @@ from flowlake.schemas import ROUTER_FEATURES
 
 MIN_REAL_SAMPLES = 200
 MAX_LABELS = 1000
+# Rows whose histograms a task holds at once, and payload bytes counted at once.
+HISTOGRAM_ROWS = 256
+HISTOGRAM_BYTES = 1 << 20
 PATHS = ["pass", "if_only", "escalate"]
 
 
@@ -119,20 +122,33 @@ def intrusion_predict(model: PipelineModel, scaler: dict, df: DataFrame) -> Data
     )
 
 
+def _byte_counts(data: bytes, pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the bytes and of the hashed byte pairs, piece by piece: indices take 8 bytes a byte."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    single, double = np.zeros(256, dtype=np.int64), np.zeros(pairs, dtype=np.int64)
+    for first in range(0, len(raw), HISTOGRAM_BYTES):
+        piece = raw[first : first + HISTOGRAM_BYTES + 1].astype(np.int64)  # and the byte that ends its last pair
+        single += np.bincount(piece[:HISTOGRAM_BYTES], minlength=256)
+        double += np.bincount((piece[:-1] * 31 + piece[1:] * 17) % pairs, minlength=pairs)
+    return single, double
+
+
 def payload_features(payload: Column, pairs: int = 1024) -> Column:
     """Byte histogram and hashed byte-pair histogram of the whole payload, as shares."""
 
     @F.pandas_udf("array<float>")
-    def histogram(values: pd.Series) -> pd.Series:
-        out = np.zeros((len(values), 256 + pairs), dtype=np.float32)
-        for row, data in enumerate(values):
-            if data:
-                raw = np.frombuffer(data, dtype=np.uint8).astype(np.int64)
-                out[row, :256] = np.bincount(raw, minlength=256) / len(raw)
-                if len(raw) > 1:
-                    slots = (raw[:-1] * 31 + raw[1:] * 17) % pairs
-                    out[row, 256:] = np.bincount(slots, minlength=pairs) / (len(raw) - 1)
-        return pd.Series(list(out))
+    def histogram(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in batches:
+            for first in range(0, len(values), HISTOGRAM_ROWS):
+                part = values.iloc[first : first + HISTOGRAM_ROWS]
+                out = np.zeros((len(part), 256 + pairs), dtype=np.float32)
+                for row, data in enumerate(part):
+                    if data:
+                        single, double = _byte_counts(data, pairs)
+                        out[row, :256] = single / len(data)
+                        if len(data) > 1:
+                            out[row, 256:] = double / (len(data) - 1)
+                yield pd.Series(list(out))
 
     return histogram(payload.cast("binary"))
 
