@@ -473,7 +473,8 @@ def rate_police(stream: DataFrame, rate: int = 100_000, capacity: int = 100_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         # A busy source's rows of a micro-batch: three numbers each, no objects.
-        ids, sizes, times = (np.concatenate(c) for c in zip(*([p[n].to_numpy() for n in ("packet_id", "packet_size", "_ns")] for p in batches)))
+        kept = [(p["packet_id"].to_numpy(), p["packet_size"].astype("int64").to_numpy(), p["_ns"].astype("int64").to_numpy()) for p in batches]
+        ids, sizes, times = (np.concatenate(c) for c in zip(*kept))  # a missing size or time is refused above
         bucket = Bucket(rate, capacity, *held.get) if held.exists else Bucket(rate, capacity, capacity)
         order = np.lexsort((ids, times))
         for first in range(0, len(order), POLICE_ROWS):
