@@ -23,6 +23,8 @@ MAX_LABELS = 1000
 # Rows whose histograms a task holds at once, and payload bytes counted at once.
 HISTOGRAM_ROWS = 256
 HISTOGRAM_BYTES = 1 << 20
+# Numbers of a block of training rows: a forest keeps each row's bins and its count in every tree's bag.
+BLOCK_NUMBERS = 36_000_000
 PATHS = ["pass", "if_only", "escalate"]
 
 
@@ -34,6 +36,19 @@ def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
+def _in_blocks(ready: DataFrame, rows: int, features: int, trees: int) -> DataFrame:
+    """Deal the rows of a large training table out evenly, so that a task's cached share does not grow with the table.
+
+    Files are packed into about one partition per core, however many rows they hold. A table of one block is left as it is;
+    more blocks come in whole rounds of the cores.
+    """
+    each = max(1, BLOCK_NUMBERS // (features + trees))
+    if rows <= each:
+        return ready
+    cores = ready.sparkSession.sparkContext.defaultParallelism
+    return ready.repartition(-(-rows // (each * cores)) * cores)
+
+
 def router_train(
     samples: DataFrame,
     rows: DataFrame,
@@ -56,8 +71,9 @@ def router_train(
     else:
         model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label")
     assembler = VectorAssembler(inputCols=ROUTER_FEATURES, outputCol="features")
-    ready = _filled(data, ROUTER_FEATURES).withColumn("label", F.col("label").cast("double"))
-    return Pipeline(stages=[assembler, model]).fit(ready), source
+    ready = _filled(data, ROUTER_FEATURES).select(*ROUTER_FEATURES, F.col("label").cast("double").alias("label"))
+    blocks = _in_blocks(ready, data.count(), len(ROUTER_FEATURES), trees)
+    return Pipeline(stages=[assembler, model]).fit(blocks), source
 
 
 def router_evaluation(model: PipelineModel, samples: DataFrame) -> DataFrame:
@@ -107,12 +123,12 @@ def intrusion_classifier(
         weight = F.when(F.col(label) == value, total / (len(counts) * n)).otherwise(weight)
     filled = _filled(train, features)
     scaler = stats.scale_stats(filled, features)
-    scaled = stats.apply_scale(filled, scaler).withColumns({"weight": weight, "label": F.col(label).cast("double")})
+    scaled = stats.apply_scale(filled, scaler).select(*features, weight.alias("weight"), F.col(label).cast("double").alias("label"))
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", labelCol="label", seed=seed
     )
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assembler, forest]).fit(scaled), scaler
+    return Pipeline(stages=[assembler, forest]).fit(_in_blocks(scaled, total, len(features), trees)), scaler
 
 
 def intrusion_predict(model: PipelineModel, scaler: dict, df: DataFrame) -> DataFrame:
