@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlake.functions.payload import payload_vector
+from flowlake.ml import forest
 from flowlake.operators import decide, stats
 from flowlake.schemas import ROUTER_FEATURES
 
@@ -118,17 +119,14 @@ def intrusion_classifier(
     if len(counts) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} classes in {label}")
     total = sum(counts.values())
-    weight = F.lit(0.0)
-    for value, n in counts.items():
-        weight = F.when(F.col(label) == value, total / (len(counts) * n)).otherwise(weight)
+    known = {int(float(value)): total / (len(counts) * n) for value, n in counts.items() if value is not None}
+    weights = [known.get(i, 0.0) for i in range(max(known, default=-1) + 1)]
     filled = _filled(train, features)
     scaler = stats.scale_stats(filled, features)
-    scaled = stats.apply_scale(filled, scaler).select(*features, weight.alias("weight"), F.col(label).cast("double").alias("label"))
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=2, weightCol="weight", labelCol="label", seed=seed
-    )
+    scaled = stats.apply_scale(filled, scaler).select(*features, F.col(label).cast("double").alias("label"))
+    model = forest.HistogramForest(trees, depth, weights, least_rows=2, seed=seed)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assembler, forest]).fit(_in_blocks(scaled, total, len(features), trees)), scaler
+    return Pipeline(stages=[assembler, model]).fit(_in_blocks(scaled, total, len(features), trees)), scaler
 
 
 def intrusion_predict(model: PipelineModel, scaler: dict, df: DataFrame) -> DataFrame:
