@@ -25,10 +25,10 @@ from flowlake.session import cut_lineage
 BINS = 32
 # Values of a column in a summary of some of its rows.
 RANKS = 1000
-# Bins of a block of rows, counts of a task in one pass, and open nodes whose counts travel together.
+# Bins of a block of rows, counts of a task in one pass, and counts that travel together.
 BLOCK_CELLS = 1 << 20
 PASS_CELLS = 1 << 24
-CHUNK_NODES = 256
+CHUNK_CELLS = 1 << 17
 LEAST_GAIN = 1e-12
 # Poisson(1) by 16 random bits: how often a row is in a tree's bag.
 _DRAWN = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]) * 65536, np.arange(65536) + 0.5).astype(np.uint8)
@@ -249,15 +249,15 @@ class HistogramForest(Estimator):
         of_tree, nodes = np.arange(self.trees), np.zeros(self.trees, dtype=np.intp)  # open nodes, by tree
         for level in range(self.depth):
             rng = np.random.default_rng([self.seed, level])
-            at_once = max(1, PASS_CELLS // (chosen * BINS * classes))
+            at_once, together = (max(1, n // (chosen * BINS * classes)) for n in (PASS_CELLS, CHUNK_CELLS))
             next_trees, next_nodes = [], []
             for first in range(0, len(nodes), at_once):
                 trees_here, nodes_here = of_tree[first : first + at_once], nodes[first : first + at_once]
                 subset = np.sort(rng.random((len(nodes_here), features)).argsort(axis=1)[:, :chosen], axis=1)
                 numbers, starts = np.unique(trees_here, return_index=True)
                 part = {int(t): (forest[t], n, s) for t, n, s in zip(numbers, np.split(nodes_here, starts[1:]), np.split(subset, starts[1:]))}
-                for t, chunk, found in self._pass(blocks, part, level):
-                    _, ids, drawn = (p if i == 0 else p[chunk : chunk + CHUNK_NODES] for i, p in enumerate(part[t]))
+                for t, chunk, found in self._pass(blocks, part, level, together):
+                    ids, drawn = (p[chunk : chunk + together] for p in part[t][1:])
                     place, last, left, total = found
                     if level == 0:
                         forest[t].counts[:] = total
@@ -274,7 +274,7 @@ class HistogramForest(Estimator):
             of_tree, nodes = of_tree[order], nodes[order]
         return forest
 
-    def _pass(self, blocks: DataFrame, part: dict, level: int) -> list[tuple]:
+    def _pass(self, blocks: DataFrame, part: dict, level: int, together: int) -> list[tuple]:
         """Splits of the open nodes of ``part`` (tree: nodes, drawn features) by one pass over all rows."""
         seed, weights, least = self.seed, self.class_weights, self.least_rows
         shape = (BINS, len(weights))
@@ -293,8 +293,8 @@ class HistogramForest(Estimator):
                     for number, (tree, slot, subset, total) in work.items():
                         _count(cells, len(kinds), block, tree, number, level, slot, subset, total, seed)
             for number, (_, _, _, total) in work.items():
-                starts = range(0, total.shape[1], CHUNK_NODES)
-                sums = [total[:, s : s + CHUNK_NODES].tobytes() for s in starts]
+                starts = range(0, total.shape[1], together)
+                sums = [total[:, s : s + together].tobytes() for s in starts]
                 yield pd.DataFrame({"tree": number, "chunk": list(starts), "counts": sums})
 
         def choose(rows: pd.DataFrame) -> pd.DataFrame:
