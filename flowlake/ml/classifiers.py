@@ -50,6 +50,12 @@ def _in_blocks(ready: DataFrame, rows: int, features: int, trees: int) -> DataFr
     return ready.repartition(-(-rows // (each * cores)) * cores)
 
 
+def _is_even(ready: DataFrame, rows: int) -> bool:
+    """Whether no partition holds more than two cores' share of the rows."""
+    most = ready.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    return (most or 0) * ready.sparkSession.sparkContext.defaultParallelism <= 2 * rows
+
+
 def router_train(
     samples: DataFrame,
     rows: DataFrame,
@@ -126,7 +132,9 @@ def intrusion_classifier(
     scaled = stats.apply_scale(filled, scaler).select(*features, F.col(label).cast("double").alias("label"))
     model = forest.HistogramForest(trees, depth, weights, least_rows=2, seed=seed)
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return Pipeline(stages=[assembler, model]).fit(_in_blocks(scaled, total, len(features), trees)), scaler
+    # This forest keeps no partition in memory: rows are dealt out for even tasks only, as that shuffles them all.
+    even = scaled if _is_even(scaled, total) else _in_blocks(scaled, total, len(features), trees)
+    return Pipeline(stages=[assembler, model]).fit(even), scaler
 
 
 def intrusion_predict(model: PipelineModel, scaler: dict, df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlake.session import cut_lineage
+from flowlake.session import cut_lineage, released
 
 BINS = 32
 # Values of a column in a summary of some of its rows.
@@ -30,6 +30,8 @@ BLOCK_CELLS = 1 << 20
 PASS_CELLS = 1 << 24
 CHUNK_CELLS = 1 << 17
 LEAST_GAIN = 1e-12
+# Types of counts on their way to the group of their nodes, by bytes.
+_WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: float}
 # Poisson(1) by 16 random bits: how often a row is in a tree's bag.
 _DRAWN = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(k) for k in range(9)]) * 65536, np.arange(65536) + 0.5).astype(np.uint8)
 
@@ -62,7 +64,7 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _splits(stored: DataFrame) -> list[np.ndarray]:
+def _splits(dataset: DataFrame) -> list[np.ndarray]:
     """Thresholds of every feature by one pass; ranks are off by at most two in ``RANKS`` rows."""
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +83,7 @@ def _splits(stored: DataFrame) -> list[np.ndarray]:
         found = thresholds(*_all_values(values[order], counts[order]))
         return pd.DataFrame({"feature": rows["feature"].iloc[:1], "cuts": [found.tobytes()]})
 
-    summed = stored.mapInArrow(summarise, "feature int, vals binary, counts binary")
+    summed = dataset.mapInArrow(summarise, "feature int, vals binary, counts binary")
     found = summed.groupBy("feature").applyInPandas(cut, "feature int, cuts binary").collect()
     return [np.frombuffer(r["cuts"]) for r in sorted(found, key=lambda r: r["feature"])]
 
@@ -205,6 +207,12 @@ def _count(cells: np.ndarray, length: int, block: int, tree: tuple, number: int,
             np.add.at(flat, key, weight)
 
 
+def _narrow(total: np.ndarray) -> np.ndarray:
+    """Whole numbers in as few bytes each as hold the largest."""
+    most = total.max(initial=0.0)
+    return total.astype(next((t for t in _WIDTHS.values() if t is float or most <= np.iinfo(t).max), float))
+
+
 def _gini(weighted: np.ndarray) -> np.ndarray:
     total = np.maximum(weighted.sum(axis=-1, keepdims=True), 1e-300)
     return 1.0 - ((weighted / total) ** 2).sum(axis=-1)
@@ -235,12 +243,14 @@ class HistogramForest(Estimator):
         self.class_weights = np.array(class_weights, dtype=float)
 
     def _fit(self, dataset: DataFrame) -> ForestModel:
-        stored = cut_lineage(dataset.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label")), "forest")
-        splits = _splits(stored)
-        if not splits:
-            raise ValueError("no rows to train on")
-        blocks = cut_lineage(_blocks(stored, splits, len(self.class_weights)), "blocks")
-        return ForestModel(splits, self._grow(blocks, len(splits)), self.class_weights)
+        # Read twice instead of being stored: numbers take several times the disk of their bins.
+        rows = dataset.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("label"))
+        with released(dataset.sparkSession):
+            splits = _splits(rows)
+            if not splits:
+                raise ValueError("no rows to train on")
+            blocks = cut_lineage(_blocks(rows, splits, len(self.class_weights)), "blocks")
+            return ForestModel(splits, self._grow(blocks, len(splits)), self.class_weights)
 
     def _grow(self, blocks: DataFrame, features: int) -> list[Tree]:
         classes = len(self.class_weights)
@@ -294,17 +304,22 @@ class HistogramForest(Estimator):
                         _count(cells, len(kinds), block, tree, number, level, slot, subset, total, seed)
             for number, (_, _, _, total) in work.items():
                 starts = range(0, total.shape[1], together)
-                sums = [total[:, s : s + together].tobytes() for s in starts]
+                sums = [_narrow(total[:, s : s + together]).tobytes() for s in starts]
                 yield pd.DataFrame({"tree": number, "chunk": list(starts), "counts": sums})
 
         def choose(rows: pd.DataFrame) -> pd.DataFrame:
-            summed = sum(np.frombuffer(c) for c in rows["counts"])
             subset = shared.value[int(rows["tree"].iloc[0])][2]
+            nodes = min(together, len(subset) - int(rows["chunk"].iloc[0]))
+            summed = np.zeros(subset.shape[1] * nodes * math.prod(shape))
+            for c in rows["counts"]:
+                summed += np.frombuffer(c, dtype=_WIDTHS[len(c) // len(summed)])
             found = best_splits(summed.reshape(subset.shape[1], -1, *shape).swapaxes(0, 1), weights, least)
             kept = [a.astype(t).tobytes() for a, t in zip(found, ("i4", "i4", "f8", "f8"))]
             return pd.DataFrame([[rows["tree"].iloc[0], rows["chunk"].iloc[0], *kept]], columns=["tree", "chunk", "place", "last", "left", "total"])
 
-        counted = blocks.mapInPandas(count, "tree int, chunk int, counts binary")
+        # As many tasks as cores, however many rows: each hands on counts of all open nodes.
+        tasks = blocks.sparkSession.sparkContext.defaultParallelism
+        counted = blocks.coalesce(tasks).mapInPandas(count, "tree int, chunk int, counts binary")
         picked = counted.groupBy("tree", "chunk").applyInPandas(choose, "tree int, chunk int, place binary, last binary, left binary, total binary")
         out = []
         for r in sorted(picked.collect(), key=lambda r: (r["tree"], r["chunk"])):
